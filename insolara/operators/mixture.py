@@ -233,7 +233,7 @@ def gmm_fit_many(df: DataFrame, column: str, width: int, counts: Sequence[int],
             updates = em_pass(rows, [models[i] for i in active], shift)
             going = []
             for i, (update, loglik) in zip(active, updates):
-                settled = histories[i] and loglik - histories[i][-1] < gain
+                settled = len(histories[i]) > 0 and loglik - histories[i][-1] < gain
                 histories[i].append(loglik)
                 models[i] = update
                 if not settled:

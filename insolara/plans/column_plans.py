@@ -118,23 +118,22 @@ def abs_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(rows.select("station_id", "dt", C.abs_diff(F.col("model_a"), F.col("model_b")).alias("abs_diff")))
 
 
-@plan("ratio", """
-    SELECT event_id, round(k / nullif(floor(value), 0), 6) + 0.0 AS ratio
-    FROM (SELECT *, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS DOUBLE) AS k FROM events)""")
+@plan("ratio", with_views(f"""
+    SELECT event_id, {r('k / nullif(floor(value), 0)')} AS ratio FROM event_rows""", "event_rows"))
 def ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.event_rows(spark, sf_dir)
     whole = F.floor("value").cast("double")
     return tidy(rows.select("event_id", C.ratio(F.col("k"), whole).alias("ratio")))
 
 
-@plan("convert_units", """
-    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice / 86400, 9) + 0.0 AS flux,
-           round_even(l_quantity + 250 - 273.15, 3) + 0.0 AS celsius FROM lineitem""")
+@plan("convert_units", f"""
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {r('l_extendedprice / 86400')} AS flux,
+           {r('round_even(l_quantity + 250 - 273.15, 3)')} AS celsius FROM lineitem""")
 def convert_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.table(spark, sf_dir, "lineitem")
     flux = C.flux_from_accumulated(F.col("l_extendedprice")).alias("flux")
     celsius = C.kelvin_to_celsius(F.col("l_quantity") + 250.0).alias("celsius")
-    return tidy(rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", flux, celsius), 9)
+    return tidy(rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", flux, celsius))
 
 
 @plan("normalise_by_max", with_views(f"""

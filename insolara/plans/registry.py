@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from insolara.functions.nulls import floating_columns
@@ -37,13 +37,21 @@ def plan(name: str, sql: str | None = None) -> Callable[[Build], Build]:
 
 
 def tidy(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
-    """Round floating columns so that results can be compared between engines."""
-    return df.withColumns({c: F.round(c, special.get(c, digits)) + F.lit(0.0) for c in floating_columns(df)})
+    """Round floating columns so that results can be compared between engines.
+
+    A nudge far below the last digit sends exact halves the same way everywhere;
+    adding zero turns -0.0 into 0.0.
+    """
+    def rounded(name: str) -> Column:
+        places = special.get(name, digits)
+        return F.round(F.col(name) + F.lit(10.0 ** -(places + 3)), places) + F.lit(0.0)
+
+    return df.withColumns({c: rounded(c) for c in floating_columns(df)})
 
 
 def r(expr: str, digits: int = 6) -> str:
     """The SQL form of :func:`tidy` for one expression."""
-    return f"(round({expr}, {digits}) + 0.0)"
+    return f"(round({expr} + 1e-{digits + 3}, {digits}) + 0.0)"
 
 
 def with_views(body: str, *views: str) -> str:
