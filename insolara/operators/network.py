@@ -107,9 +107,9 @@ class Network:
                 delta = (delta @ self.weights[i].T) * slope(outs[i])
         return sse, np.concatenate(parts[::-1])
 
-    def penalty(self) -> np.ndarray:
-        """The weights with zeros in place of biases, flat."""
-        return np.concatenate([np.concatenate([w.ravel(), np.zeros_like(b)])
+    def mask(self) -> np.ndarray:
+        """1 where the flat vector holds a weight, 0 where it holds a bias."""
+        return np.concatenate([np.concatenate([np.ones(w.size), np.zeros(b.size)])
                                for w, b in zip(self.weights, self.biases)])
 
 
@@ -192,6 +192,8 @@ def _epoch(rows: DataFrame, width: int, shapes: list[tuple[list[int], str]], sta
     def task(batches: Batches) -> Iterator[tuple[int, np.ndarray]]:
         place = TaskContext.get().partitionId()
         own = [s.copy() for s in states]
+        masks = [how.alpha * Network.from_flat(sizes, act, s.w).mask()
+                 for (sizes, act), how, s in zip(shapes, plans, states)]
         grads = [np.zeros_like(s.w) for s in states]
         sse = np.zeros(len(ids))
         seen = 0
@@ -209,7 +211,7 @@ def _epoch(rows: DataFrame, width: int, shapes: list[tuple[list[int], str]], sta
                     pick = order[at:at + how.batch_size]
                     net = Network.from_flat(sizes, act, own[i].w)
                     miss, grad = net.gradient(x[pick], y[pick])
-                    own[i].step((grad + how.alpha * net.penalty()) / len(pick), how)
+                    own[i].step((grad + masks[i] * own[i].w) / len(pick), how)
                     sse[i] += miss
         if not seen:
             return
@@ -227,10 +229,21 @@ def training_rows(df: DataFrame, x: Sequence[str], y: str) -> DataFrame:
     return wide.select(F.array(*[F.col(f"x{i}") for i in range(len(x))]).alias("x"), "y")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal the rows evenly over the shuffle partitions, once.
+
+    Averaged training wants partitions that look alike; files sorted by time or
+    place do not. It also puts every core to work when the input is one file.
+    """
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(parts)
+
+
 def train_networks(df: DataFrame, x: Sequence[str], y: str, networks: Sequence[Network],
                    plans: Sequence[Training], cache: bool = True) -> list[Fit]:
     """Train all networks together; each stops on its own settings, the passes are shared."""
-    rows = training_rows(df, x, y)
+    rows = spread(training_rows(df, x, y))
     if cache:
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -249,7 +262,7 @@ def train_networks(df: DataFrame, x: Sequence[str], y: str, networks: Sequence[N
             for i in active:
                 part, n, sse = made[i][:-2], made[i][-2], made[i][-1]
                 how, net = plans[i], fits[i].network
-                weights = net.penalty()
+                weights = net.mask() * states[i].w
                 loss = 0.5 * sse / n + 0.5 * how.alpha * float(weights @ weights) / n
                 if how.batch_size is None:
                     states[i].step((part + how.alpha * weights) / n, how)
@@ -355,10 +368,12 @@ def _activation_column(name: str, z: Column) -> Column:
 
 
 def mlp_predict(df: DataFrame, network: Network, x: Sequence[str], scaler: Scaler | None = None,
-                name: str = "prediction", column_limit: int = 400) -> DataFrame:
+                name: str = "prediction", column_limit: int = 48) -> DataFrame:
     """Predictions beside the rows; NULL where an input is missing.
 
-    Small networks become plain columns, larger ones one vectorised pass.
+    Networks of up to ``column_limit`` weights become plain columns; beyond that
+    the generated code outgrows what the JVM compiles and a vectorised pass over
+    Arrow batches is faster.
     """
     scale = dict(zip(scaler.columns, zip(scaler.means, scaler.scales))) if scaler else {}
     inputs = []

@@ -15,7 +15,7 @@ VALUE_LINE = 10
 
 def read_release_files(spark: SparkSession, glob: str) -> DataFrame:
     """``path, modified, content`` of every file that matches ``glob``."""
-    return (spark.read.option("wholetext", True).text(glob)
+    return (spark.read.text(glob, wholetext=True)
             .select(F.col("_metadata.file_path").alias("path"),
                     F.col("_metadata.file_modification_time").alias("modified"),
                     F.col("value").alias("content")))
