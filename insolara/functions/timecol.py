@@ -21,6 +21,20 @@ def hour(dt: Column) -> Column:
     return F.hour(dt)
 
 
+def whole_hour(dt: Column) -> Column:
+    """The full hour of a naive timestamp, without a detour through the session zone."""
+    return dt - past_hour(dt)
+
+
+def past_hour(dt: Column) -> Column:
+    """Minutes and seconds since the full hour, as an interval."""
+    return F.make_dt_interval(mins=F.minute(dt), secs=F.extract(F.lit("SECOND"), dt))
+
+
+def whole_month(dt: Column) -> Column:
+    return F.trunc(F.to_date(dt), "month").cast("timestamp_ntz")
+
+
 def weekday(dt: Column) -> Column:
     """Monday is 0."""
     return F.weekday(dt)

@@ -13,6 +13,9 @@ from insolara.functions.timecol import by_column, month_name
 from insolara.operators.quantiles import GROUP_ROWS, box_stats
 from insolara.operators.reshape import join_groups, melt
 
+# Distance from 1 that counts as exactly 1 (rounding of the square roots).
+ONE_TOLERANCE = 1e-12
+
 
 def hour_mean(df: DataFrame, columns: Sequence[str], dt: str = "dt") -> DataFrame:
     """The diurnal cycle."""
@@ -44,7 +47,7 @@ def _correlations(df: DataFrame, keys: Sequence[Column], names: Sequence[str], x
     """All correlations of one grouping in one aggregate; only the result is unfolded."""
     made = df.groupBy(*keys).agg(*[scores.correlation(F.col(c), F.col(y)).alias(c) for c in x])
     rows = melt(made, names, x, value="corr").where(F.col("corr").isNotNull())
-    return rows.where(F.col("corr") != 1) if drop_exact_one else rows
+    return rows.where(F.abs(F.col("corr") - 1) > ONE_TOLERANCE) if drop_exact_one else rows
 
 
 def corr_by(df: DataFrame, x: str, y: str, by: str, dt: str = "dt", drop_exact_one: bool = False) -> DataFrame:

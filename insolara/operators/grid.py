@@ -85,45 +85,43 @@ def station_cell_nearest(stations: DataFrame, lon_axis: Axis, lat_axis: Axis) ->
     return stations.withColumns({"iy": nearest(F.col("lat"), lat_axis), "ix": nearest(F.col("lon"), lon_axis)})
 
 
-def nearest_on_axis(points: DataFrame, axis: DataFrame, location: str, reach: float, key: str = "station_id",
-                    name: str = "index") -> DataFrame:
-    """Nearest entry of an irregular axis (``index, coord``) within ``reach``.
+def axis_vector(grid: DataFrame, index: str, coord: str) -> Column:
+    """The axis of a grid table as one array value (``i``, ``c``), to be used in any other frame.
 
-    Both sides are cut into bins of width ``reach``; a point looks into its own
-    bin and the two beside it, which makes the search an equi-join.
+    It holds one entry per index, so its size is that of the axis, not of the data.
     """
-    bins = axis.select(F.col("index").alias("_i"), F.col("coord").alias("_c"),
-                       F.floor(F.col("coord") / reach).alias("_bin"))
-    own = F.floor(F.col(location) / reach)
-    looked = points.select(key, location, F.explode(F.array(own - 1, own, own + 1)).alias("_bin"))
-    gap = F.abs(F.col("_c") - F.col(location))
-    found = (looked.join(bins, "_bin").where(gap <= reach)
-             .groupBy(key).agg(F.min(F.struct(gap.alias("gap"), F.col("_i")))["_i"].alias(name)))
-    return points.join(found, key, "left")
-
-
-def station_cell_box(stations: DataFrame, cells: DataFrame, reso: float = SEARCH_RESO) -> DataFrame:
-    """First cell (by iy, ix) of the box of half ``reso`` around each station.
-
-    ``cells`` is the coordinate table ``iy, ix, lat, lon``. Boxes of width
-    ``reso`` touch at most two bins per axis, so a station meets at most nine
-    bins and the range condition becomes an equi-join on bins.
+    entries = grid.select(F.col(index).cast("int").alias("i"), F.col(coord).cast("double").alias("c")).distinct()
+    return entries.agg(F.sort_array(F.collect_list(F.struct("i", "c")))).scalar()
+
+
+def axis_literal(coordinates: Sequence[float]) -> Column:
+    """The same from a coordinate vector at hand."""
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(c)).alias("c")) for i, c in enumerate(coordinates)])
+
+
+def nearest_on_axis(location: Column, axis: Column, reach: float) -> Column:
+    """Index of the nearest entry of an irregular axis within ``reach``; the smaller index on a tie.
+
+    A lookup in the axis vector: stations need neither a join nor a shuffle.
     """
+    gaps = F.transform(axis, lambda e: F.struct(F.abs(e["c"] - location).alias("gap"), e["i"].alias("i")))
+    return F.array_min(F.filter(gaps, lambda g: g["gap"] <= reach))["i"]
+
+
+def first_in_box(location: Column, axis: Column, reso: float) -> Column:
+    """First index whose coordinate lies within half of ``reso``."""
     half = reso / 2
-    binned = cells.select("iy", "ix", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"),
-                          F.floor(F.col("lat") / reso).alias("_by"), F.floor(F.col("lon") / reso).alias("_bx"))
-
-    def bins(col: str) -> Column:
-        return F.sequence(F.floor((F.col(col) - half) / reso), F.floor((F.col(col) + half) / reso))
-
-    looked = (stations.select("station_id", "lat", "lon")
-              .withColumn("_by", F.explode(bins("lat"))).withColumn("_bx", F.explode(bins("lon"))))
-    inside = (F.col("_lat").between(F.col("lat") - half, F.col("lat") + half)
-              & F.col("_lon").between(F.col("lon") - half, F.col("lon") + half))
-    found = (looked.join(binned, ["_by", "_bx"]).where(inside)
-             .groupBy("station_id").agg(F.min(F.struct("iy", "ix")).alias("_cell"))
-             .select("station_id", F.col("_cell.iy").alias("iy"), F.col("_cell.ix").alias("ix")))
-    return stations.join(found, "station_id", "left")
+    inside = F.filter(axis, lambda e: e["c"].between(location - half, location + half))
+    return F.array_min(F.transform(inside, lambda e: e["i"]))
+
+
+def station_cell_box(stations: DataFrame, lon_axis: Column, lat_axis: Column,
+                     reso: float = SEARCH_RESO) -> DataFrame:
+    """First cell of the box of half ``reso`` around each station, as a cropped file would start with it."""
+    return (stations.withColumns({"_lat_axis": lat_axis, "_lon_axis": lon_axis})
+            .withColumns({"iy": first_in_box(F.col("lat"), F.col("_lat_axis"), reso),
+                          "ix": first_in_box(F.col("lon"), F.col("_lon_axis"), reso)})
+            .drop("_lat_axis", "_lon_axis"))
 
 
 def unmatched(stations_with_cell: DataFrame) -> DataFrame:

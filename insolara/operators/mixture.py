@@ -223,7 +223,7 @@ def gmm_fit_many(df: DataFrame, column: str, width: int, counts: Sequence[int],
         for k in counts:
             if isinstance(start, Mixture):
                 models.append(start)
-            elif start == "bands":
+            elif start == "bands" or k == 1:
                 models.append(start_bands(rows, width, k, kind, shift))
             else:
                 models.append(start_kmeans(rows, width, k, kind, shift, seed))

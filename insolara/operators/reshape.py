@@ -22,19 +22,30 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 def step_position(df: DataFrame, time: str = "dt", by: Sequence[str] = (), name: str = "position") -> DataFrame:
     """Position (from 0) of every distinct time step, per group.
 
-    Two levels: days get their start from a running count of day totals (one row
-    per calendar day), steps are numbered inside their day. No task ever sorts a
-    whole series.
+    Three levels keep every window bounded by the clock, whatever the size of a
+    group: steps inside a second (at most a million), seconds inside a day, and
+    days, each starting from the running count of the level above.
     """
     keys = list(by)
-    steps = (df.select(*keys, time).where(F.col(time).isNotNull()).distinct()
-             .withColumn("_day", F.to_date(time)))
-    numbered = steps.withColumn("_in_day", F.row_number().over(Window.partitionBy(*keys, "_day").orderBy(time)) - 1)
-    days = steps.groupBy(*keys, "_day").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    starts = days.select(*keys, "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    joined = join_groups(numbered, starts, [*keys, "_day"])
-    return joined.select(*keys, time, (F.col("_start") + F.col("_in_day")).cast("bigint").alias(name))
+    moment = F.col(time)
+    clock = F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)
+    steps = (df.select(*keys, time).where(moment.isNotNull()).distinct()
+             .withColumns({"_day": F.to_date(moment), "_second": clock}))
+    inside = Window.partitionBy(*keys, "_day", "_second").orderBy(time)
+    numbered = steps.withColumn("_inside", F.row_number().over(inside) - 1)
+
+    def before(*order: str, within: Sequence[str]) -> Column:
+        frame = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(frame), F.lit(0))
+
+    seconds = steps.groupBy(*keys, "_day", "_second").agg(F.count("*").alias("_n"))
+    days = seconds.groupBy(*keys, "_day").agg(F.sum("_n").alias("_n"))
+    day_starts = days.select(*keys, "_day", before("_day", within=keys).alias("_day_start"))
+    second_starts = seconds.withColumn("_in_day", before("_second", within=[*keys, "_day"])).drop("_n")
+    starts = join_groups(second_starts, day_starts, [*keys, "_day"])
+    joined = join_groups(numbered, starts, [*keys, "_day", "_second"])
+    place = F.col("_day_start") + F.col("_in_day") + F.col("_inside")
+    return joined.select(*keys, time, place.cast("bigint").alias(name))
 
 
 def with_position(df: DataFrame, time: str = "dt", by: Sequence[str] = (), name: str = "position") -> DataFrame:

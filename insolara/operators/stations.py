@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from insolara.functions import columns as C
 from insolara.functions import scores
-from insolara.functions.timecol import epoch_micros_utc
+from insolara.functions.timecol import epoch_micros_utc, past_hour
 from insolara.operators.calendar import month_spans
 from insolara.operators.reshape import DAYTIME, step_position
 
@@ -141,8 +141,7 @@ def missing_steps(df: DataFrame, dt: str = "dt", first: int = DAYTIME[0], last:
     hours = F.filter(F.sequence(F.lit(first), F.lit(last)),
                      lambda h: F.call_function("shiftright", F.col("_lack"), h).bitwiseAND(F.lit(1)) == 1)
     gaps = joined.withColumn("_lack", lacking).where(F.col("_lack") != 0).withColumn("_h", F.explode(hours))
-    past_hour = F.col("lo") - F.date_trunc("hour", "lo").cast("timestamp_ntz")
-    step = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("_h")) + past_hour
+    step = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("_h")) + past_hour(F.col("lo"))
     return (gaps.withColumn(dt, step).where((F.col(dt) >= F.col("lo")) & (F.col(dt) <= F.col("hi")))
             .select("year", "month", "station_id", dt))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from insolara.functions.timecol import whole_hour
 from insolara.operators import align as A
 from insolara.operators.calendar import expand_days
 from insolara.plans import views as V
@@ -13,8 +14,7 @@ from insolara.plans.registry import plan, r, tidy, with_views
 
 def _source(spark: SparkSession, sf_dir: str, event_type: str, value: str) -> DataFrame:
     rows = V.event_rows(spark, sf_dir).where(F.col("event_type") == event_type)
-    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
-    return rows.groupBy((F.col("user_id") % V.STATIONS).alias("station_id"), hour.alias("dt")).agg(
+    return rows.groupBy((F.col("user_id") % V.STATIONS).alias("station_id"), whole_hour(F.col("ts")).alias("dt")).agg(
         F.avg(value).alias("value"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from insolara.functions.timecol import whole_month
 from insolara.operators import grid as R
 from insolara.plans import views as V
 from insolara.plans.registry import plan, r, tidy, with_views
@@ -32,7 +33,7 @@ def grid_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping files: every line number is a file with its own monthly fields."""
     line = V.table(spark, sf_dir, "lineitem")
-    month = F.date_trunc("month", "l_shipdate").cast("timestamp_ntz")
+    month = whole_month(F.col("l_shipdate"))
     return (line.groupBy(F.col("l_linenumber").alias("file_seq"), month.alias("time"),
                          F.floor(F.col("l_suppkey") % 100 / 10).cast("int").alias("iy"),
                          (F.col("l_suppkey") % 10).cast("int").alias("ix"))
@@ -102,9 +103,9 @@ def station_cell_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT s.station_id, p.i AS index FROM station s LEFT JOIN pairs p ON s.station_id = p.station_id AND p.rn = 1
     """, "station", "grid"))
 def nearest_on_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axis = V.grid(spark, sf_dir).select(F.col("ix").alias("index"), F.col("lon").alias("coord")).distinct()
-    found = R.nearest_on_axis(V.station(spark, sf_dir), axis, "lon", 0.08)
-    return found.select("station_id", "index")
+    axis = R.axis_vector(V.grid(spark, sf_dir), "ix", "lon")
+    held = V.station(spark, sf_dir).withColumn("axis", axis)
+    return held.select("station_id", R.nearest_on_axis(F.col("lon"), F.col("axis"), 0.08).alias("index"))
 
 
 @plan("station_cell_box", with_views("""
@@ -113,11 +114,13 @@ def nearest_on_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
                        PARTITION BY s.station_id ORDER BY c.iy, c.ix) AS rn
                    FROM station s JOIN cells c ON c.lat BETWEEN s.lat - 0.08::DOUBLE AND s.lat + 0.08::DOUBLE
                         AND c.lon BETWEEN s.lon - 0.08::DOUBLE AND s.lon + 0.08::DOUBLE)
-    SELECT s.station_id, f.iy, f.ix FROM station s LEFT JOIN found f ON s.station_id = f.station_id AND f.rn = 1
+    SELECT station_id, iy, ix FROM found WHERE rn = 1
     """, "station", "grid"))
 def station_cell_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = V.grid(spark, sf_dir).select("iy", "ix", "lat", "lon").distinct()
-    return R.station_cell_box(V.station(spark, sf_dir), cells, 0.16).select("station_id", "iy", "ix")
+    grid = V.grid(spark, sf_dir)
+    lon_axis, lat_axis = R.axis_vector(grid, "ix", "lon"), R.axis_vector(grid, "iy", "lat")
+    cells = R.station_cell_box(V.station(spark, sf_dir), lon_axis, lat_axis, 0.16)
+    return cells.where(F.col("iy").isNotNull() & F.col("ix").isNotNull()).select("station_id", "iy", "ix")
 
 
 NEAREST_CELLS = f"""

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from insolara.functions.timecol import whole_hour, whole_month
+
 STATIONS = 40
 
 # Schemas of the tables read here; giving them spares a job that opens file footers.
@@ -33,10 +35,6 @@ def _k(props: Column) -> Column:
     return F.regexp_extract(props, '"k": ([0-9]+)', 1).cast("double")
 
 
-def _hour(ts: Column) -> Column:
-    return F.date_trunc("hour", ts).cast("timestamp_ntz")
-
-
 def event_rows(spark: SparkSession, sf_dir: str, lo: str | None = None, hi: str | None = None) -> DataFrame:
     events = table(spark, sf_dir, "events")
     if lo:
@@ -49,7 +47,7 @@ def event_rows(spark: SparkSession, sf_dir: str, lo: str | None = None, hi: str
 def station_hour(spark: SparkSession, sf_dir: str, lo: str | None = None, hi: str | None = None) -> DataFrame:
     """Hourly observation and two models per station, one month, with gaps."""
     return (event_rows(spark, sf_dir, lo, hi)
-            .groupBy((F.col("user_id") % STATIONS).alias("station_id"), _hour(F.col("ts")).alias("dt"))
+            .groupBy((F.col("user_id") % STATIONS).alias("station_id"), whole_hour(F.col("ts")).alias("dt"))
             .agg(F.avg("value").alias("obs"), F.avg("k").alias("model_a"),
                  F.avg(0.9 * F.col("value") + 0.1 * F.col("k") + 2).alias("model_b")))
 
@@ -77,7 +75,7 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """10 x 10 cells, monthly u, v and p with coordinates."""
     line = table(spark, sf_dir, "lineitem")
     rows = line.groupBy(
-        F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("time"),
+        whole_month(F.col("l_shipdate")).alias("time"),
         F.floor(F.col("l_suppkey") % 100 / 10).cast("int").alias("iy"), (F.col("l_suppkey") % 10).cast("int").alias("ix"))
     made = rows.agg(F.avg(F.col("l_quantity") - 25).alias("u"), F.avg(F.col("l_discount") * 100 - 5).alias("v"),
                     F.avg("l_extendedprice").alias("p"))
@@ -101,7 +99,7 @@ def training(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regime_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clear and cloudy rows in one table."""
     rule = F.when(F.col("event_type").isin("click", "view"), "clear").otherwise("cloudy")
-    return (event_rows(spark, sf_dir).groupBy(rule.alias("regime"), _hour(F.col("ts")).alias("dt"))
+    return (event_rows(spark, sf_dir).groupBy(rule.alias("regime"), whole_hour(F.col("ts")).alias("dt"))
             .agg(F.avg("value").alias("obs"), F.avg("k").alias("model_a")))
 
 

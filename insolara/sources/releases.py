@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from insolara.functions.columns import PARITY_KELVIN_OFFSET, kelvin_to_celsius
-from insolara.functions.timecol import epoch_micros_utc
+from insolara.functions.timecol import epoch_micros_utc, whole_hour
 
 # Name pattern of a release file and the line (from 0) that carries the value.
 FILE_NAME = r"temp_pred\.(\d{10})\.release_(\d+)\.xml$"
@@ -45,7 +45,7 @@ def forecast_release(files: DataFrame, now: Column | str, hours: int = 24,
     hours present in the window (at most ``hours`` of them) decide the first gap.
     """
     moment = F.lit(now).cast("timestamp_ntz") if isinstance(now, str) else now
-    start = F.date_trunc("hour", moment).cast("timestamp_ntz")
+    start = whole_hour(moment)
     parsed = release_columns(files, value_line)
     newest = latest_release(parsed)
     window = (parsed.where(F.col("kelvin").isNotNull())
