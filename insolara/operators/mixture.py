@@ -18,6 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from insolara.functions.nulls import finite
 from insolara.operators.partials import Batches, matrix, summed
 from insolara.operators.reshape import DAYTIME, profile_vector
 
@@ -82,8 +83,8 @@ def _log_sum(values: np.ndarray) -> np.ndarray:
 def vectors(df: DataFrame, column: str, width: int) -> DataFrame:
     """Complete vectors as ``x``; rows with a missing or non-finite entry are left out."""
     x = F.col(column).cast("array<double>")
-    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
-    return df.where(F.size(x) == width).where(~bad).withColumn("x", x)
+    whole = F.forall(x, lambda v: F.coalesce(finite(v), F.lit(False)))
+    return df.where(F.size(x) == width).where(whole).withColumn("x", x)
 
 
 def _stat_size(kind: str, width: int) -> int:

@@ -18,7 +18,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from insolara.functions.nulls import drop_incomplete
+from insolara.functions.nulls import drop_incomplete, finite
 from insolara.functions.timecol import TRAINING_BLOCKS, training_block
 from insolara.operators.partials import Batches, matrix, summed, vector
 from insolara.operators.stats import Scaler, minmax_scale, scaler_fit
@@ -174,11 +174,15 @@ class _State:
 
 @dataclass
 class Fit:
-    """A trained network with its loss per epoch and its training R2."""
+    """A trained network with its loss per epoch and its scores on the training rows."""
 
     network: Network
     losses: list[float] = field(default_factory=list)
-    r2: float = float("nan")
+    score: dict[str, float] = field(default_factory=dict)
+
+    @property
+    def r2(self) -> float:
+        return self.score["r2"]
 
     @property
     def epochs(self) -> int:
@@ -224,9 +228,8 @@ def _epoch(rows: DataFrame, width: int, shapes: list[tuple[list[int], str]], sta
 
 def training_rows(df: DataFrame, x: Sequence[str], y: str) -> DataFrame:
     """Complete rows as ``x array<double>, y double``."""
-    wide = drop_incomplete(df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)],
-                                     F.col(y).cast("double").alias("y")))
-    return wide.select(F.array(*[F.col(f"x{i}") for i in range(len(x))]).alias("x"), "y")
+    rows = drop_incomplete(df.select(*dict.fromkeys([*x, y])))
+    return rows.select(F.array(*[F.col(c).cast("double") for c in x]).alias("x"), F.col(y).cast("double").alias("y"))
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -278,7 +281,7 @@ def train_networks(df: DataFrame, x: Sequence[str], y: str, networks: Sequence[N
             active = going
             epoch += 1
         for fit, score in zip(fits, _scores(rows, len(x), [f.network for f in fits])):
-            fit.r2 = score["r2"]
+            fit.score = score
         return fits
     finally:
         if cache:
@@ -397,7 +400,7 @@ def mlp_predict(df: DataFrame, network: Network, x: Sequence[str], scaler: Scale
         final = F.col(f"_layer{last + 1}")[0]
         whole = F.lit(True)
         for c in x:
-            whole = whole & F.col(c).isNotNull()
+            whole = whole & F.coalesce(finite(F.col(c).cast("double")), F.lit(False))
         return out.withColumn(name, F.when(whole, final)).drop(*[f"_layer{i}" for i in range(last + 2)])
 
     width = len(x)
@@ -413,7 +416,7 @@ def mlp_predict(df: DataFrame, network: Network, x: Sequence[str], scaler: Scale
         return pd.Series(values).where(usable)
 
     packed = F.array(*inputs)
-    return df.withColumn(name, run(F.when(~F.exists(packed, lambda v: v.isNull()), packed)))
+    return df.withColumn(name, run(F.when(F.forall(packed, lambda v: F.coalesce(finite(v), F.lit(False))), packed)))
 
 
 def _curves(df: DataFrame, labels: Sequence[str], fits: Sequence[Fit]) -> DataFrame:
@@ -471,14 +474,13 @@ def true_parameter_count(n_input: int, hidden: Sequence[int]) -> int:
 def mlp_bic_grid(df: DataFrame, x: Sequence[str], y: str, neurons: Sequence[int] = tuple(range(2, 20)),
                  max_iter: int = 1000, seed: int = 0, true_params: bool = False) -> DataFrame:
     """BIC and its distance to the best for every pair of layer widths; all fits share each pass."""
-    rows = drop_incomplete(df.select(*x, y))
     pairs = [(a, b) for a in neurons for b in neurons]
     plan = Training(learning_rate=0.01, tol=1e-3, patience=100, max_iter=max_iter, seed=seed)
     nets = [Network.create(len(x), pair, "tanh", seed) for pair in pairs]
-    fits = train_networks(rows, x, y, nets, [plan] * len(pairs))
-    scored = score_networks(rows, x, y, [f.network for f in fits])
+    fits = train_networks(df, x, y, nets, [plan] * len(pairs))
     made = []
-    for (a, b), fit, score in zip(pairs, fits, scored):
+    for (a, b), fit in zip(pairs, fits):
+        score = fit.score
         p = true_parameter_count(len(x), (a, b)) if true_params else grid_parameter_count(len(x), a, b)
         made.append((a, b, p, float(score["n"] * np.log(score["sse"] / score["n"]) + p * np.log(score["n"])),
                      float(fit.r2)))
