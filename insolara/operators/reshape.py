@@ -22,30 +22,29 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 def step_position(df: DataFrame, time: str = "dt", by: Sequence[str] = (), name: str = "position") -> DataFrame:
     """Position (from 0) of every distinct time step, per group.
 
-    Three levels keep every window bounded by the clock, whatever the size of a
-    group: steps inside a second (at most a million), seconds inside a day, and
-    days, each starting from the running count of the level above.
+    Three levels keep every group bounded by the clock, whatever the size of a
+    series: the steps of one second (at most a million) travel as one sorted
+    set, seconds are counted inside their day, and days inside their series.
     """
     keys = list(by)
     moment = F.col(time)
     clock = F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)
-    steps = (df.select(*keys, time).where(moment.isNotNull()).distinct()
-             .withColumns({"_day": F.to_date(moment), "_second": clock}))
-    inside = Window.partitionBy(*keys, "_day", "_second").orderBy(time)
-    numbered = steps.withColumn("_inside", F.row_number().over(inside) - 1)
+    seconds = (df.select(*keys, time).where(moment.isNotNull())
+               .groupBy(*keys, F.to_date(moment).alias("_day"), clock.alias("_second"))
+               .agg(F.sort_array(F.collect_set(time)).alias("_steps"))
+               .withColumn("_n", F.size("_steps")))
 
-    def before(*order: str, within: Sequence[str]) -> Column:
-        frame = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    def before(order: str, within: Sequence[str]) -> Column:
+        frame = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum("_n").over(frame), F.lit(0))
 
-    seconds = steps.groupBy(*keys, "_day", "_second").agg(F.count("*").alias("_n"))
     days = seconds.groupBy(*keys, "_day").agg(F.sum("_n").alias("_n"))
-    day_starts = days.select(*keys, "_day", before("_day", within=keys).alias("_day_start"))
-    second_starts = seconds.withColumn("_in_day", before("_second", within=[*keys, "_day"])).drop("_n")
-    starts = join_groups(second_starts, day_starts, [*keys, "_day"])
-    joined = join_groups(numbered, starts, [*keys, "_day", "_second"])
+    day_starts = days.select(*keys, "_day", before("_day", keys).alias("_day_start"))
+    in_day = seconds.withColumn("_in_day", before("_second", [*keys, "_day"])).drop("_n")
+    starts = join_groups(in_day, day_starts, [*keys, "_day"])
     place = F.col("_day_start") + F.col("_in_day") + F.col("_inside")
-    return joined.select(*keys, time, place.cast("bigint").alias(name))
+    return (starts.select(*keys, "_day_start", "_in_day", F.posexplode("_steps").alias("_inside", time))
+            .select(*keys, time, place.cast("bigint").alias(name)))
 
 
 def with_position(df: DataFrame, time: str = "dt", by: Sequence[str] = (), name: str = "position") -> DataFrame:
