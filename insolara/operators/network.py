@@ -232,15 +232,20 @@ def training_rows(df: DataFrame, x: Sequence[str], y: str) -> DataFrame:
     return rows.select(F.array(*[F.col(c).cast("double") for c in x]).alias("x"), F.col(y).cast("double").alias("y"))
 
 
+# Rows a task should hold at least: fewer make too few steps between two averages.
+ROWS_PER_TASK = 10_000
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Deal the rows evenly over the shuffle partitions, once.
 
     Averaged training wants partitions that look alike; files sorted by time or
-    place do not. It also puts every core to work when the input is one file.
+    place do not. It also puts the cores to work when the input is one file.
+    Small tables get fewer partitions, so that each epoch has enough steps.
     """
     spark = rows.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return rows.repartition(parts)
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(max(1, min(most, -(-rows.count() // ROWS_PER_TASK))))
 
 
 def train_networks(df: DataFrame, x: Sequence[str], y: str, networks: Sequence[Network],

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,6 +33,23 @@ def build_session(app: str = "insolara", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Needed where the package is not installed on the executors.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    stem = os.path.join(tempfile.mkdtemp(prefix="insolara-code-"), "insolara")
+    context.addPyFile(shutil.make_archive(stem, "zip", os.path.dirname(here), os.path.basename(here)))
+    _shipped.add(context.applicationId)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

@@ -123,10 +123,11 @@ def smooth(spark):
 X = ["a", "b", "c"]
 
 
-def test_full_batch_does_not_depend_on_partitions(spark, smooth):
+def test_full_batch_does_not_depend_on_partitions(spark, smooth, monkeypatch):
+    monkeypatch.setattr(N, "ROWS_PER_TASK", 100)
     plan = N.Training(learning_rate=0.05, batch_size=None, max_iter=5)
     results = []
-    for parts in ("2", "7"):
+    for parts in ("4", "13"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         results.append(N.train_networks(smooth, X, "y", [N.Network.create(3, (5,), "tanh", 1)], [plan])[0])
     spark.conf.set("spark.sql.shuffle.partitions", "4")
