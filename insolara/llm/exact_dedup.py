@@ -1,10 +1,12 @@
 """Exact duplicates by sorting content.
 
-Spark samples splitters of (normalised text, doc_id), range-partitions the rows by them and sorts
-each partition, spilling to disk where needed. Equal texts are then neighbours, and each row is
-compared in full with the one before it. As the splitters hold the id too, a text that fills a
-third of the table spreads over many partitions; its pieces are tied together by comparing the
-last text of a partition with the first of the next.
+Spark samples splitters, range-partitions the rows by them and sorts each partition, spilling to
+disk where needed. The order is that of the normalised text's first characters, then of a SHA-256
+that stands for the rest (a sampled splitter must not carry a whole long text to the driver), then
+of doc_id. Equal texts are then neighbours, and each row is compared in full with the one before it.
+As the splitters hold the id too, a text that fills a third of the table spreads over many
+partitions; its pieces are tied together by comparing the last text of a partition with the first
+of the next.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +25,8 @@ from insolara.llm.common import SPACE, prepare, shuffle_parts, stored, text_of
 
 Batches = Iterator[pa.RecordBatch]
 
-_OWN = ("__key", "__id")
+HEAD = 32
+
 _ADDED = [("__part", "int"), ("__run", "long"), ("__first", "boolean"), ("__head", "long"), ("__from", "string"),
           ("__to", "string")]
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
@@ -93,29 +96,31 @@ def _continued(edges: DataFrame) -> list[tuple[int, int, int, int | None]]:
     return out
 
 
-def grouped(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The ``carry`` columns of every row with ``__group``, ``__head`` (id that stays) and ``__stays``.
+def grouped(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of every row with ``__doc``, ``__sha``, ``__group``, ``__head`` (id that stays) and ``__stays``.
 
     Equal means identical after each run of ASCII white space became one space; NULL is empty. The
     least doc_id of a group heads it; rows without doc_id come last, and only if all lack one the
-    head is NULL. Of repeated rows exactly one stays. ``__key`` and ``__id`` may be carried too.
+    head is NULL. Of repeated rows exactly one stays.
     """
     spark = docs.sparkSession
     prepare(spark)
-    key = F.regexp_replace(text_of(), SPACE, " ")
-    number = F.col("doc_id").cast("long")
-    columns = [c for c in carry if c not in _OWN and c != "__sha"]
     names = [f"c{i}" for i in range(len(columns))]
-    plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)), number.alias("__id"),
-                        F.col("text").alias("__text") if "text" in columns else key.alias("__key"))
-    if "text" in columns:  # the text itself travels, its key is made again behind the shuffle
-        order = F.regexp_replace(text_of("__text"), SPACE, " ")
-    else:
-        order = F.col("__key")
-    dealt = plain.repartitionByRange(shuffle_parts(spark), order.asc(), F.col("__id").asc_nulls_last())
-    keyed = dealt.withColumn("__key", order).sortWithinPartitions(F.col("__key").asc(), F.col("__id").asc_nulls_last())
-    extra = [F.sha2("__key", 256).alias("__sha")] if "__sha" in carry else []
-    rows = keyed.select(*names, *(F.col("__id").alias("__doc") for _ in [0]), *extra, "__key", "__id")
+    whole = "text" in columns  # the text itself travels then, and its key is made again behind the shuffle
+
+    def key(column: str) -> Column:
+        return F.regexp_replace(text_of(column), SPACE, " ")
+
+    plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)),
+                        F.col("doc_id").cast("long").alias("__id"),
+                        F.col("text").alias("__text") if whole else key("text").alias("__key"))
+    of_text = key("__text") if whole else F.col("__key")
+    order = [F.substring(of_text, 1, HEAD), F.sha2(of_text, 256)]
+    dealt = plain.repartitionByRange(shuffle_parts(spark), *order, F.col("__id").asc_nulls_last())
+    keyed = dealt.withColumn("__key", of_text).withColumns({"__head": F.substring("__key", 1, HEAD),
+                                                           "__sha": F.sha2("__key", 256)})
+    rows = keyed.sortWithinPartitions("__head", "__sha", F.col("__id").asc_nulls_last()).select(
+        *names, F.col("__id").alias("__doc"), "__sha", "__key", "__id")
     kept = rows.columns[:-2]
     schema = T.StructType([T.StructField(f"c{i}", rows.schema[c].dataType) for i, c in enumerate(kept)]
                           + [T.StructField(c, {"int": T.IntegerType(), "long": T.LongType(), "boolean": T.BooleanType(),
@@ -144,7 +149,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     See :func:`grouped` for equality, NULLs and ties; ``text_sha256`` is of the normalised text.
     Sizes of groups of one are not stored, so the size table holds repeated texts only.
     """
-    rows = stored(grouped(docs, ["__sha"]), "members")
+    rows = stored(grouped(docs, []), "members")
     sizes = stored(rows.groupBy("__group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
     return rows.join(sizes, "__group", "left").select(
         F.col("__doc").alias("doc_id"), F.col("__head").alias("keep_id"),

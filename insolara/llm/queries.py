@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from insolara.llm import exact_dedup, simhash_dedup
+from insolara.llm import bpe, exact_dedup, ids_output, simhash_dedup
 from insolara.llm.common import prepare, table
+from insolara.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,3 +47,21 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 4-word shingles and the component of each document at 4 bits or fewer."""
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op1_byte_bpe")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each text by the ranks of a public vocabulary and the bytes they decode to, as digests."""
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                       public_tokenizers.PATTERN)
+
+
+@query("op4_token_id_output")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of each document's ids, read back from the files written."""
+    folder = scratch_path(spark, "token-ids")
+    files = ids_output.write_ids(table(spark, sf_dir, "documents"), folder,
+                                 public_tokenizers.path("byte_bpe_50k.json"))
+    back = ids_output.read_ids(files, folder)
+    return back.select("doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+                       F.crc32("ids").alias("ids_crc32"))
