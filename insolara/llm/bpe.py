@@ -245,9 +245,10 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded
     return encoded.select("doc_id", ids).mapInArrow(run, f"doc_id long, {ids} array<int>, {into} binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes, decodes again and sums up both."""
+def digests(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes, decodes again and sums up both; ``ids`` too if asked."""
     both = decode(encode(docs, path, pattern), path)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                       F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+    found = both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+    return found if keep_ids else found.drop("ids")

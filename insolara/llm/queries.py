@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from insolara.llm import bpe, exact_dedup, ids_output, simhash_dedup
+from insolara.llm import bpe, exact_dedup, ids_output, language_id, mixing, simhash_dedup
 from insolara.llm.common import prepare, table
 from insolara.session import scratch_path
 
@@ -65,3 +65,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = ids_output.read_ids(files, folder)
     return back.select("doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
                        F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op2_source_mixing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that a mix of all sources takes."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document by nearest centroids learned outside the held-out quarter."""
+    return language_id.languages(table(spark, sf_dir, "documents"))
