@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain, islice, pairwise
 
 import ahocorasick
@@ -27,7 +27,8 @@ from insolara.llm.common import prepare, text_of
 
 Batches = Iterator[pa.RecordBatch]
 
-MEMO = 1 << 19
+MEMO = 2 << 16
+SHIFT = 20
 LONG_PIECE = 64
 BLOCK = 1 << 16
 FLUSH = 1 << 22
@@ -39,24 +40,39 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def by_rank(ranks: dict[bytes, int]) -> list[bytes]:
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
 class Memo(dict):
-    """What ``make`` gives for a key, kept for at most MEMO keys; emptied when full."""
+    """What ``make`` gives for a key, kept for the MEMO latest keys and those of the MEMO before that are in use."""
 
     def __init__(self, make, keep=lambda key: True):
-        self.make, self.keep = make, keep
+        self.make, self.keep, self.old = make, keep, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if self.keep(key):
-            if len(self) >= MEMO:
-                self.clear()
+            self._room()
             self[key] = value
         return value
 
-    def learn(self, keys: list, values: list) -> None:
-        """Adds many at once, above the limit if need be until the next call."""
+    def _room(self) -> None:
         if len(self) >= MEMO:
+            self.old = dict(self)
             self.clear()
+
+    def lacks(self, key) -> bool:
+        return key not in self and key not in self.old
+
+    def learn(self, keys: list, values: list) -> None:
+        """Adds many at once, above the limit if need be until the next call."""
+        self._room()
         self.update(zip(keys, values))
 
 
@@ -67,7 +83,7 @@ def text_parts() -> re.Pattern:
 
 
 class ByteBPE:
-    """Encoder and decoder of one rank table; ``pattern`` cuts texts into pieces.
+    """Encoder of one rank table; ``pattern`` cuts texts into pieces.
 
     A piece may begin with white space but must not go on to white space after anything else, so that
     a text can be cut into white space and what follows it first. Most of these parts are words seen
@@ -75,12 +91,10 @@ class ByteBPE:
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
+        self.ranks, self.tokens = ranks, by_rank(ranks)
         self.cut = regex.compile(pattern)
-        self.tokens = [b""] * (max(ranks.values()) + 1)
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            self.tokens[rank] = token
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
         self.sizes = [len(t) for t in self.tokens]
@@ -112,14 +126,14 @@ class ByteBPE:
             out.append((token, ends))
         return out
 
-    def _fits(self, pair: tuple[int, int]) -> bool:
+    def _fits(self, pair: int) -> bool:
         """No merge across the border comes before the merges that make the two tokens.
 
         Of equal ranks the merge further left comes first.
         """
         get, none = self.ranks.get, len(self.tokens)
-        starts = self.edges[pair[1], 0]
-        for left, left_ends in self.edges[pair[0], 1]:
+        starts = self.edges[pair & (1 << SHIFT) - 1, 0]
+        for left, left_ends in self.edges[pair >> SHIFT, 1]:
             for right, right_ends in starts:
                 rank = get(left + right, none)
                 if rank < left_ends and rank <= right_ends and rank < none:
@@ -130,35 +144,34 @@ class ByteBPE:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        fits, letters = self.fits, piece.decode("latin-1")
-        greedy = [token for _, token in self.automaton.iter_long(letters)]
-        if all(map(fits.__getitem__, pairwise(greedy))):  # no need to step back
-            return greedy
-        size, sizes, shorter = len(piece), self.sizes, self.shorter
-        longest = [-1] * (size + 1)
-        for end, token in self.automaton.iter(letters):
-            longest[end + 1 - sizes[token]] = token  # later ends are longer
-        failed = bytearray(size + 1)
+        letters, sizes, fits = piece.decode("latin-1"), self.sizes, self.fits
+        longest = self.automaton.iter_long
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, last, size, failed = 0, -1, len(piece), None
+        ahead = longest(letters)  # the longest token at each place, read one by one
         while at < size:
-            if token >= 0:
-                end = at + sizes[token]
-                if not failed[end] and (not out or fits[out[-1], token]):
-                    out.append(token)
-                    at, token = end, longest[end]
-                else:
-                    token = shorter[token]
-            elif out:
-                failed[at] = 1
-                token = out.pop()
-                at -= sizes[token]
-            else:
-                raise ValueError("a byte of the piece is not in the vocabulary")
+            token = next(ahead)[1]
+            end = at + sizes[token]
+            if (last >= 0 and not fits[last << SHIFT | token]) or (failed and failed[end]):
+                failed = failed or bytearray(size + 1)
+                while failed[end] or (last >= 0 and not fits[last << SHIFT | token]):
+                    token = self.shorter[token]
+                    while token < 0:  # no token fits here: step back
+                        failed[at] = 1
+                        token = out.pop()
+                        at -= sizes[token]
+                        last = out[-1] if out else -1
+                    end = at + sizes[token]
+                ahead = longest(letters, end)
+            out.append(token)
+            at, last = end, token
         return out
 
     def _encode_part(self, part: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(self.encode_piece(p.encode("utf-8")) for p in self.cut.findall(part)))
+        ids: list[int] = []
+        for piece in self.cut.findall(part):
+            ids += self.encode_piece(piece.encode("utf-8"))
+        return tuple(ids)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text, without special tokens."""
@@ -170,38 +183,10 @@ class ByteBPE:
             blocks.append(np.fromiter(chain.from_iterable(map(known, block)), np.int32))
         return np.concatenate(blocks)
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
 
 _made: dict[int, ByteBPE] = {}
 
 
-def _coder(shared) -> ByteBPE:
-    """One coder per worker process and vocabulary."""
-    if shared.id not in _made:
-        _made[shared.id] = ByteBPE(*shared.value)
-    return _made[shared.id]
-
-
-class _Shared:
-    """The vocabulary, sent once to every executor; its size does not depend on the data."""
-
-    def __init__(self, spark, path: str, pattern: str):
-        sent = spark.sparkContext.broadcast((read_ranks(path), pattern))
-        self.sent, self.id = sent, sent._jbroadcast.id()
-
-    def __getstate__(self):
-        return self.sent, self.id
-
-    def __setstate__(self, state):
-        self.sent, self.id = state
-
-    @property
-    def value(self):
-        return self.sent.value
-
-
 def encode(docs: DataFrame, path: str, pattern: str, into: str = "ids") -> DataFrame:
     """``docs(doc_id, text)`` -> (doc_id, ids array<int>), each piece that ``pattern`` matches on its own.
 
@@ -209,10 +194,13 @@ def encode(docs: DataFrame, path: str, pattern: str, into: str = "ids") -> DataF
     """
     spark = docs.sparkSession
     prepare(spark)
-    shared = _Shared(spark, path, pattern)
+    shared = spark.sparkContext.broadcast((read_ranks(path), pattern))  # a vocabulary, whatever the data
+    number = shared._jbroadcast.id()
 
     def run(batches: Batches) -> Batches:
-        coder = _coder(shared)
+        if number not in _made:  # one encoder per worker process
+            _made[number] = ByteBPE(*shared.value)
+        coder = _made[number]
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
             held, size, start = [], 0, 0
@@ -231,14 +219,13 @@ def encode(docs: DataFrame, path: str, pattern: str, into: str = "ids") -> DataF
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """(doc_id, ids) -> (doc_id, ids, decoded binary); NULL ids count as none."""
-    spark = encoded.sparkSession
-    shared = _Shared(spark, path, "")
+    shared = encoded.sparkSession.sparkContext.broadcast(by_rank(read_ranks(path)))
 
     def run(batches: Batches) -> Batches:
-        coder = _coder(shared)
+        token = shared.value.__getitem__
         for batch in batches:
             column = batch.column(1)
-            texts = pa.array([coder.decode(column[i].values.to_pylist()) if column[i].is_valid else b""
+            texts = pa.array([b"".join(map(token, column[i].values.to_numpy().tolist())) if column[i].is_valid else b""
                               for i in range(batch.num_rows)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=["doc_id", ids, into])
 

@@ -14,9 +14,12 @@ Only files named by those rows count, so a repeated or lost task leaves no trace
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,9 @@ MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
 LEVEL = 3
 
+LINES = 4096
+PLAIN = re.compile(r" ?\S+").fullmatch  # at most one blank, then no white space of any kind
+
 
 def to_planes(values: np.ndarray, bits: bool = False) -> list[bytes]:
     """The byte planes of an unsigned array, or its bit planes, lowest first."""
@@ -153,26 +159,37 @@ class IdReader:
 class LibraryCoder:
     """Encodes whole texts with the tokenizers library.
 
-    The vocabulary cuts texts at white space before anything else, so equal words have equal ids; the
-    library encodes each new word and the ids of known ones are remembered.
+    The vocabulary cuts texts at white space before anything else, so equal words have equal ids. Words
+    not met lately go to the library as the lines of one text; a line break between two of them is a
+    token of its own, at which the ids are parted again. The ids of known words are remembered.
     """
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
         self.library.encode_special_tokens = True
-        self.known = Memo(lambda part: tuple(self.library.encode(part, add_special_tokens=False).ids))
+        self.known = Memo(self._whole)
         self.parts = text_parts()
+        self.line = self._whole("\n")
+
+    def _whole(self, part: str) -> tuple[int, ...]:
+        return tuple(self.library.encode_batch_fast([part], add_special_tokens=False)[0].ids)
+
+    def _words(self, words: list[str]) -> list[tuple[int, ...]]:
+        ids = self._whole("\n".join(words))
+        ends = [i for i, x in enumerate(ids) if x == self.line[0]]
+        return [ids[a:b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)])]
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         cut = [self.parts.findall(t) for t in texts]
-        known = self.known
-        new = list({p for parts in cut for p in parts if p not in known})
-        encoded = self.library.encode_batch_fast(new, add_special_tokens=False)
-        known.learn(new, [tuple(e.ids) for e in encoded])
-        get = known.__getitem__
-        return [np.fromiter((i for p in (*map(get, parts), (end_id,)) for i in p), np.uint32) for parts in cut]
+        lacks = self.known.lacks
+        words = [p for p in {p for parts in cut for p in parts if lacks(p)} if PLAIN(p)] if len(self.line) == 1 else []
+        for at in range(0, len(words), LINES):
+            self.known.learn(words[at:at + LINES], self._words(words[at:at + LINES]))
+        get, end = self.known.__getitem__, (end_id,)
+        return [np.fromiter(chain(chain.from_iterable(map(get, parts)), end), np.uint32) for parts in cut]
 
 
 _made: dict[int, LibraryCoder] = {}
@@ -198,8 +215,8 @@ def write_ids(docs: DataFrame, folder: str, definition: str, end_id: int = 2, bi
         store, at = fs.FileSystem.from_uri(folder)
         writer = path = stream = None
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                names, texts = (batch.column(i)[start:start + 256].to_pylist() for i in range(2))
+            for start in range(0, batch.num_rows, 64):
+                names, texts = (batch.column(i)[start:start + 64].to_pylist() for i in range(2))
                 if writer is None:
                     store.create_dir(at, recursive=True)
                     path = f"{at}/ids-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from insolara.llm import bpe, exact_dedup, ids_output, language_id, mixing, simhash_dedup
+from insolara.llm import bpe, exact_dedup, fingerprints, ids_output, language_id, mixing, simhash_dedup
 from insolara.llm.common import prepare, table
 from insolara.session import scratch_path
 
@@ -77,3 +77,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each document by nearest centroids learned outside the held-out quarter."""
     return language_id.languages(table(spark, sf_dir, "documents"))
+
+
+@query("op7_document_fingerprints")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of each text and of its edited text, and their likeness."""
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
