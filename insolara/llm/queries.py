@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from insolara.llm import bpe, exact_dedup, fingerprints, ids_output, language_id, mixing, simhash_dedup
+from insolara.llm import bpe, exact_dedup, fingerprints, html_wrapper, ids_output, language_id, mixing, simhash_dedup
 from insolara.llm.common import prepare, table
 from insolara.session import scratch_path
 
@@ -83,3 +83,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of each text and of its edited text, and their likeness."""
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op5_html_extraction")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page by the wrapper of its host."""
+    return html_wrapper.main_texts(table(spark, sf_dir, "pages"))
