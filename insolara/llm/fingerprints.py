@@ -29,7 +29,8 @@ def vote(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     Shuffles nothing if ``rows`` are already distributed by some of the keys.
     """
     words = F.split(F.trim(F.lower(F.col(text)), F.lit(BLANKS)), SPACE)
-    pairs = rows.select(*keys, words.alias("__w")).select(*keys, F.explode(F.arrays_zip(
+    # no array is empty; the outer form, since the plain one would add a filter that builds them once more
+    pairs = rows.select(*keys, words.alias("__w")).select(*keys, F.explode_outer(F.arrays_zip(
         F.col("__w").alias("a"), F.slice("__w", F.lit(2), F.size("__w")).alias("b"))).alias("__p"))
     term = pairs.select(*keys, F.xxhash64("__p.a", "__p.b").alias("__h"),
                         (F.length("__p.a") + F.coalesce(F.length("__p.b"), F.lit(0))).cast("long").alias("__weight"))

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from insolara.llm import bpe, exact_dedup, fingerprints, html_wrapper, ids_output, language_id, mixing, simhash_dedup
+from insolara.llm import (
+    bpe, exact_dedup, fingerprints, html_wrapper, ids_output, language_id, mixing, secret_scan, simhash_dedup,
+)
 from insolara.llm.common import prepare, table
 from insolara.session import scratch_path
 
@@ -89,3 +91,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of each page by the wrapper of its host."""
     return html_wrapper.main_texts(table(spark, sf_dir, "pages"))
+
+
+@query("op10_secret_scans")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in the texts with their word number and probability."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
