@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from insolara.llm import (
-    bpe, exact_dedup, fingerprints, html_wrapper, ids_output, language_id, mixing, secret_scan, simhash_dedup,
+    bpe, exact_dedup, fingerprints, html_wrapper, ids_output, language_id, lm_score, mixing, secret_scan,
+    simhash_dedup,
 )
 from insolara.llm.common import prepare, table
 from insolara.session import scratch_path
@@ -97,3 +98,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in the texts with their word number and probability."""
     return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op6_lm_scoring")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of each document."""
+    return lm_score.pseudo_likelihood(table(spark, sf_dir, "documents"))
