@@ -21,6 +21,7 @@ from insolara.llm.common import WORD, prepare, stored, text_of
 
 BITS = 4
 LAST = 1000
+TAIL = 64
 
 
 def fill_targets(sizes: dict, weights: dict, total: float, most: float = 3.0) -> dict:
@@ -34,7 +35,7 @@ def fill_targets(sizes: dict, weights: dict, total: float, most: float = 3.0) ->
             targets |= {s: unit * weights[s] for s in open_}
             break
         for s in full:
-            targets[s] = most * sizes[s]
+            targets[s] = float(most * sizes[s])
             left -= targets[s]
         open_ -= full
     return {s: targets.get(s, 0.0) for s in sizes}
@@ -113,12 +114,31 @@ def seeded(seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), 2)
 
 
+def _fill(held: list[tuple[int, int]], left: int) -> list[int]:
+    """Hashes of the (hash, size) entries to take: the first that fit, then of the last TAIL ones the fullest set."""
+    chosen = []
+    for u, size in held[:-TAIL]:
+        if 0 < size <= left:
+            left -= size
+            chosen.append(u)
+    tail = [(u, size) for u, size in held[-TAIL:] if 0 < size <= left]
+    reach, within = [1], (1 << left + 1) - 1  # bit n: some of the entries so far make n
+    for _, size in tail:
+        reach.append((reach[-1] | reach[-1] << size) & within)
+    at = reach[-1].bit_length() - 1
+    for (u, size), before in zip(reversed(tail), reversed(reach[:-1])):
+        if not before >> at & 1:
+            at -= size
+            chosen.append(u)
+    return chosen
+
+
 def _ends(rows: DataFrame, wanted: dict, counts: dict, key: Callable[[tuple], str]) -> tuple[dict, list]:
     """For each pattern the hash up to which its documents fill ``wanted`` tokens, and picks beyond it.
 
     ``rows(pattern, u, size)`` holds ``counts`` rows of each pattern. Each round splits the range where a pattern's sum passes its wanted
     tokens into 2^BITS parts and sums those, until the range holds LAST documents or fewer, or one hash.
-    These are then taken in order wherever they still fit.
+    These are then taken by :func:`_fill`.
     """
     low, width, left = {p: 0 for p in wanted}, 62, dict(wanted)
     picks, todo = [], set(wanted)
@@ -139,10 +159,7 @@ def _ends(rows: DataFrame, wanted: dict, counts: dict, key: Callable[[tuple], st
                 for name, u, size in narrowed(small).groupBy("pattern", "u").agg(F.sum("size")).collect():
                     found.setdefault(names[name], []).append((u, size))
             for p, held in found.items():
-                for u, size in sorted(held):
-                    if 0 < size <= left[p]:
-                        left[p] -= size
-                        picks.append((p, u))
+                picks.extend((p, u) for u in _fill(sorted(held), left[p]))
             todo -= small if width else todo
             if not todo:
                 break
