@@ -27,7 +27,7 @@ from insolara.llm.common import prepare, text_of
 
 Batches = Iterator[pa.RecordBatch]
 
-MEMO = 2 << 16
+MEMO = 3 << 16
 SHIFT = 20
 LONG_PIECE = 64
 BLOCK = 1 << 16
@@ -67,13 +67,18 @@ class Memo(dict):
             self.old = dict(self)
             self.clear()
 
-    def lacks(self, key) -> bool:
-        return key not in self and key not in self.old
+    def recall(self, keys: set) -> set:
+        """Makes room, takes what is kept for ``keys`` into the latest generation, returns the keys that lack a value.
 
-    def learn(self, keys: list, values: list) -> None:
-        """Adds many at once, above the limit if need be until the next call."""
+        Values added to the dictionary itself stay until the next call.
+        """
         self._room()
-        self.update(zip(keys, values))
+        lacking, old = keys - self.keys(), self.old
+        if old:
+            held = lacking & old.keys()
+            self.update(zip(held, map(old.__getitem__, held)))
+            lacking -= held
+        return lacking
 
 
 def text_parts() -> re.Pattern:

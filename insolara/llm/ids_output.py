@@ -40,7 +40,9 @@ BLOCK = 1 << 16
 LEVEL = 3
 
 LINES = 4096
-PLAIN = re.compile(r" ?\S+").fullmatch  # at most one blank, then no white space of any kind
+LOT = 2_000_000
+# a line break or not; a blank or not and all up to the last letter; the punctuation behind it
+WORD_FORM = re.compile(r"(\n?)( ?\S*[^\W_])([!-/:-@\[-`{-~]*)").fullmatch
 
 
 def to_planes(values: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -159,9 +161,10 @@ class IdReader:
 class LibraryCoder:
     """Encodes whole texts with the tokenizers library.
 
-    The vocabulary cuts texts at white space before anything else, so equal words have equal ids. Words
-    not met lately go to the library as the lines of one text; a line break between two of them is a
-    token of its own, at which the ids are parted again. The ids of known words are remembered.
+    The vocabulary cuts texts at white space, and between a letter and the punctuation after it, before
+    anything else; so the ids of a word are those of its stem and of its tail, wherever it stands. Stems
+    and tails not met lately go to the library as the lines of one text; a line break between two of
+    them is a token of its own, at which the ids are parted again. The ids of known words are kept.
     """
 
     def __init__(self, definition: str):
@@ -170,24 +173,34 @@ class LibraryCoder:
 
         self.library = Tokenizer.from_str(definition)
         self.library.encode_special_tokens = True
-        self.known = Memo(self._whole)
+        self.known, self.stems = Memo(self._whole), Memo(self._whole)
         self.parts = text_parts()
         self.line = self._whole("\n")
 
     def _whole(self, part: str) -> tuple[int, ...]:
         return tuple(self.library.encode_batch_fast([part], add_special_tokens=False)[0].ids)
 
-    def _words(self, words: list[str]) -> list[tuple[int, ...]]:
+    def _lines(self, words: list[str]) -> list[tuple[int, ...]]:
         ids = self._whole("\n".join(words))
         ends = [i for i, x in enumerate(ids) if x == self.line[0]]
         return [ids[a:b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)])]
 
+    def _compose(self, parts: set[str]) -> None:
+        """Learns parts: of a stem and a tail, after a line break or not; others go to the library one by one."""
+        forms = [(p, m.groups()) for p, m in ((p, WORD_FORM(p)) for p in parts) if m]
+        new = list(self.stems.recall({x for _, (_, stem, tail) in forms for x in (stem, tail)}))
+        for at in range(0, len(new), LINES):
+            self.stems.update(zip(new[at:at + LINES], self._lines(new[at:at + LINES])))
+        get, known, line = self.stems.__getitem__, self.known, self.line
+        for part, (broken, stem, tail) in forms:
+            ids = get(stem) + get(tail) if tail else get(stem)
+            known[part] = line + ids if broken else ids
+
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         cut = [self.parts.findall(t) for t in texts]
-        lacks = self.known.lacks
-        words = [p for p in {p for parts in cut for p in parts if lacks(p)} if PLAIN(p)] if len(self.line) == 1 else []
-        for at in range(0, len(words), LINES):
-            self.known.learn(words[at:at + LINES], self._words(words[at:at + LINES]))
+        new = self.known.recall(set().union(*cut))
+        if new and len(self.line) == 1:
+            self._compose(new)
         get, end = self.known.__getitem__, (end_id,)
         return [np.fromiter(chain(chain.from_iterable(map(get, parts)), end), np.uint32) for parts in cut]
 
@@ -195,6 +208,20 @@ class LibraryCoder:
 _made: dict[int, LibraryCoder] = {}
 
 
+def _lots(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """The rows of a batch in lots of about LOT characters."""
+    names, texts, size = [], [], 0
+    for name, text in zip(batch.column(0), batch.column(1)):
+        names.append(name.as_py())
+        texts.append(text.as_py())
+        size += len(texts[-1])
+        if size >= LOT:
+            yield names, texts
+            names, texts, size = [], [], 0
+    if names:
+        yield names, texts
+
+
 def write_ids(docs: DataFrame, folder: str, definition: str, end_id: int = 2, bits: bool = False) -> DataFrame:
     """Encodes ``docs(doc_id, text)`` in ascending doc_id order into files below ``folder``.
 
@@ -215,8 +242,7 @@ def write_ids(docs: DataFrame, folder: str, definition: str, end_id: int = 2, bi
         store, at = fs.FileSystem.from_uri(folder)
         writer = path = stream = None
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                names, texts = (batch.column(i)[start:start + 64].to_pylist() for i in range(2))
+            for names, texts in _lots(batch):
                 if writer is None:
                     store.create_dir(at, recursive=True)
                     path = f"{at}/ids-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
