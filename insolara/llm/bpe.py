@@ -31,7 +31,7 @@ MEMO = 3 << 16
 SHIFT = 20
 LONG_PIECE = 64
 BLOCK = 1 << 16
-FLUSH = 1 << 22
+LOT = 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -107,6 +107,7 @@ class ByteBPE:
         self.parts = text_parts()
         self.edges = Memo(self._edge)
         self.fits = Memo(self._fits)
+        self.pieces = Memo(lambda piece: self.encode_piece(piece.encode("utf-8")), lambda piece: len(piece) <= LONG_PIECE)
         self.known = Memo(self._encode_part, lambda part: len(part) <= LONG_PIECE)
 
     def _prefix(self, token: bytes) -> int:
@@ -173,10 +174,7 @@ class ByteBPE:
         return out
 
     def _encode_part(self, part: str) -> tuple[int, ...]:
-        ids: list[int] = []
-        for piece in self.cut.findall(part):
-            ids += self.encode_piece(piece.encode("utf-8"))
-        return tuple(ids)
+        return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.cut.findall(part))))
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text, without special tokens."""
@@ -188,6 +186,29 @@ class ByteBPE:
             blocks.append(np.fromiter(chain.from_iterable(map(known, block)), np.int32))
         return np.concatenate(blocks)
 
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """:meth:`encode` of several texts, whose new words are worked out first."""
+        cut = [self.parts.findall(t) for t in texts]
+        for part in self.known.recall(set().union(*cut)):
+            if len(part) <= LONG_PIECE:
+                self.known[part] = self._encode_part(part)
+        get = self.known.__getitem__
+        return [np.fromiter(chain.from_iterable(map(get, parts)), np.int32) for parts in cut]
+
+
+def lots(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """The (id, text) rows of a batch in lots of about LOT characters."""
+    names, texts, size = [], [], 0
+    for name, text in zip(batch.column(0), batch.column(1)):
+        names.append(name.as_py())
+        texts.append(text.as_py())
+        size += len(texts[-1])
+        if size >= LOT:
+            yield names, texts
+            names, texts, size = [], [], 0
+    if names:
+        yield names, texts
+
 
 _made: dict[int, ByteBPE] = {}
 
@@ -207,16 +228,12 @@ def encode(docs: DataFrame, path: str, pattern: str, into: str = "ids") -> DataF
             _made[number] = ByteBPE(*shared.value)
         coder = _made[number]
         for batch in batches:
-            names, texts = batch.column(0), batch.column(1)
-            held, size, start = [], 0, 0
-            for i in range(batch.num_rows):
-                held.append(coder.encode(texts[i].as_py()))
-                size += len(held[-1])
-                if size >= FLUSH or i == batch.num_rows - 1:
-                    ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))
-                    yield pa.RecordBatch.from_arrays([names[start:i + 1], ids], names=["doc_id", into])
-                    held, size, start = [], 0, i + 1
+            for names, texts in lots(batch):
+                # a lot of one long text is encoded in blocks of its words
+                found = coder.encode_many(texts) if len(texts) > 1 else [coder.encode(texts[0])]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), ids], names=["doc_id", into])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(run, f"doc_id long, {into} array<int>")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from insolara.llm.bpe import Memo, text_parts
+from insolara.llm.bpe import LONG_PIECE, Memo, lots, text_parts
 from insolara.llm.common import prepare, shuffle_parts, stored, text_of
 
 Batches = Iterator[pa.RecordBatch]
@@ -40,7 +40,6 @@ BLOCK = 1 << 16
 LEVEL = 3
 
 LINES = 4096
-LOT = 2_000_000
 # a line break or not; a blank or not and all up to the last letter; the punctuation behind it
 WORD_FORM = re.compile(r"(\n?)( ?\S*[^\W_])([!-/:-@\[-`{-~]*)").fullmatch
 
@@ -158,6 +157,11 @@ class IdReader:
                 yield name if has else None, np.concatenate(parts)
 
 
+def is_short(part: str) -> bool:
+    """Whether a word is worth remembering."""
+    return len(part) <= LONG_PIECE
+
+
 class LibraryCoder:
     """Encodes whole texts with the tokenizers library.
 
@@ -173,7 +177,7 @@ class LibraryCoder:
 
         self.library = Tokenizer.from_str(definition)
         self.library.encode_special_tokens = True
-        self.known, self.stems = Memo(self._whole), Memo(self._whole)
+        self.known, self.stems = Memo(self._whole, is_short), Memo(self._whole)
         self.parts = text_parts()
         self.line = self._whole("\n")
 
@@ -187,8 +191,8 @@ class LibraryCoder:
 
     def _compose(self, parts: set[str]) -> None:
         """Learns parts: of a stem and a tail, after a line break or not; others go to the library one by one."""
-        forms = [(p, m.groups()) for p, m in ((p, WORD_FORM(p)) for p in parts) if m]
-        new = list(self.stems.recall({x for _, (_, stem, tail) in forms for x in (stem, tail)}))
+        forms = [(p, m.groups()) for p, m in ((p, WORD_FORM(p)) for p in parts if is_short(p)) if m]
+        new = list(self.stems.recall({x for _, (_, stem, tail) in forms for x in (stem, tail) if x}))
         for at in range(0, len(new), LINES):
             self.stems.update(zip(new[at:at + LINES], self._lines(new[at:at + LINES])))
         get, known, line = self.stems.__getitem__, self.known, self.line
@@ -208,20 +212,6 @@ class LibraryCoder:
 _made: dict[int, LibraryCoder] = {}
 
 
-def _lots(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
-    """The rows of a batch in lots of about LOT characters."""
-    names, texts, size = [], [], 0
-    for name, text in zip(batch.column(0), batch.column(1)):
-        names.append(name.as_py())
-        texts.append(text.as_py())
-        size += len(texts[-1])
-        if size >= LOT:
-            yield names, texts
-            names, texts, size = [], [], 0
-    if names:
-        yield names, texts
-
-
 def write_ids(docs: DataFrame, folder: str, definition: str, end_id: int = 2, bits: bool = False) -> DataFrame:
     """Encodes ``docs(doc_id, text)`` in ascending doc_id order into files below ``folder``.
 
@@ -242,7 +232,7 @@ def write_ids(docs: DataFrame, folder: str, definition: str, end_id: int = 2, bi
         store, at = fs.FileSystem.from_uri(folder)
         writer = path = stream = None
         for batch in batches:
-            for names, texts in _lots(batch):
+            for names, texts in lots(batch):
                 if writer is None:
                     store.create_dir(at, recursive=True)
                     path = f"{at}/ids-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
