@@ -35,9 +35,12 @@ def align_subtract(predicted: DataFrame, observed: DataFrame, value: str = "valu
 
 
 def hour_profile_join(df: DataFrame, columns: Sequence[str], dt: str = "dt", suffix: str = "_hour_mean") -> DataFrame:
-    """Each row beside the mean of its hour of day. The profile has 24 rows at most, so it is broadcast."""
+    """Each row beside the mean of its hour of day; rows without a time stay, without a mean.
+
+    The profile has 24 rows at most, so it is broadcast.
+    """
     hourly = df.groupBy(F.hour(dt).alias("hour")).agg(*[F.avg(c).alias(f"{c}{suffix}") for c in columns])
-    return df.withColumn("hour", F.hour(dt)).join(F.broadcast(hourly), "hour")
+    return df.withColumn("hour", F.hour(dt)).join(F.broadcast(hourly), "hour", "left")
 
 
 def concat_columns(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from insolara.functions import scores
 from insolara.functions.columns import ratio
 from insolara.functions.timecol import by_column, month_name
-from insolara.operators.quantiles import GROUP_ROWS, box_stats
+from insolara.operators.quantiles import box_stats
 from insolara.operators.reshape import join_groups, melt
 
 # Distance from 1 that counts as exactly 1 (rounding of the square roots).
@@ -86,7 +86,7 @@ def normalise_by_max(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
 
 
 def box_stats_by(df: DataFrame, columns: Sequence[str], by: str | None = None, normalise: str = "none",
-                 dt: str = "dt", exact: bool = True, group_rows: int = GROUP_ROWS, axis: str = "hour") -> DataFrame:
+                 dt: str = "dt", exact: bool = True, axis: str = "hour") -> DataFrame:
     """Box statistics per hour (or other ``axis``) and variable, optionally per month or season slice."""
     if normalise not in ("none", "slice_max", "global_max"):
         raise ValueError("normalise must be none, slice_max or global_max")
@@ -97,7 +97,7 @@ def box_stats_by(df: DataFrame, columns: Sequence[str], by: str | None = None, n
         rows = normalise_by_max(rows, columns, [by])
     elif normalise != "none":
         rows = normalise_by_max(rows, columns)
-    return box_stats(melt(rows, keys, columns), [*keys, "var"], "value", exact, group_rows)
+    return box_stats(melt(rows, keys, columns), [*keys, "var"], "value", exact)
 
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -38,6 +39,7 @@ class Mixture:
     variances: np.ndarray
     loglik: float = float("nan")
     history: list[float] = field(default_factory=list)
+    rows: int = 0
 
     @property
     def k(self) -> int:
@@ -72,7 +74,7 @@ class Mixture:
         """Components sorted by their first mean, so labels do not depend on the start."""
         order = np.lexsort(self.means.T[::-1])
         return Mixture(self.kind, self.weights[order], self.means[order], self.variances[order],
-                       self.loglik, self.history)
+                       self.loglik, self.history, self.rows)
 
 
 def _log_sum(values: np.ndarray) -> np.ndarray:
@@ -82,9 +84,7 @@ def _log_sum(values: np.ndarray) -> np.ndarray:
 
 def vectors(df: DataFrame, column: str, width: int) -> DataFrame:
     """Complete vectors as ``x``; rows with a missing or non-finite entry are left out."""
-    x = F.col(column).cast("array<double>")
-    whole = F.forall(x, lambda v: F.coalesce(finite(v), F.lit(False)))
-    return df.where(F.size(x) == width).where(whole).withColumn("x", x)
+    return df.withColumn("x", whole_vector(F.col(column), width)).where(F.col("x").isNotNull())
 
 
 def _stat_size(kind: str, width: int) -> int:
@@ -119,8 +119,11 @@ def _maximise(kind: str, stats: np.ndarray, shift: np.ndarray) -> Mixture:
     return Mixture(kind, mass / mass.sum(), means + shift, spread)
 
 
-def em_pass(rows: DataFrame, models: Sequence[Mixture], shift: np.ndarray) -> list[tuple[Mixture, float]]:
-    """One E and M step for several mixtures in a single pass; returns each update with the mean log-likelihood before it."""
+def em_pass(rows: DataFrame, models: Sequence[Mixture], shift: np.ndarray) -> list[tuple[Mixture, float, int]]:
+    """One E and M step for several mixtures in a single pass.
+
+    Returns each update with the mean log-likelihood before it and the number of rows.
+    """
     width = models[0].width
 
     def task(batches: Batches) -> Iterator[tuple[int, np.ndarray]]:
@@ -141,7 +144,7 @@ def em_pass(rows: DataFrame, models: Sequence[Mixture], shift: np.ndarray) -> li
     for i, model in enumerate(models):
         part = totals[i]
         update = _maximise(model.kind, part[:-2].reshape(model.k, -1), shift)
-        out.append((update, float(part[-2] / part[-1])))
+        out.append((update, float(part[-2] / part[-1]), int(part[-1])))
     return out
 
 
@@ -180,10 +183,11 @@ def start_bands(rows: DataFrame, width: int, k: int, kind: str, shift: np.ndarra
     return _from_start(kind, stats, shift)
 
 
-def start_kmeans(rows: DataFrame, width: int, k: int, kind: str, shift: np.ndarray, seed: int) -> Mixture:
-    """Start from the clusters of Spark's k-means."""
+def start_kmeans(rows: DataFrame, width: int, k: int, kind: str, shift: np.ndarray, seed: int,
+                 max_iter: int = 100) -> Mixture:
+    """Start from the clusters of Spark's k-means, which ends when its centres rest or after ``max_iter`` rounds."""
     points = rows.select("x", array_to_vector("x").alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=20).fit(points)
+    model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(points)
     centers = np.array(model.clusterCenters())
 
     def task(batches: Batches) -> Iterator[tuple[int, np.ndarray]]:
@@ -227,13 +231,13 @@ def gmm_fit_many(df: DataFrame, column: str, width: int, counts: Sequence[int],
             elif start == "bands" or k == 1:
                 models.append(start_bands(rows, width, k, kind, shift))
             else:
-                models.append(start_kmeans(rows, width, k, kind, shift, seed))
+                models.append(start_kmeans(rows, width, k, kind, shift, seed, max(1, max_iter)))
         histories: list[list[float]] = [[] for _ in models]
         active = list(range(len(models)))
         for _ in range(max_iter):
             updates = em_pass(rows, [models[i] for i in active], shift)
             going = []
-            for i, (update, loglik) in zip(active, updates):
+            for i, (update, loglik, _) in zip(active, updates):
                 settled = len(histories[i]) > 0 and loglik - histories[i][-1] < gain
                 histories[i].append(loglik)
                 models[i] = update
@@ -243,65 +247,45 @@ def gmm_fit_many(df: DataFrame, column: str, width: int, counts: Sequence[int],
             if not active:
                 break
         finals = em_pass(rows, models, shift)
-        for model, history, (_, loglik) in zip(models, histories, finals):
-            model.loglik = loglik
+        for model, history, (_, loglik, n) in zip(models, histories, finals):
+            model.loglik, model.rows = loglik, n
             model.history = [*history, loglik]
         return [m.ordered() for m in models]
     finally:
         rows.unpersist()
 
 
-def log_density_columns(model: Mixture, column: Column) -> list[Column]:
-    """Log densities as columns, for diagonal and spherical mixtures."""
-    if model.kind == "full":
-        raise ValueError("full covariances have no column form; use gmm_predict")
-    out = []
-    for j in range(model.k):
-        fixed = float(np.log(model.weights[j]) - 0.5 * (np.log(2 * np.pi * model.variances[j])).sum())
-        pulls = F.lit(0.0)
-        for d in range(model.width):
-            gap = column[d] - F.lit(float(model.means[j, d]))
-            pulls = pulls + gap * gap / F.lit(float(model.variances[j, d]))
-        out.append(F.lit(fixed) - F.lit(0.5) * pulls)
-    return out
+def whole_vector(column: Column, width: int) -> Column:
+    """The vector if it has ``width`` finite entries, else NULL; the rule of :func:`vectors`."""
+    x = column.cast("array<double>")
+    return F.when((F.size(x) == width) & F.forall(x, lambda v: F.coalesce(finite(v), F.lit(False))), x)
 
 
 def gmm_predict(df: DataFrame, column: str, model: Mixture, name: str = "cluster") -> DataFrame:
-    """Most likely cluster (from 0) of every row; incomplete vectors get NULL.
+    """Most likely cluster (from 0) of every row, for any kind and width of model.
 
-    Narrow diagonal models become plain columns, wide or full ones run as one
-    vectorised pass over Arrow batches.
+    Vectors of another length or with a missing or non-finite entry get NULL.
     """
-    if model.kind != "full" and model.k * model.width <= 256:
-        dense = F.array(*log_density_columns(model, F.col(column)))
-        marked = df.withColumn("_logs", dense)
-        place = F.array_position("_logs", F.array_max("_logs")).cast("int") - 1
-        whole = ~F.exists("_logs", lambda v: v.isNull() | F.isnan(v))
-        return marked.withColumn(name, F.when(whole, place)).drop("_logs")
-
     width = model.width
 
-    @F.pandas_udf("int")
-    def label(x):  # noqa: ANN001, ANN202 - pandas series in and out
-        import pandas as pd
-
-        usable = [v is not None and len(v) == width and bool(np.isfinite(np.asarray(v, dtype=float)).all()) for v in x]
-        out = pd.array([None] * len(x), dtype="Int32")
-        if any(usable):
-            block = np.stack([np.asarray(v, dtype=float) for v, ok in zip(x, usable) if ok])
-            out[np.flatnonzero(usable)] = model.log_density(block).argmax(axis=1)
-        return pd.Series(out)
+    @F.arrow_udf("int")
+    def label(x: pa.Array) -> pa.Array:
+        out = np.zeros(len(x), np.int32)
+        known = x.is_valid().to_numpy(zero_copy_only=False)
+        if known.any():
+            flat = x.drop_null().flatten().to_numpy(zero_copy_only=False)
+            out[known] = model.log_density(flat.reshape(-1, width)).argmax(axis=1)
+        return pa.array(out, pa.int32(), mask=~known)
 
-    return df.withColumn(name, label(F.col(column).cast("array<double>")))
+    return df.withColumn(name, label(whole_vector(F.col(column), width)))
 
 
 def gmm_bic(df: DataFrame, column: str, width: int, counts: Sequence[int] = tuple(range(1, 13)),
             kind: str = "spherical", max_iter: int = 100, start: str = "kmeans", seed: int = 0) -> DataFrame:
     """BIC per number of clusters: -2 log L + p ln n."""
     models = gmm_fit_many(df, column, width, counts, max_iter, kind, start, seed)
-    n = vectors(df, column, width).count()
-    rows = [(int(m.k), int(m.parameter_count()), float(m.loglik * n),
-             float(-2.0 * m.loglik * n + m.parameter_count() * math.log(n))) for m in models]
+    rows = [(int(m.k), int(m.parameter_count()), float(m.loglik * m.rows),
+             float(-2.0 * m.loglik * m.rows + m.parameter_count() * math.log(m.rows))) for m in models]
     return df.sparkSession.createDataFrame(rows, "k int, params int, loglik double, bic double")
 
 

@@ -1,8 +1,8 @@
 """Feed-forward regression networks trained over partitions.
 
-Every epoch is one Spark job over the cached rows. Tasks start from the current
-weights, run mini-batch steps over their own Arrow batches and hand back their
-weights; Spark averages them, weighted by rows. With ``batch_size=None`` tasks
+Every epoch is one Spark job over the cached rows. Each shard of the rows starts
+from the current weights, runs mini-batch steps over its blocks and hands back
+its weights; Spark averages them, weighted by rows. With ``batch_size=None`` tasks
 return plain gradient sums instead and the driver takes one step, which makes
 the result independent of the partitioning. Several networks (a sweep, a grid,
 restarts) always share one pass over the data. Only weights travel.
@@ -12,10 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from itertools import groupby
+from operator import and_, itemgetter
 
 import numpy as np
-from pyspark import StorageLevel, TaskContext
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from insolara.functions.nulls import drop_incomplete, finite
@@ -193,16 +197,24 @@ def _epoch(rows: DataFrame, width: int, shapes: list[tuple[list[int], str]], sta
            plans: list[Training], ids: list[int], epoch: int) -> dict[int, np.ndarray]:
     """One pass: per network either (rows * state, rows, sse) or (gradient, rows, sse)."""
 
+    masks = [how.alpha * Network.from_flat(sizes, act, s.w).mask()
+             for (sizes, act), how, s in zip(shapes, plans, states)]
+
     def task(batches: Batches) -> Iterator[tuple[int, np.ndarray]]:
-        place = TaskContext.get().partitionId()
+        totals: list[np.ndarray | float] = [0.0] * len(ids)
+        for _, own in groupby(_blocks(batches, width), key=itemgetter(0)):
+            for i, part in enumerate(shard_sums(own)):
+                totals[i] = totals[i] + part
+        for i, total in zip(ids, totals):
+            if isinstance(total, np.ndarray):
+                yield i, total
+
+    def shard_sums(blocks: Iterator[tuple[int, int, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         own = [s.copy() for s in states]
-        masks = [how.alpha * Network.from_flat(sizes, act, s.w).mask()
-                 for (sizes, act), how, s in zip(shapes, plans, states)]
         grads = [np.zeros_like(s.w) for s in states]
         sse = np.zeros(len(ids))
         seen = 0
-        for number, batch in enumerate(batches):
-            x, y = matrix(batch, "x", width), vector(batch, "y")
+        for shard, number, x, y in blocks:
             seen += len(y)
             for i, ((sizes, act), how) in enumerate(zip(shapes, plans)):
                 if how.batch_size is None:
@@ -210,18 +222,15 @@ def _epoch(rows: DataFrame, width: int, shapes: list[tuple[list[int], str]], sta
                     grads[i] += grad
                     sse[i] += miss
                     continue
-                order = np.random.default_rng([how.seed, epoch, place, number]).permutation(len(y))
+                order = np.random.default_rng([how.seed, epoch, shard, number]).permutation(len(y))
                 for at in range(0, len(y), how.batch_size):
                     pick = order[at:at + how.batch_size]
                     net = Network.from_flat(sizes, act, own[i].w)
                     miss, grad = net.gradient(x[pick], y[pick])
                     own[i].step((grad + masks[i] * own[i].w) / len(pick), how)
                     sse[i] += miss
-        if not seen:
-            return
-        for i, how in enumerate(plans):
-            body = grads[i] if how.batch_size is None else own[i].vector() * seen
-            yield ids[i], np.concatenate([body, [seen, sse[i]]])
+        return [np.concatenate([grads[i] if how.batch_size is None else own[i].vector() * seen, [seen, sse[i]]])
+                for i, how in enumerate(plans)]
 
     return summed(rows, task)
 
@@ -232,26 +241,53 @@ def training_rows(df: DataFrame, x: Sequence[str], y: str) -> DataFrame:
     return rows.select(F.array(*[F.col(c).cast("double") for c in x]).alias("x"), F.col(y).cast("double").alias("y"))
 
 
-# Rows a task should hold at least: fewer make too few steps between two averages.
-ROWS_PER_TASK = 10_000
+# Shards of a training table, and rows of a block inside which mini-batches are drawn.
+SHARDS = 8
+BLOCK = 10_000
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Deal the rows evenly over the shuffle partitions, once.
+def spread(rows: DataFrame, shards: int) -> DataFrame:
+    """Rows with their ``shard``, each shard whole in one partition and in an order of its own.
 
-    Averaged training wants partitions that look alike; files sorted by time or
-    place do not. It also puts the cores to work when the input is one file.
-    Small tables get fewer partitions, so that each epoch has enough steps.
+    Shard and order follow from a hash of the row's values, so training depends on the data, the seed
+    and the number of shards alone, not on partitions, files or the size of the cluster. Averaged
+    training wants shards that look alike; files sorted by time or place do not.
     """
-    spark = rows.sparkSession
-    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return rows.repartition(max(1, min(most, -(-rows.count() // ROWS_PER_TASK))))
+    mark = F.xxhash64("x", "y")
+    marked = rows.withColumns({"shard": F.pmod(mark, F.lit(shards)).cast("int"), "mark": mark})
+    return marked.repartition(shards, "shard").sortWithinPartitions("shard", "mark", "x", "y").select("shard", "x", "y")
+
+
+def _blocks(batches: Batches, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(shard, number, x, y): blocks of BLOCK rows, the last of a shard shorter, however batches are cut."""
+    shard, number, xs, ys, held = None, 0, [], [], 0
+    for batch in batches:
+        marks, x, y = vector(batch, "shard"), matrix(batch, "x", width), vector(batch, "y")
+        at = 0
+        while at < len(marks):
+            if marks[at] != shard:
+                if held:
+                    yield int(shard), number, np.concatenate(xs), np.concatenate(ys)
+                shard, number, xs, ys, held = marks[at], 0, [], [], 0
+            end = min(at + BLOCK - held, int(np.searchsorted(marks, shard, side="right")))
+            xs.append(x[at:end])
+            ys.append(y[at:end])
+            held, at = held + end - at, end
+            if held == BLOCK:
+                yield int(shard), number, np.concatenate(xs), np.concatenate(ys)
+                number, xs, ys, held = number + 1, [], [], 0
+    if held:
+        yield int(shard), number, np.concatenate(xs), np.concatenate(ys)
 
 
 def train_networks(df: DataFrame, x: Sequence[str], y: str, networks: Sequence[Network],
-                   plans: Sequence[Training], cache: bool = True) -> list[Fit]:
-    """Train all networks together; each stops on its own settings, the passes are shared."""
-    rows = spread(training_rows(df, x, y))
+                   plans: Sequence[Training], cache: bool = True, shards: int = SHARDS) -> list[Fit]:
+    """Train all networks together; each stops on its own settings, the passes are shared.
+
+    At most ``shards`` tasks work at once: give as many as the cluster has cores. A loss that is not
+    finite (a learning rate too large) is an error.
+    """
+    rows = spread(training_rows(df, x, y), shards)
     if cache:
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -278,10 +314,12 @@ def train_networks(df: DataFrame, x: Sequence[str], y: str, networks: Sequence[N
                 else:
                     states[i] = _State.from_vector(part / n, states[i].samples + n)
                 fits[i].network = Network.from_flat(net.sizes, net.activation, states[i].w)
+                if not np.isfinite(loss):
+                    raise FloatingPointError(f"loss of network {i} is {loss} in epoch {epoch + 1}")
                 fits[i].losses.append(float(loss))
                 stale[i] = stale[i] + 1 if loss > best[i] - how.tol else 0
                 best[i] = min(best[i], loss)
-                if stale[i] <= how.patience and len(fits[i].losses) < how.max_iter and np.isfinite(loss):
+                if stale[i] <= how.patience and len(fits[i].losses) < how.max_iter:
                     going.append(i)
             active = going
             epoch += 1
@@ -370,58 +408,25 @@ def mlp_train_seasonal(df: DataFrame, x: Sequence[str], y: str, n_layers: int, n
     return out
 
 
-def _activation_column(name: str, z: Column) -> Column:
-    return {"identity": z, "tanh": F.tanh(z), "relu": F.greatest(z, F.lit(0.0)),
-            "logistic": F.lit(1.0) / (F.lit(1.0) + F.exp(-z))}[name]
-
-
 def mlp_predict(df: DataFrame, network: Network, x: Sequence[str], scaler: Scaler | None = None,
-                name: str = "prediction", column_limit: int = 48) -> DataFrame:
-    """Predictions beside the rows; NULL where an input is missing.
-
-    Networks of up to ``column_limit`` weights become plain columns; beyond that
-    the generated code outgrows what the JVM compiles and a vectorised pass over
-    Arrow batches is faster.
-    """
+                name: str = "prediction") -> DataFrame:
+    """Predictions beside the rows, for a network of any size; NULL where an input is missing or not finite."""
     scale = dict(zip(scaler.columns, zip(scaler.means, scaler.scales))) if scaler else {}
-    inputs = []
-    for c in x:
-        value = F.col(c).cast("double")
-        if c in scale:
-            value = (value - F.lit(scale[c][0])) / F.lit(scale[c][1])
-        inputs.append(value)
-    if len(network.flat()) <= column_limit:
-        out = df.withColumn("_layer0", F.array(*inputs))
-        last = len(network.weights) - 1
-        for i, (w, b) in enumerate(zip(network.weights, network.biases)):
-            before = F.col(f"_layer{i}")
-            units = []
-            for j in range(w.shape[1]):
-                z = F.lit(float(b[j]))
-                for p in range(w.shape[0]):
-                    z = z + before[p] * F.lit(float(w[p, j]))
-                units.append(z if i == last else _activation_column(network.activation, z))
-            out = out.withColumn(f"_layer{i + 1}", F.array(*units))
-        final = F.col(f"_layer{last + 1}")[0]
-        whole = F.lit(True)
-        for c in x:
-            whole = whole & F.coalesce(finite(F.col(c).cast("double")), F.lit(False))
-        return out.withColumn(name, F.when(whole, final)).drop(*[f"_layer{i}" for i in range(last + 2)])
-
+    raw = {c: F.col(c).cast("double") for c in x}
+    inputs = [(v - F.lit(scale[c][0])) / F.lit(scale[c][1]) if c in scale else v for c, v in raw.items()]
+    whole = reduce(and_, (F.coalesce(finite(v), F.lit(False)) for v in raw.values()))
     width = len(x)
 
-    @F.pandas_udf("double")
-    def run(block):  # noqa: ANN001, ANN202 - pandas series in and out
-        import pandas as pd
+    @F.arrow_udf("double")
+    def run(block: pa.Array) -> pa.Array:
+        out = np.zeros(len(block))
+        known = block.is_valid().to_numpy(zero_copy_only=False)
+        if known.any():
+            flat = block.drop_null().flatten().to_numpy(zero_copy_only=False)
+            out[known] = network.predict(flat.reshape(-1, width))
+        return pa.array(out, pa.float64(), mask=~known)
 
-        usable = block.notna().to_numpy()
-        values = np.full(len(block), np.nan)
-        if usable.any():
-            values[usable] = network.predict(np.stack(block[usable].to_list()).reshape(-1, width))
-        return pd.Series(values).where(usable)
-
-    packed = F.array(*inputs)
-    return df.withColumn(name, run(F.when(F.forall(packed, lambda v: F.coalesce(finite(v), F.lit(False))), packed)))
+    return df.withColumn(name, run(F.when(whole, F.array(*inputs))))
 
 
 def _curves(df: DataFrame, labels: Sequence[str], fits: Sequence[Fit]) -> DataFrame:
@@ -456,14 +461,15 @@ def mlp_sweep_solver(df: DataFrame, x: Sequence[str], y: str, max_iter: int = 50
                      scale: bool = False, seed: int = 0) -> DataFrame:
     """Loss per epoch for four forms of SGD and Adam, two layers of twenty logistic units."""
     base = Training(solver="sgd", learning_rate=0.05, max_iter=max_iter, patience=patience, seed=seed)
-    plans = [
-        ("1 SGD with constant learning rate", replace(base, momentum=0.0)),
-        ("2 SGD with invscaling learning rate", replace(base, momentum=0.0, schedule="invscaling")),
-        ("3 SGD with momentum with constant learning rate", base),
-        ("4 SGD with momentum with invscaling learning rate", replace(base, schedule="invscaling")),
-        ("5 ADAM", replace(base, solver="adam")),
-    ]
-    return _sweep(df, x, y, [(label, (20, 20), "logistic", plan) for label, plan in plans], scale)
+    plans = [replace(base, momentum=m, schedule=s) for m in (0.0, base.momentum) for s in ("constant", "invscaling")]
+    plans.append(replace(base, solver="adam"))
+    return _sweep(df, x, y, [(_label(p), (20, 20), "logistic", p) for p in plans], scale)
+
+
+def _label(plan: Training) -> str:
+    if plan.solver == "adam":
+        return "adam"
+    return f"{plan.solver}, {plan.schedule}, momentum {plan.momentum:g}"
 
 
 def grid_parameter_count(n_input: int, n1: int, n2: int) -> int:

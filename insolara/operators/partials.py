@@ -1,8 +1,8 @@
 """Sums of numpy arrays over partitions.
 
 A task folds its Arrow batches into one array per key; Spark adds the arrays
-element by element with an ordinary aggregate. What reaches the driver has the
-size of the model, not of the data.
+element by element. What reaches the driver has the size of the model, not of
+the data.
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 Batches = Iterator[pa.RecordBatch]
 Task = Callable[[Batches], Iterator[tuple[int, np.ndarray]]]
 
-_SCHEMA = "key int, part array<double>"
+_SCHEMA = "key int, slot int, part array<double>"
+FAN = 512
 
 
 def matrix(batch: pa.RecordBatch, column: str, width: int) -> np.ndarray:
@@ -32,24 +33,34 @@ def vector(batch: pa.RecordBatch, column: str) -> np.ndarray:
 
 def partial_rows(df: DataFrame, task: Task) -> DataFrame:
     def run(batches: Batches) -> Batches:
+        slot = TaskContext.get().partitionId() // FAN
         keys, parts = [], []
         for key, part in task(batches):
             keys.append(key)
             parts.append(np.asarray(part, dtype=np.float64))
         if keys:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int32()), pa.array(parts, pa.list_(pa.float64()))], names=["key", "part"])
+                [pa.array(keys, pa.int32()), pa.array([slot] * len(keys), pa.int32()),
+                 pa.array(parts, pa.list_(pa.float64()))], names=["key", "slot", "part"])
 
     return df.mapInArrow(run, _SCHEMA)
 
 
+def _added(group: pa.Table) -> pa.Table:
+    parts = group.column("part").combine_chunks()
+    total = parts.flatten().to_numpy(zero_copy_only=False).reshape(len(parts), -1).sum(axis=0)
+    return group.slice(0, 1).set_column(2, "part", pa.array([total], pa.list_(pa.float64())))
+
+
 def summed(df: DataFrame, task: Task) -> dict[int, np.ndarray]:
-    """Run ``task`` on every partition and add up the arrays per key."""
-    cells = partial_rows(df, task).select("key", F.posexplode("part").alias("pos", "v"))
-    totals = cells.groupBy("key", "pos").agg(F.sum("v").alias("v")).toPandas()
-    out = {}
-    for key, rows in totals.groupby("key"):
-        values = np.zeros(int(rows["pos"].max()) + 1)
-        values[rows["pos"].to_numpy()] = rows["v"].to_numpy()
-        out[int(key)] = values
+    """Run ``task`` on every partition and add up the arrays per key.
+
+    One row per task and key is shuffled, whatever the length of the arrays. FAN of them are added in
+    one task, and the driver adds what is left: one array per key and FAN partitions.
+    """
+    rows = partial_rows(df, task).groupBy("key", "slot").applyInArrow(_added, _SCHEMA).collect()
+    out: dict[int, np.ndarray] = {}
+    for row in sorted(rows, key=lambda r: (r["key"], r["slot"])):
+        part = np.array(row["part"])
+        out[row["key"]] = out[row["key"]] + part if row["key"] in out else part
     return out

@@ -1,11 +1,9 @@
-"""Exact quantiles and box statistics that hold for groups of any size.
+"""Exact quantiles and box statistics that hold for groups of any size, in one way.
 
-Groups up to ``group_rows`` rows use the built-in exact percentile. It keeps the
-distinct values of a group in one task, so larger groups are handled by
-narrowing: each round counts the values of a group in equal-width bins between
-two bounds, then moves the bounds to the smallest and largest value of the bin
-that holds the wanted rank. A round shuffles only bin counts, whatever the size
-or skew of the group, and the last bin holds one value: the exact order statistic.
+A first pass counts each group and brackets every wanted rank between two values of
+a quantile sketch. A second pass counts what lies below each bracket and the few
+distinct values inside it; the rank is then found among those. Whatever the size or
+skew of a group, both passes combine before they shuffle.
 """
 
 from __future__ import annotations
@@ -17,74 +15,60 @@ from pyspark.sql import functions as F
 
 from insolara.functions.nulls import present
 from insolara.operators.reshape import join_groups
-from insolara.session import cut_lineage
 
 QUARTILES = (0.25, 0.5, 0.75)
-GROUP_ROWS = 2_000_000
+ACCURACY = 10_000
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float] = QUARTILES,
-                    group_rows: int = GROUP_ROWS, bins: int = 1024) -> DataFrame:
-    """``keys, n, quantiles``: linear-interpolated quantiles of each group, as an array."""
-    rows = df.select(*keys, present(F.col(value).cast("double")).alias("_v")).where(F.col("_v").isNotNull())
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    wide = sizes.where(F.col("n") > group_rows)
-    if wide.isEmpty():
-        return _built_in(rows, keys, probs)
-    wide = cut_lineage(wide)
-    small = join_groups(rows, wide, keys, "left_anti") if keys else rows.limit(0)
-    return _built_in(small, keys, probs).unionByName(_narrowed(rows, wide, keys, probs, bins)).where(F.col("n") > 0)
-
-
-def _built_in(rows: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("_v", wanted).alias("quantiles"))
-
-
-def _narrowed(rows: DataFrame, wide: DataFrame, keys: Sequence[str], probs: Sequence[float], bins: int) -> DataFrame:
-    spots = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
-    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(s), F.ceil(s)) for s in spots])))
-    state = cut_lineage(wide.select(*keys, "n", F.explode(ranks).alias("rank"), F.lit(0).cast("bigint").alias("below"),
-                                    "lo", "hi"))
-    while not state.where(F.col("lo") < F.col("hi")).isEmpty():
-        state = cut_lineage(_round(rows, state, keys, bins))
-    order = state.groupBy(*keys, "n").agg(
-        F.map_from_entries(F.collect_list(F.struct("rank", "lo"))).alias("_at"))
-    values = []
-    for spot in spots:
-        under, over = F.col("_at")[F.floor(spot)], F.col("_at")[F.ceil(spot)]
-        values.append(under + (over - under) * (spot - F.floor(spot)))
-    return order.select(*keys, "n", F.array(*values).alias("quantiles"))
-
+                    accuracy: int = ACCURACY) -> DataFrame:
+    """``keys, n, quantiles``: linear-interpolated quantiles of each group, as an array.
 
-def _round(rows: DataFrame, state: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
-    """One narrowing round; the open intervals of a group never overlap, so a value falls in one of them."""
-    still = state.where(F.col("lo") < F.col("hi"))
-    spans = still.groupBy(*keys).agg(F.collect_set(F.struct("lo", "hi")).alias("_spans"))
+    ``accuracy`` is that of the sketch: a larger one leaves fewer values between its brackets, the
+    result is exact with any.
+    """
+    rows = df.select(*keys, present(F.col(value).cast("double")).alias("_v")).where(F.col("_v").isNotNull())
+    margin = 3.0 / accuracy
+    shares = [min(1.0, max(0.0, p + s)) for p in probs for s in (-margin, margin)]
+    sketch = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", F.array(*[F.lit(s) for s in shares]), accuracy).alias("_s")).where(F.col("n") > 0)
+    brackets = []
+    for i, p in enumerate(probs):
+        spot = F.lit(float(p)) * (F.col("n") - 1)
+        # groups of few rows are listed whole, ranks near the ends of others from their extremes
+        few, near_end = F.col("n") <= 2 * accuracy, F.col("n") * margin * 2 + 2
+        low = F.when(few | (spot <= near_end), F.col("_min")).otherwise(F.col("_s")[2 * i])
+        high = F.when(few | (spot >= F.col("n") - near_end), F.col("_max")).otherwise(F.col("_s")[2 * i + 1])
+        brackets.append(F.struct(spot.alias("spot"), low.alias("lo"), high.alias("hi")))
+    bounds = sketch.select(*keys, "n", F.array(*brackets).alias("_b"))
     if keys:
-        near = join_groups(rows, spans, keys)
+        near = join_groups(rows, bounds, keys)
     else:
-        near = rows.withColumn("_spans", spans.select("_spans").scalar())
-    span = F.get(F.filter("_spans", lambda s: F.col("_v").between(s["lo"], s["hi"])), F.lit(0))
-    placed = (near.withColumn("_s", span).where(F.col("_s").isNotNull())
-              .select(*keys, "_v", F.col("_s.lo").alias("lo"), F.col("_s.hi").alias("hi")))
-    counts = (placed.withColumn("_bin", _bin(F.col("_v"), F.col("lo"), F.col("hi"), bins))
-              .groupBy(*keys, "lo", "hi", "_bin")
-              .agg(F.count("*").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high")))
-    running = Window.partitionBy(*keys, "lo", "hi").orderBy("_bin")  # at most `bins` rows
-    counts = counts.withColumn("_upto", F.sum("_c").over(running))
-    start = F.col("below") + F.col("_upto") - F.col("_c")
-    moved = (join_groups(still, counts, [*keys, "lo", "hi"])
-             .where((F.col("rank") >= start) & (F.col("rank") < F.col("below") + F.col("_upto")))
-             .select(*keys, "n", "rank", start.alias("below"), F.col("_low").alias("lo"), F.col("_high").alias("hi")))
-    return moved.unionByName(state.where(F.col("lo") >= F.col("hi")))
+        near = rows.withColumn("_f", bounds.select(F.struct("n", "_b").alias("f")).scalar()).select(
+            "_v", F.col("_f.n").alias("n"), F.col("_f._b").alias("_b"))
+    within = F.exists("_b", lambda b: F.col("_v").between(b["lo"], b["hi"]))
+    # values outside all brackets only need counting: they fall together between the brackets' ends
+    place = F.when(within, F.col("_v"))
+    gap = F.when(~within, F.aggregate("_b", F.lit(0), lambda a, b: a + F.when(F.col("_v") > b["hi"], 1).otherwise(0)))
+    counts = near.groupBy(*keys, "n", "_b", place.alias("_v"), gap.alias("_gap")).agg(
+        F.count("*").alias("_c"), F.min("_v").alias("_least"))
+    order = Window.partitionBy(*keys).orderBy("_least")
+    running = counts.withColumn("_upto", F.sum("_c").over(order)).where(F.col("_v").isNotNull())
+    spots = F.transform("_b", lambda b: b["spot"])
+    picked = running.groupBy(*keys, "n", spots.alias("_spots")).agg(*[
+        _at_rank(i, side).alias(f"_q{i}{side}") for i in range(len(probs)) for side in ("floor", "ceil")])
+    values = []
+    for i in range(len(probs)):
+        spot, under, over = F.col("_spots")[i], F.col(f"_q{i}floor"), F.col(f"_q{i}ceil")
+        values.append(under + (over - under) * (spot - F.floor(spot)))
+    return picked.select(*keys, "n", F.array(*values).alias("quantiles"))
 
 
-def _bin(value: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """Monotone bin number; the ends always part, so every round makes progress."""
-    share = F.try_divide(value * 0.5 - lo * 0.5, hi * 0.5 - lo * 0.5)
-    place = F.least(F.floor(share * bins), F.lit(bins - 1).cast("bigint"))
-    return F.coalesce(place, F.when(value > lo, F.lit(bins - 1)).otherwise(F.lit(0)).cast("bigint"))
+def _at_rank(i: int, side: str) -> Column:
+    """The least value up to which more rows lie than the rank (from 0) below or above the i-th spot."""
+    rank = getattr(F, side)(F.col("_b")[i]["spot"])
+    return F.min(F.when(F.col("_upto") > rank, F.col("_v")))
 
 
 def approximate_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float] = QUARTILES,
@@ -96,11 +80,10 @@ def approximate_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs:
                                    F.percentile_approx("_v", wanted, accuracy).alias("quantiles"))
 
 
-def box_stats(df: DataFrame, keys: Sequence[str], value: str, exact: bool = True,
-              group_rows: int = GROUP_ROWS) -> DataFrame:
+def box_stats(df: DataFrame, keys: Sequence[str], value: str, exact: bool = True) -> DataFrame:
     """Quartiles, whiskers at 1.5 interquartile ranges, outlier count and mean per group."""
     rows = df.select(*keys, present(F.col(value).cast("double")).alias("_v")).where(F.col("_v").isNotNull())
-    made = (exact_quantiles(rows, keys, "_v", group_rows=group_rows) if exact
+    made = (exact_quantiles(rows, keys, "_v") if exact
             else approximate_quantiles(rows, keys, "_v"))
     q1, q2, q3 = (F.col("quantiles")[i] for i in range(3))
     fences = made.select(*keys, q1.alias("q1"), q2.alias("median"), q3.alias("q3"),

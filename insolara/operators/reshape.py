@@ -52,32 +52,37 @@ def with_position(df: DataFrame, time: str = "dt", by: Sequence[str] = (), name:
     return join_groups(df, step_position(df, time, by, name), [*by, time])
 
 
-def contiguous_prefix(df: DataFrame, dt: str = "dt", by: Sequence[str] = (), hours: int = 24,
+def contiguous_prefix(df: DataFrame, dt: str = "dt", by: Sequence[str] = (), hours: int | None = None,
                       start: str | None = None, value: str | None = None) -> DataFrame:
-    """Rows of each series from its start to the first missing hour.
+    """Rows of each series from its start to the first missing hour, ``hours`` of them at most if given.
 
-    ``start`` names a column with the first expected hour (default: the first
-    hour present). The hours present in the window form a set of at most
-    ``hours`` small numbers per series, so the first gap is one aggregate.
+    ``start`` names a column with the first expected hour (default: the first hour present). The run
+    ends at the least hour whose successor is missing, found by an anti join of the distinct hours,
+    so a series of any length needs no window.
     """
     keys = list(by)
     rows = df if value is None else df.where(F.col(value).isNotNull())
     rows = rows.where(F.col(dt).isNotNull())
     origin = F.min(start if start else dt)
-    full = F.sequence(F.lit(0), F.lit(hours))
-    gap = F.array_min(F.array_except(full, F.collect_set("_ahead")))
     if keys:
         starts = rows.groupBy(*keys).agg(origin.alias("_start"))
         located = join_groups(rows, starts, keys)
     else:
         located = rows.withColumn("_start", rows.agg(origin).scalar())
-    inside = (located.withColumn("_ahead", _hours_between(F.col("_start"), F.col(dt)))
-              .where(F.col("_ahead").between(0, hours - 1)))
+    inside = located.withColumn("_ahead", _hours_between(F.col("_start"), F.col(dt))).where(F.col("_ahead") >= 0)
+    if hours is not None:
+        inside = inside.where(F.col("_ahead") < hours)
+    present = inside.select(*keys, "_ahead").distinct()
+    before = present.select(*keys, (F.col("_ahead") - 1).alias("_ahead"))  # hours that have a successor
+    ends = join_groups(present, before, [*keys, "_ahead"], "left_anti")
+    run = F.when(F.min("_first") == 0, F.min("_ahead") + 1).otherwise(0)
     if keys:
-        runs = inside.groupBy(*keys).agg(gap.alias("_run"))
+        firsts = present.groupBy(*keys).agg(F.min("_ahead").alias("_first"))
+        runs = join_groups(ends, firsts, keys).groupBy(*keys).agg(run.alias("_run"))
         kept = join_groups(inside, runs, keys).where(F.col("_ahead") < F.col("_run"))
     else:
-        kept = inside.where(F.col("_ahead") < inside.agg(gap).scalar())
+        ends = ends.withColumn("_first", present.agg(F.min("_ahead")).scalar())
+        kept = inside.where(F.col("_ahead") < ends.agg(run).scalar())
     return kept.select(*df.columns)
 
 

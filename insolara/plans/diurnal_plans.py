@@ -144,9 +144,9 @@ def box_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH rows_ AS (SELECT l_returnflag AS flag, l_extendedprice AS v FROM lineitem),
     {box_sql('rows_', 'flag', 3)}""")
 def box_narrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Box statistics of a few heavy groups, by the narrowing rounds used above the group limit."""
+    """Box statistics of a few heavy groups, whose ranks are bracketed by a sketch."""
     rows = V.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
-    return tidy(box_stats(rows, ["flag"], "l_extendedprice", group_rows=1000), 3)
+    return tidy(box_stats(rows, ["flag"], "l_extendedprice"), 3)
 
 
 def _hist_sql(c: str) -> str:
@@ -179,7 +179,7 @@ def scatter_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT strftime(dt, '%b') AS month, {r('model_b')} AS x, {r('obs')} AS y FROM station_season
     WHERE month(dt) IN (11, 12, 1, 2, 3, 4)""", "station_season"))
 def scatter_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    months = [11, 12, 1, 2, 3, 4, 4]
+    months = [2, 11, 12, 1, 3, 2, 4]
     return tidy(G.scatter_month(V.station_season(spark, sf_dir), "model_b", "obs", months))
 
 

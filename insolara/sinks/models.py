@@ -28,10 +28,8 @@ def save_scaler(spark: SparkSession, scaler: Scaler, path: str) -> None:
 
 
 def model_name(prefix: str, network: Network, r2: float) -> str:
-    """Name with layers, neurons per layer and training R2."""
-    hidden = network.sizes[1:-1]
-    neurons = str(hidden[0]) if len(set(hidden)) == 1 else "x".join(str(h) for h in hidden)
-    return f"{prefix}_{len(hidden)}_layers_{neurons}_neurons_training_days_r2_{r2:.3f}"
+    """Name with the layer sizes, the activation and the training R2."""
+    return f"{prefix}-{'-'.join(str(s) for s in network.sizes)}-{network.activation}-r2-{r2:.3f}"
 
 
 def save_model(spark: SparkSession, network: Network, folder: str, prefix: str, r2: float) -> str:

@@ -38,11 +38,11 @@ def merge_time(df: DataFrame, order_col: str = "file_seq", keys: Sequence[str] =
                value: str = "value") -> DataFrame:
     """Merge time-overlapping files: of equal steps the one from the first file stays.
 
-    A minimum over ``(file order, value)`` combines on the map side, so any
-    number of copies of one step costs one row per task.
+    Both aggregates hold plain numbers, so they hash and combine on the map side: any number of copies
+    of one step costs one row per task. Equal files keep the least value.
     """
-    first = F.min(F.struct(F.col(order_col), F.col(value))).alias("_first")
-    return df.groupBy(*keys).agg(first).select(*keys, F.col(f"_first.{order_col}"), F.col(f"_first.{value}"))
+    least = df.groupBy(*keys, order_col).agg(F.min(value).alias(value))
+    return least.groupBy(*keys).agg(F.min(order_col).alias(order_col), F.min_by(value, order_col).alias(value))
 
 
 def count_steps(df: DataFrame, time: str = "time") -> DataFrame:

@@ -139,10 +139,10 @@ def test_parquet_layout_prunes(spark, tmp_path):
 def test_models_round_trip(spark, tmp_path):
     net = Network.create(3, (6, 4), "tanh", 1)
     path = save_model(spark, net, str(tmp_path), "best", 0.91234)
-    assert path.endswith("best_2_layers_6x4_neurons_training_days_r2_0.912")
+    assert path.endswith("best-3-6-4-1-tanh-r2-0.912")
     loaded = load_model(spark, path)
     assert loaded.sizes == net.sizes and (loaded.flat() == net.flat()).all()
-    assert model_name("m", Network.create(2, (5, 5)), 0.5) == "m_2_layers_5_neurons_training_days_r2_0.500"
+    assert model_name("m", Network.create(2, (5, 5)), 0.5) == "m-2-5-5-1-relu-r2-0.500"
     save_scaler(spark, Scaler(["a"], [1.0], [2.0]), str(tmp_path / "s"))
     assert load_scaler(spark, str(tmp_path / "s")) == Scaler(["a"], [1.0], [2.0])
 

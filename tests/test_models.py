@@ -1,6 +1,7 @@
 """Mixtures and networks: agreement with numpy, recovery, determinism, targets."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,25 +124,46 @@ def smooth(spark):
 X = ["a", "b", "c"]
 
 
-def test_full_batch_does_not_depend_on_partitions(spark, smooth, monkeypatch):
-    monkeypatch.setattr(N, "ROWS_PER_TASK", 100)
-    plan = N.Training(learning_rate=0.05, batch_size=None, max_iter=5)
+@pytest.mark.parametrize("batch_size", [None, 50])
+def test_training_does_not_depend_on_partitions(spark, smooth, batch_size):
+    plan = N.Training(learning_rate=0.05, batch_size=batch_size, max_iter=5)
     results = []
-    for parts in ("4", "13"):
-        spark.conf.set("spark.sql.shuffle.partitions", parts)
-        results.append(N.train_networks(smooth, X, "y", [N.Network.create(3, (5,), "tanh", 1)], [plan])[0])
+    for parts, rows_in_batch in ((4, 10_000), (8, 100), (13, 37)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_in_batch))
+        dealt = smooth.repartition(parts)
+        results.append(N.train_networks(dealt, X, "y", [N.Network.create(3, (5,), "tanh", 1)], [plan])[0])
     spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert results[0].network.flat() == pytest.approx(results[1].network.flat(), rel=1e-9)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    for other in results[1:]:
+        assert results[0].network.flat() == pytest.approx(other.network.flat(), rel=1e-9)
     assert results[0].losses[-1] < results[0].losses[0] and results[0].epochs == 5
 
 
+def test_blocks_do_not_depend_on_batches(monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 4)
+    shards, values = [0] * 5 + [2] * 4 + [3] * 9, list(range(18))
+
+    def batch(a, b):
+        return pa.RecordBatch.from_pydict({"shard": shards[a:b], "x": [[float(v)] for v in values[a:b]], "y": [float(v) for v in values[a:b]]})
+
+    for cuts in ([0, 18], [0, 1, 2, 3, 9, 10, 18], [0, 4, 5, 13, 18]):
+        got = [(s, n, y.tolist()) for s, n, _, y in N._blocks((batch(a, b) for a, b in zip(cuts, cuts[1:])), 1)]
+        assert got == [(0, 0, [0, 1, 2, 3]), (0, 1, [4]), (2, 0, [5, 6, 7, 8]), (3, 0, [9, 10, 11, 12]), (3, 1, [13, 14, 15, 16]), (3, 2, [17])]
+
+
+def test_a_loss_that_is_not_finite_is_an_error(smooth):
+    plan = N.Training(solver="sgd", learning_rate=1e6, batch_size=None, max_iter=50)
+    with pytest.raises(FloatingPointError):
+        N.train_networks(smooth, X, "y", [N.Network.create(3, (5,), "identity", 1)], [plan])
+
+
 def test_training_reaches_the_target(smooth):
     made = N.mlp_train(smooth, X, "y", 2, 10, max_iter=40, plan=N.Training(learning_rate=0.05, batch_size=50))
     assert made.r2 >= 0.8
-    predicted = N.mlp_predict(smooth, made.network, X, made.scaler)
-    small = N.mlp_predict(smooth, made.network, X, made.scaler, column_limit=10_000)
-    both = predicted.select(*X, "prediction").collect(), small.select(*X, "prediction").collect()
-    assert [r["prediction"] for r in both[0]] == pytest.approx([r["prediction"] for r in both[1]])
+    predicted = N.mlp_predict(smooth, made.network, X, made.scaler).select(*X, "prediction").collect()
+    plain = (np.array([[r[c] for c in X] for r in predicted]) - made.scaler.means) / made.scaler.scales
+    assert [r["prediction"] for r in predicted] == pytest.approx(made.network.predict(plain).tolist())
 
 
 def test_seasonal_models_reach_the_target(smooth):
@@ -151,11 +173,21 @@ def test_seasonal_models_reach_the_target(smooth):
 
 
 def test_prediction_of_incomplete_rows_is_null(spark):
-    df = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 2.0)], "i int, a double, b double")
-    net = N.Network.create(2, (3,), "logistic", 0)
-    for limit in (0, 100):
-        got = rows(N.mlp_predict(df, net, ["a", "b"], column_limit=limit).select("i", "prediction"), "i")
-        assert got[1][1] is None and got[0][1] == pytest.approx(float(net.predict(np.array([[1.0, 2.0]]))[0]))
+    df = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 2.0), (3, float("inf"), 2.0)], "i int, a double, b double")
+    for hidden in ((3,), (20, 20)):
+        net = N.Network.create(2, hidden, "logistic", 0)
+        got = rows(N.mlp_predict(df, net, ["a", "b"]).select("i", "prediction"), "i")
+        assert got[1][1] is None and got[2][1] is None
+        assert got[0][1] == pytest.approx(float(net.predict(np.array([[1.0, 2.0]]))[0]))
+
+
+@pytest.mark.parametrize("kind", M.KINDS)
+def test_labels_of_vectors_that_do_not_fit_are_null(spark, kind):
+    spread = np.ones((2, 2)) if kind != "full" else np.repeat(np.eye(2)[None], 2, axis=0)
+    model = M.Mixture(kind, np.array([0.5, 0.5]), np.array([[0.0, 0.0], [5.0, 5.0]]), spread)
+    data = [(0, [0.1, 0.0]), (1, [5.0, 4.0]), (2, [float("inf"), 1.0]), (3, [1.0]), (4, [1.0, 2.0, 3.0]), (5, None), (6, [1.0, None])]
+    got = M.gmm_predict(spark.createDataFrame(data, "i int, v array<double>"), "v", model).orderBy("i").collect()
+    assert [r["cluster"] for r in got] == [0, 1, None, None, None, None, None]
 
 
 def test_sweeps_have_one_row_per_epoch(smooth):
