@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from insolara.functions import columns as C
 from insolara.functions import scores
 from insolara.functions.timecol import epoch_micros_utc, past_hour
-from insolara.operators.calendar import month_spans
 from insolara.operators.reshape import DAYTIME, step_position
+from insolara.session import cut_lineage
 
 _HOUR_MICROS = 3_600_000_000
 
@@ -67,23 +67,35 @@ def record_counts_by_hour(df: DataFrame, stations: Sequence[int], dt: str = "dt"
             .agg(*[F.count_if(sid == s).alias(f"s{s}") for s in stations]))
 
 
-def _presence(df: DataFrame, spans: DataFrame, dt: str, first: int, last: int) -> DataFrame:
+def _station_days(df: DataFrame, dt: str) -> DataFrame:
+    """Per station, day and minute past the hour: mask of the hours present, first and last step.
+
+    The one reading of the table that the completeness family needs. A day has at most 24 hours, so one
+    integer holds them and combines with ``bit_or`` before the shuffle. The result is kept, since months,
+    stations, expected and present hours all follow from it. Rows without a time leave a row without a day.
+    """
+    bit = F.call_function("shiftleft", F.lit(1), F.hour(dt))
+    return cut_lineage(df.groupBy(
+        "station_id", F.to_date(dt).alias("day"), F.pmod(epoch_micros_utc(F.col(dt)), F.lit(_HOUR_MICROS)).alias("_past")
+    ).agg(F.bit_or(bit).alias("_hours"), F.min(dt).alias("_lo"), F.max(dt).alias("_hi")))
+
+
+def _month_spans(days: DataFrame) -> DataFrame:
+    return (days.where(F.col("day").isNotNull()).groupBy(F.year("day").alias("year"), F.month("day").alias("month"))
+            .agg(F.min("_lo").alias("lo"), F.max("_hi").alias("hi")))
+
+
+def _presence(days: DataFrame, spans: DataFrame, first: int, last: int) -> DataFrame:
     """Per station and day a bit mask of the expected steps that are present.
 
-    Expected steps are whole hours after the first step of the month, at most 24
-    a day, so one integer per station-day holds them all and combines with
-    ``bit_or`` before the shuffle.
+    Expected steps are whole hours after the first step of the month.
     """
     offset = F.pmod(epoch_micros_utc(F.col("lo")), F.lit(_HOUR_MICROS))
-    span = spans.select("year", "month", "lo", "hi", offset.alias("_offset"))
-    bit = F.call_function("shiftleft", F.lit(1), F.hour(dt))
-    same_minute = F.pmod(epoch_micros_utc(F.col(dt)), F.lit(_HOUR_MICROS)) == F.col("_offset")
-    rows = df.where(F.col(dt).isNotNull()).select(
-        "station_id", dt, F.year(dt).alias("year"), F.month(dt).alias("month"))
+    span = spans.select("year", "month", offset.alias("_offset"))
+    expected = F.when(F.col("_past") == F.col("_offset"), F.col("_hours").bitwiseAND(F.lit(_mask(first, last)))).otherwise(0)
+    rows = days.where(F.col("day").isNotNull()).withColumns({"year": F.year("day"), "month": F.month("day")})
     return (rows.join(F.broadcast(span), ["year", "month"])  # one row per calendar month
-            .groupBy("station_id", "year", "month", F.to_date(dt).alias("day"))
-            .agg(F.bit_or(F.when(same_minute & F.hour(dt).between(first, last), bit).otherwise(0)).alias("_mask"),
-                 F.count("*").alias("_rows")))
+            .groupBy("station_id", "year", "month", "day").agg(F.bit_or(expected).alias("_mask")))
 
 
 def _mask(first: int, last: int) -> int:
@@ -97,15 +109,16 @@ def completeness(df: DataFrame, dt: str = "dt", first: int = DAYTIME[0], last: i
     property of the month alone; present hours come from day masks, so the table
     is reduced to one small row per station-day before anything is joined.
     """
-    spans = month_spans(df, dt)
+    station_days = _station_days(df, dt)
+    spans = _month_spans(station_days)
     steps = F.sequence(F.col("lo"), F.col("hi"), F.expr("INTERVAL 1 HOUR"))
     expected = spans.select(
         "year", "month",
         F.size(F.filter(steps, lambda t: F.hour(t).between(first, last))).cast("bigint").alias("expected"))
-    have = (_presence(df, spans, dt, first, last)
+    have = (_presence(station_days, spans, first, last)
             .groupBy("station_id", "year", "month")
             .agg(F.sum(F.bit_count("_mask")).cast("bigint").alias("present"), F.count("*").alias("days")))
-    slots = station_months(df, expected.select("year", "month", "expected"))
+    slots = station_months(station_days, expected.select("year", "month", "expected"))
     return (slots.join(have, ["station_id", "year", "month"], "left")
             .select("year", "month", "station_id", "expected",
                     F.coalesce("present", F.lit(0)).cast("bigint").alias("present"),
@@ -132,10 +145,14 @@ def missing_steps(df: DataFrame, dt: str = "dt", first: int = DAYTIME[0], last:
 
     Expected and present hours meet as day masks; only missing hours are unfolded.
     """
-    spans = month_spans(df, dt)
+    station_days = _station_days(df, dt)
+    return _missing_steps(station_days, _month_spans(station_days), dt, first, last)
+
+
+def _missing_steps(station_days: DataFrame, spans: DataFrame, dt: str, first: int, last: int) -> DataFrame:
     days = F.sequence(F.to_date("lo"), F.to_date("hi"), F.expr("INTERVAL 1 DAY"))
-    calendar = station_months(df, spans).select("station_id", "year", "month", "lo", "hi", F.explode(days).alias("day"))
-    have = _presence(df, spans, dt, first, last)
+    calendar = station_months(station_days, spans).select("station_id", "year", "month", "lo", "hi", F.explode(days).alias("day"))
+    have = _presence(station_days, spans, first, last)
     joined = calendar.join(have, ["station_id", "year", "month", "day"], "left")
     lacking = F.bitwise_not(F.coalesce("_mask", F.lit(0))).bitwiseAND(F.lit(_mask(first, last)))
     hours = F.filter(F.sequence(F.lit(first), F.lit(last)),
@@ -148,11 +165,12 @@ def missing_steps(df: DataFrame, dt: str = "dt", first: int = DAYTIME[0], last:
 
 def missing_map(df: DataFrame, dt: str = "dt", first: int = DAYTIME[0], last: int = DAYTIME[-1]) -> DataFrame:
     """Missing hours with their position in the month's daytime calendar."""
-    spans = month_spans(df, dt)
+    station_days = _station_days(df, dt)
+    spans = _month_spans(station_days)
     steps = F.filter(F.sequence(F.col("lo"), F.col("hi"), F.expr("INTERVAL 1 HOUR")),
                      lambda t: F.hour(t).between(first, last))
     position = spans.select("year", "month", F.posexplode(steps).alias("position", dt))
-    return (missing_steps(df, dt, first, last).join(position, ["year", "month", dt])
+    return (_missing_steps(station_days, spans, dt, first, last).join(position, ["year", "month", dt])
             .select("year", "month", "station_id", dt, F.col("position").cast("bigint").alias("position")))
 
 

@@ -88,6 +88,14 @@ def bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.bbox(V.station(spark, sf_dir), "reu").select("station_id", "lon", "lat")
 
 
+@plan("around", with_views("""
+    SELECT station_id, lon, lat FROM station
+    WHERE lon BETWEEN 55.4::DOUBLE - 0.15::DOUBLE AND 55.4::DOUBLE + 0.15::DOUBLE
+          AND lat BETWEEN -21.1::DOUBLE - 0.15::DOUBLE AND -21.1::DOUBLE + 0.15::DOUBLE""", "station"))
+def around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.around(V.station(spark, sf_dir), 55.4, -21.1, 0.3).select("station_id", "lon", "lat")
+
+
 @plan("stride", with_views(f"""
     SELECT time, iy, ix, {r('u')} AS u FROM grid WHERE iy % 2 = 0 AND ix % 2 = 0""", "grid"))
 def stride(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from insolara.functions.timecol import whole_month
 from insolara.operators import grid as R
+from insolara.operators.reshape import with_position
 from insolara.plans import views as V
 from insolara.plans.registry import plan, r, tidy, with_views
 from insolara.sources import grids as S
@@ -67,6 +68,16 @@ def slice_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(S.slice_steps(rows, 5, 20))
 
 
+@plan("grid_times_from_start", with_views(f"""
+    SELECT TIMESTAMP '2004-10-15 00:00:00' + to_hours(step) AS time, iy, ix, {r('u')} AS u
+    FROM (SELECT *, dense_rank() OVER (ORDER BY time) - 1 AS step FROM grid)""", "grid"))
+def grid_times_from_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps that only count, dated from a start."""
+    rows = with_position(V.grid(spark, sf_dir).select("time", "iy", "ix", "u"), "time", name="step").drop("time")
+    dated = S.grid_times_from_start(rows.withColumn("step", F.col("step").cast("int")), "2004-10-15 00:00:00")
+    return tidy(dated.select("time", "iy", "ix", "u"))
+
+
 def _first_sql(loc: str, axis: R.SpanAxis) -> str:
     """The search as a list scan over the axis."""
     at = f"({axis.start}::DOUBLE + (j + 1) * ({axis.end}::DOUBLE - {axis.start}::DOUBLE) / {axis.n})"

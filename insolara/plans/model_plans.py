@@ -354,6 +354,20 @@ def mlp_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(made.select("l_orderkey", "l_linenumber", "prediction"))
 
 
+def _wide_network() -> N.Network:
+    """Two layers of ten with given weights, from a rule."""
+    count = (3 + 1) * 10 + (10 + 1) * 10 + (10 + 1)
+    return N.Network.from_flat([3, 10, 10, 1], "logistic", [math.sin(1.3 * i) / 2 for i in range(count)])
+
+
+@plan("mlp_predict_wide", with_views(f"""
+    SELECT l_orderkey, l_linenumber, {r('n2_0')} AS prediction
+    FROM {network_sql(_wide_network(), FEATURES, 'training')}""", "training"))
+def mlp_predict_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = N.mlp_predict(V.training(spark, sf_dir), _wide_network(), FEATURES)
+    return tidy(made.select("l_orderkey", "l_linenumber", "prediction"))
+
+
 def smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training table with a target that its inputs explain."""
     target = 10 * F.sin(F.col("x1") / 10) + 40 * F.col("x2") + 100 * F.col("x3") * F.col("x2")

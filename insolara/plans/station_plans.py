@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from insolara.operators import stations as G
 from insolara.operators.align import align_subtract
-from insolara.operators.filters import exclude_stations, hour_range, time_range
+from insolara.operators.filters import exclude_stations, hour_range, station_filter, time_range
+from insolara.operators.reshape import first_steps
 from insolara.operators.stats import group_variation
 from insolara.operators.verify import error_series, forecast_scores, hourly_uncertainty, verify_by_station
 from insolara.plans import views as V
@@ -262,6 +263,15 @@ def scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(forecast_scores(V.station_hour(spark, sf_dir), "model_b", "obs"), mape=4)
 
 
+@plan("forecast_scores_first_day", with_views(f"""
+    SELECT {scores_sql('model_b', 'obs')}
+    FROM (SELECT * FROM station_hour WHERE station_id = 3 ORDER BY dt LIMIT 24)""", "station_hour"))
+def scores_first_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily report of one station: its first 24 steps."""
+    rows = first_steps(station_filter(V.station_hour(spark, sf_dir), 3))
+    return tidy(forecast_scores(rows, "model_b", "obs"), mape=4)
+
+
 @plan("forecast_scores_by_station", with_views(f"""
     SELECT station_id, {scores_sql('model_b', 'obs')} FROM station_hour GROUP BY 1""", "station_hour"))
 def scores_by_station(spark: SparkSession, sf_dir: str) -> DataFrame:
