@@ -105,56 +105,64 @@ class Windows:
         return cls(stream, starts[owner] + np.arange(len(owner)) - first[owner], owner)
 
     def around(self, places: np.ndarray) -> np.ndarray:
-        steps = [s for s in range(-REACH, REACH + 1) if s]
-        return np.stack([self.stream[places + s] for s in steps], axis=1)
+        steps = np.array([s for s in range(-REACH, REACH + 1) if s])
+        return self.stream.take(places[:, None] + steps)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _log_chances(z: np.ndarray, at: np.ndarray, slope: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-softmax of each row at its column ``at``; with ``slope``, the softmax less one at that column. Uses up ``z``."""
+    rows = np.arange(len(z))
+    z -= z.max(axis=1, keepdims=True)
+    chosen = z[rows, at]
+    np.exp(z, out=z)
+    total = z.sum(axis=1)
+    if slope:
+        z /= total[:, None]
+        z[rows, at] -= 1
+    return chosen - np.log(total), z if slope else None
+
+
+def _by_key(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that sorts small keys, and where each new one begins."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")  # a radix sort for short integers
+    ordered = keys[order]
+    return order, np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
 
 
 def forward(w: dict[str, np.ndarray], near: np.ndarray, token: np.ndarray, grad: dict[str, np.ndarray] | None = None
             ) -> np.ndarray:
     """Log-probability of each ``token`` given its neighbours; with ``grad``, that of the mean loss too."""
-    n = len(token)
-    x = w["embed"][near].reshape(n, -1)
+    n, learns = len(token), grad is not None
+    x = w["embed"].take(near, axis=0).reshape(n, -1)
     h = np.tanh(x @ w["mix"] + w["shift"])
+    # rows by class, so that the places of a class are one slice
+    order, first = _by_key(token // PLACES)
+    h, token = h[order], token[order]
     kind, place = token // PLACES, token % PLACES
-    logs = _log_softmax(h @ w["classes"] + w["class_bias"])
-    out = logs[np.arange(n), kind]
-    order = np.argsort(kind, kind="stable")
-    bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    back = None
-    if grad is not None:
-        dz = np.exp(logs)
-        dz[np.arange(n), kind] -= 1
+    logs, dz = _log_chances(h @ w["classes"] + w["class_bias"], kind, learns)
+    if learns:
         dz /= n
         grad["classes"][:], grad["class_bias"][:] = h.T @ dz, dz.sum(axis=0)
         grad["places"][:], grad["place_bias"][:] = 0, 0
         back = dz @ w["classes"].T
-    for c in range(CLASSES):
-        rows = order[bounds[c]:bounds[c + 1]]
-        if not len(rows):
-            continue
-        inner = _log_softmax(h[rows] @ w["places"][c].T + w["place_bias"][c])
-        out[rows] += inner[np.arange(len(rows)), place[rows]]
-        if grad is not None:
-            dz = np.exp(inner)
-            dz[np.arange(len(rows)), place[rows]] -= 1
+    for start, end in zip(first.tolist(), [*first[1:].tolist(), n]):
+        c, own = kind[start], h[start:end]
+        inner, dz = _log_chances(own @ w["places"][c].T + w["place_bias"][c], place[start:end], learns)
+        logs[start:end] += inner
+        if learns:
             dz /= n
-            grad["places"][c], grad["place_bias"][c] = dz.T @ h[rows], dz.sum(axis=0)
-            back[rows] += dz @ w["places"][c]
-    if grad is not None:
+            grad["places"][c], grad["place_bias"][c] = dz.T @ own, dz.sum(axis=0)
+            back[start:end] += dz @ w["places"][c]
+    if learns:
         back *= 1 - h * h
+        x = x[order]
         grad["mix"][:], grad["shift"][:] = x.T @ back, back.sum(axis=0)
         dx = (back @ w["mix"].T).reshape(-1, WIDTH)
-        flat = near.ravel()
-        by = np.argsort(flat, kind="stable")
-        tokens, first = np.unique(flat[by], return_index=True)
-        grad["embed"][:] = 0
-        grad["embed"][tokens] = np.add.reduceat(dx[by], first, axis=0)
+        cells = near[order].reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+        grad["embed"][:] = np.bincount(cells.ravel(), dx.ravel(), minlength=(PAD + 1) * WIDTH).reshape(-1, WIDTH)
         grad["embed"][PAD] = 0
+    out = np.empty_like(logs)
+    out[order] = logs
     return out
 
 
@@ -167,7 +175,9 @@ def learn_windows(flat: np.ndarray, memory: np.ndarray, windows: Windows, rate:
             places = windows.places[at]
             forward(w, windows.around(places), windows.stream[places], grad)
             memory += gradient * gradient
-            flat -= rate * gradient / np.sqrt(memory + 1e-10)
+            gradient *= rate
+            gradient /= np.sqrt(memory)
+            flat -= gradient
 
 
 def document_scores(flat: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
