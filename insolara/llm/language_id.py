@@ -102,7 +102,7 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, per_language: int = 3, sample_rows: int = 3000, rounds: int = 20, share: float = 0.5,
+def learn(docs: DataFrame, per_language: int = 3, sample_rows: int = 3000, rounds: int = 20, share: float = 0.25,
           seed: int = 11) -> Model:
     """Learns from ``docs(doc_id, text, lang)`` outside the held-out quarter, where lang is not NULL.
 
