@@ -2,8 +2,8 @@
 
 A text becomes counts of hashed 1- to 3-grams of its lower-cased letters, damped, weighted by inverse
 document frequency and normalised. Spherical k-means finds some centroids for each language; the
-closest one by cosine names the language. A text farther from all centroids than any learned text was
-from its own language, by a stated factor, is rejected.
+closest one by cosine names the language. A text whose cosine to all centroids is below a stated share of
+the median cosine of the learned texts is rejected.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ Batches = Iterator[pa.RecordBatch]
 
 DIMS = 1 << 12
 CHUNK = 1 << 18
+UNSEEN = 1e-4
 
 _letters: list[np.ndarray] = []
 
@@ -49,13 +50,18 @@ def gram_counts(text: str) -> np.ndarray | None:
         one = codes * np.uint32(2654435761)
         two = one[1:] ^ (codes[:-1] * np.uint32(2246822519))
         three = two[1:] ^ (codes[:-2] * np.uint32(3266489917))
-        for grams in (one[2:], two[1:], three):
+        for grams in (one[2:][codes[2:] != 32], two[1:], three):  # a blank alone tells nothing
             mixed = (grams ^ (grams >> np.uint32(15))) * np.uint32(2246822519)
             total += np.bincount(mixed >> np.uint32(20), minlength=DIMS)
         before = codes[-2:]
     return total if found else None
 
 
+def gram_weights(seen: np.ndarray, n: float) -> np.ndarray:
+    """Inverse document frequencies of grams seen in so many of ``n`` texts; never seen weighs alike for any ``n``."""
+    return np.log1p(max(n, 1.0) / (seen + UNSEEN * max(n, 1.0))).astype(np.float32)
+
+
 @dataclass
 class Model:
     """Weights of the grams, unit centroids, the language of each, and the cosine below which texts are rejected."""
@@ -102,7 +108,7 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, per_language: int = 3, sample_rows: int = 3000, rounds: int = 20, share: float = 0.25,
+def learn(docs: DataFrame, per_language: int = 3, sample_rows: int = 3000, rounds: int = 20, share: float = 0.125,
           seed: int = 11) -> Model:
     """Learns from ``docs(doc_id, text, lang)`` outside the held-out quarter, where lang is not NULL.
 
@@ -124,7 +130,7 @@ def learn(docs: DataFrame, per_language: int = 3, sample_rows: int = 3000, round
         yield 0, total
 
     sums = summed(rows.select("text"), seen).get(0, np.zeros(DIMS + 1))
-    idf = np.log1p(sums[DIMS] / (1.0 + sums[:DIMS])).astype(np.float32)
+    idf = gram_weights(sums[:DIMS], sums[DIMS])
     langs = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     each = max(1, sample_rows // max(1, len(langs)))
     model = Model(idf, np.zeros((0, DIMS), np.float32), [], 0.0)
@@ -148,15 +154,15 @@ def learn(docs: DataFrame, per_language: int = 3, sample_rows: int = 3000, round
     by_lang: dict[str, list[bytes]] = {}
     for lang, vector in sample.collect():
         by_lang.setdefault(lang, []).append(bytes(vector))
-    centroids, least = [], 1.0
+    centroids, own = [], []
     for lang in sorted(by_lang):
         matrix = np.stack([np.frombuffer(v, np.float16) for v in sorted(by_lang[lang])]).astype(np.float32)
         found = spherical_kmeans(matrix, per_language, rounds, seed)
-        least = min(least, float((matrix @ found.T).max(axis=1).min()))
+        own.append((matrix @ found.T).max(axis=1))
         centroids.append(found)
         model.langs.extend([lang] * len(found))
     if centroids:
-        model.centroids, model.least = np.concatenate(centroids).astype(np.float32), share * least
+        model.centroids, model.least = np.concatenate(centroids).astype(np.float32), share * float(np.median(np.concatenate(own)))
     return model
 
 
