@@ -1,6 +1,7 @@
 """Secrets in texts: candidates by form, false positives removed by a random forest.
 
-A candidate is a run of 16 or more key characters inside a word. Its features are its length and
+A candidate is every run of 16 or more key characters inside a word, and the value of any length behind
+an announcing assignment (``password=hunter2``, ``token : x1``). Its features are its length and
 character classes, the changes between classes from one character to the next, the share of it that
 frequent short words of the corpus cover, signs of a path, and the words around it. A random forest
 learned from labelled findings gives the probability that it is a secret.
@@ -19,19 +20,29 @@ from pyspark.sql import functions as F
 from insolara.llm.common import SPACE, prepare, stored, text_of
 from insolara.llm.fingerprints import BLANKS
 
-CORE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+# a run of key characters; "=" is its padding only where no value follows
+CORE = r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=\"'`-]))?"
 # Words that announce a secret.
 ANNOUNCES = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|key|auth|bearer|credentials?)"
 
+# An announcing name, then "=" or ":"; and what may follow it as a value, up to the next run.
+ASSIGNS = ANNOUNCES + r"[A-Za-z0-9_.-]{0,40}[\"'`]?(:=|=>|={1,2}|:)"
+VALUE = r"(?:(?![A-Za-z0-9+/_-]{16})[^\s\"'`,;&<>(){}\[\]])+(?<![.:?])"
+CANDIDATE = f"{CORE}|(?<={ASSIGNS}[\"'`]?)(?![=>]){VALUE}"
+MARK, LED = "\x01", "key="
+
 FEATURES = ("length", "digits", "uppers", "lowers", "marks", "changes", "hex_only", "distinct", "covered", "is_mail",
-            "is_path", "assigned", "announced", "quoted", "prefixed", "letters_before")
+            "is_path", "assigned", "announced", "quoted", "prefixed", "letters_before",
+            "names")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, word_no, word, core, before, after, announce): each word of ``docs(doc_id, text)`` with a candidate.
+    """(doc_id, word_no, word, place, core, head, tail, before, after, announce): each candidate of ``docs(doc_id, text)``.
 
-    ``word_no`` counts words from 0; ``before`` is the word before it, ``announce`` the three words before
-    it. Whole texts are read; NULL text has no words; repeated rows give their candidates again.
+    ``word_no`` counts words from 0, ``place`` the characters of the word before the candidate; ``head`` is what
+    leads to it inside its word since the last separator, ``tail`` what follows it; ``before`` is the word before
+    its word, ``announce`` the three before. Whole texts are read; NULL text has no words; repeated rows give
+    their candidates again.
     """
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.split(F.trim(text_of(), F.lit(BLANKS)), SPACE).alias("w"))
@@ -43,12 +54,31 @@ def candidates(docs: DataFrame) -> DataFrame:
     zipped = F.arrays_zip(F.sequence(F.lit(0), F.size("w") - 1).alias("word_no"), F.col("w").alias("word"),
                           shifted(1).alias("one"), shifted(2).alias("two"), shifted(3).alias("three"),
                           F.slice("w", F.lit(2), F.size("w")).alias("after"))
-    kept = words.select("doc_id", F.filter(zipped, lambda x: F.length(x["word"]) >= 16).alias("kept"))
+
+    def may_hold(x: Column) -> Column:
+        """Long words, and words that an assignment stands in or before."""
+        return (F.length(x["word"]) >= 16) | x["word"].contains("=") | x["word"].contains(":") | x["one"].endswith(
+            "=") | x["one"].endswith(":") | x["one"].endswith("=>")
+
+    kept = words.select("doc_id", F.filter(zipped, may_hold).alias("kept"))
     # the outer form, since the plain one would add a filter that builds the arrays once more
     found = kept.select("doc_id", F.explode_outer("kept").alias("f")).filter("f IS NOT NULL").select(
         "doc_id", "f.word_no", "f.word", F.col("f.one").alias("before"), F.coalesce("f.after", F.lit("")).alias("after"),
-        F.concat_ws(" ", "f.three", "f.two", "f.one").alias("announce"))
-    return found.withColumn("core", F.regexp_extract("word", CORE, 0)).filter("core <> ''")
+        F.col("f.two").alias("two"), F.concat_ws(" ", "f.three", "f.two", "f.one").alias("announce"))
+    # an assignment that ends in the word before, or is that word, stands for one inside the word
+    sign = F.col("before").rlike("^(:=|=>|={1,2}|:)$")
+    led = F.concat(F.when(sign, F.col("two")).otherwise(F.lit("")), F.col("before")).rlike(ASSIGNS + "$")
+    opened = F.col("word").rlike("^(:=|=>|={1,2}|:).") & F.concat("before", F.lit("=")).rlike(ASSIGNS + "$")
+    extra = F.when(led, F.lit(LED)).when(opened, F.lit(LED[:-1])).otherwise(F.lit(""))
+    marked = F.regexp_replace(F.concat("extra", F.translate("word", MARK, "\x02")), f"({CANDIDATE})", f"{MARK}$1{MARK}")
+    parts = found.withColumn("extra", extra).withColumn("parts", F.split(marked, MARK)).filter(F.size("parts") > 1)
+    # every second part is a candidate
+    each = F.transform(F.sequence(F.lit(1), F.size("parts") - 2, F.lit(2)), lambda i: F.struct(
+        F.get("parts", i).alias("core"), F.substring(F.array_join(F.slice("parts", F.lit(1), i), ""), F.length("extra") + 1, F.length(
+            "word")).alias("head"), F.get("parts", i + 1).alias("tail")))
+    return parts.select("doc_id", "word_no", "word", "before", "after", "announce", F.explode(each).alias("c")).select(
+        "doc_id", "word_no", "word", F.length("c.head").alias("place"), "c.core", F.regexp_extract("c.head", r"[^,;&?{}]*$", 0).alias("head"),
+        "c.tail", "before", "after", "announce")
 
 
 def frequent_words(docs: DataFrame, n: int = 200) -> list[str]:
@@ -63,7 +93,7 @@ def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
     """``found`` of :func:`candidates` with the columns named by FEATURES."""
     core = F.col("core")
     size = F.length(core)
-    head = F.expr("substring_index(word, core, 1)")
+    head = F.col("head")
 
     def share(of: str) -> Column:
         return F.regexp_count(core, F.lit(of)) / size
@@ -78,10 +108,11 @@ def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
         "distinct": F.array_size(F.array_distinct(F.split(core, ""))) / size, "covered": 1 - F.length(rest) / size,
         "is_mail": F.col("word").contains("@").cast("int"),
         "is_path": (F.col("word").rlike(r"://|www\.|\.(com|org|net|html?)\b") | (F.regexp_count(core, F.lit("/")) >= 2)).cast("int"),
-        "assigned": (head.rlike("[=:]") | F.col("before").rlike("[=:]$")).cast("int"),
+        "assigned": (head.rlike("[=:]") | F.col("before").rlike("(=>|[=:])$")).cast("int"),
         "announced": (head.rlike(ANNOUNCES) | F.col("announce").rlike(ANNOUNCES)).cast("int"),
         "quoted": head.rlike("[\"'`]$").cast("int"), "prefixed": (F.length(head) > 0).cast("int"),
         "letters_before": F.col("before").rlike(r"^\p{L}+[.,;]?$").cast("int"),
+        "names": F.col("tail").rlike("^[\"'`]?(:=|=>|=|:(?!//))").cast("int"),
     }
     return found.withColumns({k: c.cast("double") for k, c in columns.items()})
 
@@ -89,14 +120,18 @@ def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
 def labelled_findings(found: DataFrame, sample_rows: int = 20_000, seed: int = 3) -> DataFrame:
     """Labelled findings drawn from candidates with their features, where no reviewed ones are at hand.
 
-    Secret: assigned to an announcing name, or of a published key format (AKIA and 16 characters). Not:
-    one class of characters only, a mail address, or a path without either sign. The rest has no label. Each class gives
+    Secret: assigned to an announcing name (if below 16 characters: 6 or more, letters and digits), or of a
+    published key format (AKIA and 16 characters). Not: one class of characters only, a mail address, or a path
+    without either sign; a name that is assigned to; fewer than 4 characters. The rest has no label. Each class gives
     about ``sample_rows`` / 2 rows at most, by a hash; that is the documented bound of the fit.
     """
-    known = F.col("core").rlike("^AKIA[0-9A-Z]{16}$") | ((F.col("assigned") == 1) & (F.col("announced") == 1))
+    strong = (F.col("length") >= 16) | ((F.col("length") >= 6) & (F.col("digits") > 0) & (F.col("lowers") + F.col("uppers") > 0))
+    known = F.col("core").rlike("^AKIA[0-9A-Z]{16}$") | (
+        (F.col("assigned") == 1) & (F.col("announced") == 1) & (F.col("names") == 0) & strong)
     plain = (F.col("lowers") == 1) | (F.col("uppers") == 1) | (F.col("digits") == 1) | (F.col("is_mail") == 1) | (
         F.col("is_path") == 1)
-    label = F.when(known, 1.0).when(plain & (F.col("announced") == 0), 0.0)
+    no_value = (F.col("length") < 4) | ((F.col("names") == 1) & (F.col("assigned") == 0))
+    label = F.when(known, 1.0).when((plain & (F.col("announced") == 0)) | no_value, 0.0)
     marked = found.withColumn("label", label).filter("label IS NOT NULL")
     order = F.xxhash64(F.lit(seed), F.col("core"), F.col("word"))
     halves = [marked.filter(F.col("label") == v).orderBy(order, "core", "word", *FEATURES).limit(sample_rows // 2)
