@@ -169,6 +169,7 @@ class LibraryCoder:
     anything else; so the ids of a word are those of its stem and of its tail, wherever it stands. Stems
     and tails not met lately go to the library as the lines of one text; a line break between two of
     them is a token of its own, at which the ids are parted again. The ids of known words are kept.
+    Added tokens (``<|endoftext|>``) come before all cuts, so a text that holds one goes to the library whole.
     """
 
     def __init__(self, definition: str):
@@ -176,7 +177,8 @@ class LibraryCoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
-        self.library.encode_special_tokens = True
+        added = [a["content"] for a in json.loads(definition).get("added_tokens") or [] if a["content"]]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.known, self.stems = Memo(self._whole, is_short), Memo(self._whole)
         self.parts = text_parts()
         self.line = self._whole("\n")
@@ -201,12 +203,14 @@ class LibraryCoder:
             known[part] = line + ids if broken else ids
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        cut = [self.parts.findall(t) for t in texts]
+        whole = {i: self._whole(t) for i, t in enumerate(texts) if self.added(t)}
+        cut = [() if i in whole else self.parts.findall(t) for i, t in enumerate(texts)]
         new = self.known.recall(set().union(*cut))
         if new and len(self.line) == 1:
             self._compose(new)
         get, end = self.known.__getitem__, (end_id,)
-        return [np.fromiter(chain(chain.from_iterable(map(get, parts)), end), np.uint32) for parts in cut]
+        return [np.fromiter(chain(whole[i] if i in whole else chain.from_iterable(map(get, parts)), end), np.uint32)
+                for i, parts in enumerate(cut)]
 
 
 _made: dict[int, LibraryCoder] = {}
