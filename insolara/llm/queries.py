@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from insolara.llm import (
     bpe, exact_dedup, fingerprints, html_wrapper, ids_output, language_id, lm_score, mixing, secret_scan,
-    simhash_dedup,
+    simhash_dedup, token_align,
 )
 from insolara.llm.common import prepare, table
 from insolara.session import scratch_path
@@ -104,3 +104,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked pseudo-likelihood of each document."""
     return lm_score.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two public vocabularies, per document."""
+    return token_align.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                 public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
