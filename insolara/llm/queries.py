@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from insolara.llm import (
-    bpe, exact_dedup, fingerprints, html_wrapper, ids_output, language_id, lm_score, mixing, secret_scan,
-    simhash_dedup, token_align,
+    bpe, conversation_trie, cross_polytope, exact_dedup, fingerprints, html_wrapper, ids_output, language_id, lm_score, mixing,
+    secret_scan, simhash_dedup, token_align,
 )
 from insolara.llm.common import prepare, table
 from insolara.session import scratch_path
@@ -111,3 +111,49 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links between the tokens of two public vocabularies, per document."""
     return token_align.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                                  public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op12_conversation_trie", """
+WITH RECURSIVE t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (
+  SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s, 0 AS k, CAST(4294967295 AS BIGINT) AS c FROM t
+  UNION ALL
+  SELECT conv_id, s, k + 1, CASE WHEN c2 % 2 = 1 THEN xor(c2 >> 1, CAST(3988292384 AS BIGINT)) ELSE c2 >> 1 END
+  FROM (SELECT *, CASE WHEN k % 8 = 0 THEN xor(c, CAST(ascii(s[CAST(k // 8 + 1 AS INT)]) AS BIGINT)) ELSE c END AS c2
+        FROM bits WHERE k < 8 * length(s))),
+convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(c, CAST(4294967295 AS BIGINT)) % 9 AS h FROM bits WHERE k = 8 * length(s)),
+r AS (
+  SELECT c.conv_id, 1 AS part, t.pos, t.role, t.text FROM convs c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, 2, t.pos, t.role, t.text FROM convs c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+q AS (
+  SELECT c.conv_id, coalesce(list({'k': sha256(concat(octet_length(encode(r.role)), ':', r.role, r.text)),
+                                   'b': octet_length(encode(r.text))} ORDER BY r.part, r.pos) FILTER (r.part IS NOT NULL), []) AS turns
+  FROM convs c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+m AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM q),
+n AS (
+  SELECT turns[1:d] AS path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(turns) = d), '')) AS ends_sha256
+  FROM m GROUP BY 1, 2),
+kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+own AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * n.path[depth].b END AS saved
+  FROM n LEFT JOIN kids ON kids.path = n.path),
+up AS (
+  SELECT path[1:a] AS path, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM own) GROUP BY 1)
+SELECT own.conv_id, own.depth, p.conv_id AS parent_conv_id, own.n_convs, own.n_children, up.n_leaves,
+       CAST(up.saved_tokens AS BIGINT) AS saved_tokens, own.ends_sha256
+FROM own JOIN up ON up.path = own.path LEFT JOIN n p ON own.depth > 0 AND p.path = own.path[1:own.depth - 1]""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_nearest_neighbours")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found of every twentieth one."""
+    return cross_polytope.neighbours(table(spark, sf_dir, "embeddings"))
