@@ -1,11 +1,12 @@
 """Feed-forward regression networks trained over partitions.
 
-Every epoch is one Spark job over the cached rows. Each shard of the rows starts
-from the current weights, runs mini-batch steps over its blocks and hands back
-its weights; Spark averages them, weighted by rows. With ``batch_size=None`` tasks
-return plain gradient sums instead and the driver takes one step, which makes
-the result independent of the partitioning. Several networks (a sweep, a grid,
-restarts) always share one pass over the data. Only weights travel.
+Rows are dealt to shards of bounded size by a hash of their values, each shard to a partition of its own. A
+shard trains the current weights of its networks by mini-batches for one round of epochs and hands them
+back; Spark averages them, weighted by rows. With ``batch_size=None`` tasks return plain gradient sums
+instead and the driver takes one step. Many networks (a sweep, a grid, restarts) share each pass: those of
+one depth form a stack of arrays, and where there are more cores than shards, the stacks are split into
+groups beside each other. Rows may carry a key, with networks of its own that see no other rows. Only
+weights travel; results depend on data, seed and number of shards, not on partitions or cores.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from itertools import groupby
+from math import ceil
 from operator import and_, itemgetter
 
 import numpy as np
@@ -24,29 +26,13 @@ from pyspark.sql import functions as F
 
 from insolara.functions.nulls import drop_incomplete, finite
 from insolara.functions.timecol import TRAINING_BLOCKS, training_block
-from insolara.operators.partials import Batches, matrix, summed, vector
-from insolara.operators.stats import Scaler, minmax_scale, scaler_fit
+from insolara.operators.partials import Batches, matrix, partial_rows, summed, vector
+from insolara.operators.stacks import ACTIVATIONS, ADAM_FIRST, ADAM_GUARD, ADAM_SECOND, SLOPES, Stack, batches_of
+from insolara.operators.stats import Scaler, minmax_scale, scaler_fit, scalers_by
 
-# Adam decay rates and guard, and the weight penalty.
-ADAM_FIRST, ADAM_SECOND, ADAM_GUARD = 0.9, 0.999, 1e-8
+# Fixed value: the weight penalty.
 ALPHA = 1e-4
 
-ACTIVATIONS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
-    "identity": lambda z: z,
-    "logistic": lambda z: 0.5 * (1.0 + np.tanh(0.5 * z)),
-    "tanh": np.tanh,
-    "relu": lambda z: np.maximum(z, 0.0),
-}
-
-# Slope of each activation as a function of its output.
-_SLOPES: dict[str, Callable[[np.ndarray], np.ndarray]] = {
-    "identity": np.ones_like,
-    "logistic": lambda a: a * (1.0 - a),
-    "tanh": lambda a: 1.0 - a * a,
-    "relu": lambda a: (a > 0).astype(float),
-}
-
-
 @dataclass
 class Network:
     """Layer sizes (input first, output last), hidden activation, weights and biases; linear output."""
@@ -103,7 +89,7 @@ class Network:
         outs = self.layers(x)
         delta = outs[-1] - y[:, None]
         sse = float((delta ** 2).sum())
-        slope = _SLOPES[self.activation]
+        slope = SLOPES[self.activation]
         parts: list[np.ndarray] = []
         for i in range(len(self.weights) - 1, -1, -1):
             parts.append(np.concatenate([(outs[i].T @ delta).ravel(), delta.sum(axis=0)]))
@@ -193,69 +179,88 @@ class Fit:
         return len(self.losses)
 
 
-def _epoch(rows: DataFrame, width: int, shapes: list[tuple[list[int], str]], states: list[_State],
-           plans: list[Training], ids: list[int], epoch: int) -> dict[int, np.ndarray]:
-    """One pass: per network either (rows * state, rows, sse) or (gradient, rows, sse)."""
-
-    masks = [how.alpha * Network.from_flat(sizes, act, s.w).mask()
-             for (sizes, act), how, s in zip(shapes, plans, states)]
-
-    def task(batches: Batches) -> Iterator[tuple[int, np.ndarray]]:
-        totals: list[np.ndarray | float] = [0.0] * len(ids)
-        for _, own in groupby(_blocks(batches, width), key=itemgetter(0)):
-            for i, part in enumerate(shard_sums(own)):
-                totals[i] = totals[i] + part
-        for i, total in zip(ids, totals):
-            if isinstance(total, np.ndarray):
-                yield i, total
-
-    def shard_sums(blocks: Iterator[tuple[int, int, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-        own = [s.copy() for s in states]
-        grads = [np.zeros_like(s.w) for s in states]
-        sse = np.zeros(len(ids))
-        seen = 0
-        for shard, number, x, y in blocks:
-            seen += len(y)
-            for i, ((sizes, act), how) in enumerate(zip(shapes, plans)):
-                if how.batch_size is None:
-                    miss, grad = Network.from_flat(sizes, act, own[i].w).gradient(x, y)
-                    grads[i] += grad
-                    sse[i] += miss
-                    continue
-                order = np.random.default_rng([how.seed, epoch, shard, number]).permutation(len(y))
-                for at in range(0, len(y), how.batch_size):
-                    pick = order[at:at + how.batch_size]
-                    net = Network.from_flat(sizes, act, own[i].w)
-                    miss, grad = net.gradient(x[pick], y[pick])
-                    own[i].step((grad + masks[i] * own[i].w) / len(pick), how)
-                    sse[i] += miss
-        return [np.concatenate([grads[i] if how.batch_size is None else own[i].vector() * seen, [seen, sse[i]]])
-                for i, how in enumerate(plans)]
-
-    return summed(rows, task)
-
-
 def training_rows(df: DataFrame, x: Sequence[str], y: str) -> DataFrame:
     """Complete rows as ``x array<double>, y double``."""
     rows = drop_incomplete(df.select(*dict.fromkeys([*x, y])))
     return rows.select(F.array(*[F.col(c).cast("double") for c in x]).alias("x"), F.col(y).cast("double").alias("y"))
 
 
-# Shards of a training table, and rows of a block inside which mini-batches are drawn.
-SHARDS = 8
+# Rows of a shard, rows of a block inside which mini-batches are drawn, and shards whose weights the driver adds up itself.
+SHARD_ROWS = 1 << 14
 BLOCK = 10_000
+DIRECT = 16
+SYNC = 100  # epochs of a round where every network's rows are one shard
+AVERAGED = 10  # epochs between averages where some have several
+
+
+@dataclass
+class _Task:
+    """A network in training: its key, its group among those of the key, and how far it is."""
 
+    key: int
+    group: int
+    fit: "Fit"
+    plan: Training
+    state: _State
+    best: float = np.inf
+    stale: int = 0
 
-def spread(rows: DataFrame, shards: int) -> DataFrame:
-    """Rows with their ``shard``, each shard whole in one partition and in an order of its own.
+    @property
+    def signature(self) -> tuple:
+        how = self.plan
+        return len(self.fit.network.sizes), self.fit.network.activation, how.solver, how.batch_size
+
+    def told(self, loss: float) -> bool:
+        """Takes note of an epoch's loss; False where training ends."""
+        if not np.isfinite(loss):
+            raise FloatingPointError(f"loss is {loss} in epoch {len(self.fit.losses) + 1}")
+        self.fit.losses.append(float(loss))
+        self.stale = self.stale + 1 if loss > self.best - self.plan.tol else 0
+        self.best = min(self.best, loss)
+        return self.stale <= self.plan.patience and len(self.fit.losses) < self.plan.max_iter
+
+
+@dataclass
+class _Dealt:
+    """Rows of all shards and groups, each in a partition of its own, with what the units mean."""
+
+    rows: DataFrame
+    width: int
+    units: list[tuple[int, int, int]]  # key, shard, group
+    shards: dict[int, int]
+    groups: dict[int, int]
+    counts: dict[int, int]
 
-    Shard and order follow from a hash of the row's values, so training depends on the data, the seed
-    and the number of shards alone, not on partitions, files or the size of the cluster. Averaged
-    training wants shards that look alike; files sorted by time or place do not.
+
+def _deal(rows: DataFrame, width: int, wanted: dict[int, int], shards: int | None, cache: bool) -> _Dealt:
+    """Rows (key, x, y) dealt to units; ``wanted`` counts the networks of each key (few keys, as they are listed here).
+
+    The shard of a row follows from a hash of its values, and a shard's order from the same hash, so files,
+    partitions and cores do not matter. A shard holds about SHARD_ROWS rows unless ``shards`` says how many
+    there are. Groups repeat the rows of a shard, at most once per core.
     """
+    counts = {r["key"]: r["count"] for r in rows.groupBy("key").count().collect() if r["key"] in wanted}
+    if not counts:
+        raise ValueError("no complete training rows")
+    parts = {k: shards or ceil(n / SHARD_ROWS) for k, n in counts.items()}
+    spare = ceil(rows.sparkSession.sparkContext.defaultParallelism / sum(parts.values()))
+    groups = {k: max(1, min(wanted[k], spare)) for k in counts}
+    units = [(k, s, g) for k in sorted(counts) for s in range(parts[k]) for g in range(groups[k])]
+    first = {k: units.index((k, 0, 0)) for k in counts}
+
+    def by_key(values: dict[int, int]):
+        made = F.lit(None).cast("int")
+        for k, v in values.items():
+            made = F.when(F.col("key") == k, F.lit(v)).otherwise(made)
+        return made
+
     mark = F.xxhash64("x", "y")
-    marked = rows.withColumns({"shard": F.pmod(mark, F.lit(shards)).cast("int"), "mark": mark})
-    return marked.repartition(shards, "shard").sortWithinPartitions("shard", "mark", "x", "y").select("shard", "x", "y")
+    shard = F.pmod("mark", by_key(parts)).cast("int")
+    unit = by_key(first) + shard * by_key(groups)
+    dealt = (rows.where(F.col("key").isin(list(counts))).withColumn("mark", mark)
+             .select("x", "y", "mark", F.explode(F.sequence(unit, unit + by_key(groups) - 1)).alias("shard"))
+             .repartitionById(len(units), "shard").sortWithinPartitions("shard", "mark", "x", "y").select("shard", "x", "y"))
+    return _Dealt(dealt.persist(StorageLevel.MEMORY_AND_DISK) if cache else dealt, width, units, parts, groups, counts)
 
 
 def _blocks(batches: Batches, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -280,55 +285,226 @@ def _blocks(batches: Batches, width: int) -> Iterator[tuple[int, int, np.ndarray
         yield int(shard), number, np.concatenate(xs), np.concatenate(ys)
 
 
-def train_networks(df: DataFrame, x: Sequence[str], y: str, networks: Sequence[Network],
-                   plans: Sequence[Training], cache: bool = True, shards: int = SHARDS) -> list[Fit]:
-    """Train all networks together; each stops on its own settings, the passes are shared.
+def _round(dealt: _Dealt, tasks: dict[int, _Task], epochs: int) -> dict[int, np.ndarray]:
+    """One pass: per network (rows * state, rows, errors and penalties * rows per epoch, epochs * rows).
 
-    At most ``shards`` tasks work at once: give as many as the cluster has cores. A loss that is not
-    finite (a learning rate too large) is an error.
+    Networks of full batches give (gradient, rows, errors, penalty * rows, rows). Where a network's rows are one
+    shard, the task ends its training by its own losses.
     """
-    rows = spread(training_rows(df, x, y), shards)
-    if cache:
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    units, width, shards, rows_of = dealt.units, dealt.width, dealt.shards, dealt.counts
+    sent = {i: (t.key, t.group, t.signature, t.fit.network.sizes, t.plan, t.state, t.best, t.stale, len(t.fit.losses))
+            for i, t in tasks.items()}
+
+    def task(batches: Batches) -> Iterator[tuple[int, np.ndarray]]:
+        for unit, own in groupby(_blocks(batches, width), key=itemgetter(0)):
+            key, shard, group = units[unit]
+            blocks = [b[1:] for b in own]
+            stacks: dict[tuple, list[int]] = {}
+            for i, s in sent.items():
+                if s[:2] == (key, group):
+                    stacks.setdefault(s[2], []).append(i)
+            for (_, activation, solver, size), members in stacks.items():
+                states = [sent[i][5] for i in members]
+                stack = Stack([sent[i][3] for i in members], activation, solver, [s.w for s in states],
+                              [s.first for s in states], [s.second for s in states])
+                if size is None:
+                    yield from full(stack, members, blocks)
+                else:
+                    yield from trained(stack, members, blocks, size, shard, shards[key] == 1, rows_of[key])
+
+    def full(stack: Stack, members: list[int], blocks: list) -> Iterator[tuple[int, np.ndarray]]:
+        seen, pen = sum(len(y) for _, _, y in blocks), stack.penalty()
+        made = [stack.gradient(x, y) for _, x, y in blocks]
+        sse = sum(m[0] for m in made)
+        grads = stack.flats([sum(layer) for layer in zip(*(m[1] for m in made))])
+        for n, i in enumerate(members):
+            yield i, np.concatenate([grads[n], [seen, sse[n], pen[n] * seen, seen]])
+
+    def trained(stack: Stack, members: list[int], blocks: list, size: int, shard: int, alone: bool, total: int):
+        seen = sum(len(y) for _, _, y in blocks)
+        plans = [sent[i][4] for i in members]
+        best, stale, done = (np.array([sent[i][k] for i in members], float) for k in (6, 7, 8))
+        start = done.copy()
+        steps, samples = (np.array([getattr(sent[i][5], k) for i in members], float) for k in ("steps", "samples"))
+        left = np.arange(len(members))
+        told = np.zeros((len(members), 2, epochs))
+        out: dict[int, np.ndarray] = {}
+
+        def column(name: str) -> np.ndarray:
+            return np.array([getattr(plans[i], name) for i in left], float)[:, None, None]
+
+        def hand_over(which: np.ndarray) -> None:
+            parts = zip(stack.flats(stack.values), stack.flats(stack.first), stack.flats(stack.second))
+            for n, vectors in enumerate(parts):
+                if which[n]:
+                    i = left[n]
+                    out[members[i]] = np.concatenate([*(v * seen for v in vectors), [steps[i] * seen, seen], *told[i],
+                                                      [(done[i] - start[i]) * seen]])
+
+        for epoch in range(epochs):
+            rate, alpha, momentum = column("learning_rate"), column("alpha"), column("momentum")
+            falls = np.array([plans[i].schedule == "invscaling" for i in left])[:, None, None]
+            rate = np.where(falls, rate / (samples[left][:, None, None] + 1) ** column("power_t"), rate)
+            pen, sse = stack.penalty(), np.zeros(len(left))
+            for x, y in batches_of(blocks, size, shard, [plans[i].seed for i in left], done[left].astype(int).tolist()):
+                miss, grads = stack.gradient(x, y)
+                steps[left] += 1
+                stack.step(grads, y.shape[-1], rate, alpha, momentum, steps[left][:, None, None])
+                sse += miss
+            told[left, 0, epoch], told[left, 1, epoch] = sse, pen * seen
+            done[left] += 1
+            samples[left] += total
+            ended = done[left] >= np.array([plans[i].max_iter for i in left])
+            if alone:
+                loss = 0.5 * (sse + alpha[:, 0, 0] * pen) / seen
+                stale[left] = np.where(loss > best[left] - column("tol")[:, 0, 0], stale[left] + 1, 0)
+                best[left] = np.minimum(best[left], loss)
+                ended |= (stale[left] > column("patience")[:, 0, 0]) | ~np.isfinite(loss)
+            if ended.any():
+                hand_over(ended)
+                stack.keep(np.flatnonzero(~ended))
+                left = left[~ended]
+                if not len(left):
+                    break
+        if len(left):
+            hand_over(np.ones(len(left), bool))
+        yield from out.items()
+
+    return summed(dealt.rows, task, max(shards.values()) <= DIRECT)
+
+
+Retry = Callable[[int, "Fit"], tuple[Network, Training] | None]
+
+
+def train_keyed(rows: DataFrame, width: int, jobs: Sequence[tuple[int, Network, Training]], cache: bool = True,
+                shards: int | None = None, sync: int | None = None, retry: Retry | None = None) -> list[list[Fit]]:
+    """Train networks (key, start, settings) on rows (key, x, y) of their key, in one loop for all keys.
+
+    A round is ``sync`` epochs, after which the weights of a key's shards are averaged; AVERAGED by default,
+    SYNC where every key has one shard (which changes nothing but the number of jobs), 1 for full batches.
+    A network of several shards can go on for some epochs of the round in which its losses end its training.
+    A network whose training ends is scored; ``retry`` may then name another start, which takes its place in
+    the next round. Returns all fits of each job, the last one last.
+    """
+    wanted: dict[int, int] = {}
+    for key, *_ in jobs:
+        wanted[key] = wanted.get(key, 0) + 1
+    dealt = _deal(rows, width, wanted, shards, cache)
+    # networks of like widths share a group
+    numbers = {key: {i: n for n, i in enumerate(sorted((i for i, j in enumerate(jobs) if j[0] == key),
+                                                       key=lambda i: (len(jobs[i][1].sizes), jobs[i][1].sizes)))}
+               for key in wanted}
     try:
-        fits = [Fit(n) for n in networks]
-        states = [_State.fresh(n.flat()) for n in networks]
-        best = [np.inf] * len(fits)
-        stale = [0] * len(fits)
-        active = [i for i, p in enumerate(plans) if p.max_iter > 0]
-        epoch = 0
+        fits: list[list[Fit]] = [[] for _ in jobs]
+        active: dict[int, _Task] = {}
+
+        def begin(i: int, network: Network, plan: Training) -> None:
+            key = jobs[i][0]
+            if key in dealt.counts:
+                fits[i].append(Fit(network))
+                group = numbers[key][i] * dealt.groups[key] // wanted[key]
+                active[i] = _Task(key, group, fits[i][-1], plan, _State.fresh(network.flat()))
+
+        def close(ended: dict[int, _Task]) -> None:
+            for i, score in _unit_scores(dealt, ended).items():
+                ended[i].fit.score = score
+                again = retry(i, ended[i].fit) if retry else None
+                if again:
+                    begin(i, *again)
+
+        for i, (_, network, plan) in enumerate(jobs):
+            begin(i, network, plan)
+        unused = {i: active.pop(i) for i in [i for i, t in active.items() if t.plan.max_iter <= 0]}
+        if unused:
+            close(unused)
         while active:
-            shapes = [(networks[i].sizes, networks[i].activation) for i in active]
-            made = _epoch(rows, len(x), shapes, [states[i] for i in active], [plans[i] for i in active], active, epoch)
-            if not made:
-                raise ValueError("no complete training rows")
-            going = []
-            for i in active:
-                part, n, sse = made[i][:-2], made[i][-2], made[i][-1]
-                how, net = plans[i], fits[i].network
-                weights = net.mask() * states[i].w
-                loss = 0.5 * sse / n + 0.5 * how.alpha * float(weights @ weights) / n
-                if how.batch_size is None:
-                    states[i].step((part + how.alpha * weights) / n, how)
-                    states[i].samples += n
-                else:
-                    states[i] = _State.from_vector(part / n, states[i].samples + n)
-                fits[i].network = Network.from_flat(net.sizes, net.activation, states[i].w)
-                if not np.isfinite(loss):
-                    raise FloatingPointError(f"loss of network {i} is {loss} in epoch {epoch + 1}")
-                fits[i].losses.append(float(loss))
-                stale[i] = stale[i] + 1 if loss > best[i] - how.tol else 0
-                best[i] = min(best[i], loss)
-                if stale[i] <= how.patience and len(fits[i].losses) < how.max_iter:
-                    going.append(i)
-            active = going
-            epoch += 1
-        for fit, score in zip(fits, _scores(rows, len(x), [f.network for f in fits])):
-            fit.score = score
+            single = all(dealt.shards[t.key] == 1 for t in active.values())
+            epochs = sync or (SYNC if single else AVERAGED)
+            epochs = epochs if all(t.plan.batch_size for t in active.values()) else 1
+            made = _round(dealt, active, epochs)
+            ended = {}
+            for i, t in list(active.items()):
+                if not _learned(t, made[i], epochs, dealt.counts[t.key]):
+                    ended[i] = active.pop(i)
+            if ended:
+                close(ended)
         return fits
     finally:
         if cache:
-            rows.unpersist()
+            dealt.rows.unpersist()
+
+
+def _learned(t: _Task, part: np.ndarray, epochs: int, n: int) -> bool:
+    """Puts a round's result into ``t``; False where its training ends."""
+    net, how, size = t.fit.network, t.plan, len(t.state.w)
+    if how.batch_size is None:
+        sse, pen = part[size + 1], part[size + 2] / n
+        t.state.step((part[:size] + how.alpha * net.mask() * t.state.w) / n, how)
+        t.state.samples += n
+        going = t.told(0.5 * (sse + how.alpha * pen) / n)
+    else:
+        vector, told, done = part[:3 * size + 1] / n, part[3 * size + 2:-1].reshape(2, epochs), round(part[-1] / n)
+        t.state = _State.from_vector(vector, t.state.samples + n * done)
+        going = True
+        for sse, pen in told[:, :done].T:
+            going = t.told(0.5 * (sse + how.alpha * pen / n) / n) and going
+    t.fit.network = Network.from_flat(net.sizes, net.activation, t.state.w)
+    return going
+
+
+def train_networks(df: DataFrame, x: Sequence[str], y: str, networks: Sequence[Network],
+                   plans: Sequence[Training], cache: bool = True, shards: int | None = None) -> list[Fit]:
+    """Train all networks together; each stops on its own settings, the passes are shared.
+
+    A loss that is not finite (a learning rate too large) is an error.
+    """
+    rows = training_rows(df, x, y).select(F.lit(0).alias("key"), "x", "y")
+    made = train_keyed(rows, len(x), [(0, n, p) for n, p in zip(networks, plans)], cache, shards)
+    return [fits[-1] for fits in made]
+
+
+def _unit_scores(dealt: _Dealt, tasks: dict[int, _Task]) -> dict[int, dict[str, float]]:
+    """Scores of networks on the rows of their key, which their own group reads."""
+    units, width = dealt.units, dealt.width
+    nets = {i: (t.key, t.group, t.fit.network) for i, t in tasks.items()}
+
+    def task(batches: Batches) -> Iterator[tuple[int, np.ndarray]]:
+        for unit, own in groupby(_blocks(batches, width), key=itemgetter(0)):
+            key, _, group = units[unit]
+            blocks = [b[2:] for b in own]
+            for i, (k, g, net) in nets.items():
+                if (k, g) == (key, group):
+                    miss = [net.predict(x) - y for x, y in blocks]
+                    yield i, np.array([sum((m ** 2).sum() for m in miss), sum(np.abs(m).sum() for m in miss)])
+            if group == 0:  # once per row: what the scores of the key are measured by
+                count = sum(len(y) for _, y in blocks)
+                mean = sum(y.sum() for _, y in blocks) / count
+                spread = sum(((y - mean) ** 2).sum() for _, y in blocks)
+                low, high = min(y.min() for _, y in blocks), max(y.max() for _, y in blocks)
+                yield -1, np.array([key, count, mean, spread, low, high])
+
+    parts = partial_rows(dealt.rows, task).collect()
+    sums: dict[int, np.ndarray] = {}
+    of_key: dict[int, list[np.ndarray]] = {}
+    for r in parts:
+        part = np.array(r["part"])
+        if r["key"] < 0:
+            of_key.setdefault(int(part[0]), []).append(part[1:])
+        else:
+            sums[r["key"]] = sums.get(r["key"], 0.0) + part
+    out = {}
+    for i, (key, _, _) in nets.items():
+        count, mean, spread, low, high = np.array(of_key[key]).T
+        n, middle = int(count.sum()), float(count @ mean / count.sum())
+        out[i] = _score(n, float(spread.sum() + count @ (mean - middle) ** 2) / n, float(high.max() - low.min()), *sums[i])
+    return out
+
+
+def _score(n: int, variance: float, spread: float, sse: float, sae: float) -> dict[str, float]:
+    sse, sae = float(sse), float(sae)
+    mae, rmse = sae / n, float(np.sqrt(sse / n))
+    return {"n": n, "sse": sse, "mae": mae, "rmse": rmse, "r2": 1 - sse / (n * variance) if variance else float("nan"),
+            "nmae": mae / spread * 100 if spread else float("nan"), "nrmse": rmse / spread * 100 if spread else float("nan")}
 
 
 def _scores(rows: DataFrame, width: int, networks: Sequence[Network]) -> list[dict[str, float]]:
@@ -349,15 +525,7 @@ def _scores(rows: DataFrame, width: int, networks: Sequence[Network]) -> list[di
             yield i, acc[i]
 
     made = summed(rows, task)
-    out = []
-    for i in range(len(networks)):
-        sse, sae = (float(v) for v in made[i])
-        mae, rmse = sae / n, float(np.sqrt(sse / n))
-        out.append({"n": n, "sse": sse, "mae": mae, "rmse": rmse,
-                    "r2": 1 - sse / (n * variance) if variance else float("nan"),
-                    "nmae": mae / spread * 100 if spread else float("nan"),
-                    "nrmse": rmse / spread * 100 if spread else float("nan")})
-    return out
+    return [_score(n, variance, spread, *made[i]) for i in range(len(networks))]
 
 
 def score_networks(df: DataFrame, x: Sequence[str], y: str, networks: Sequence[Network]) -> list[dict[str, float]]:
@@ -391,20 +559,42 @@ def mlp_train(df: DataFrame, x: Sequence[str], y: str, n_layers: int, n_neurons:
 def mlp_train_seasonal(df: DataFrame, x: Sequence[str], y: str, n_layers: int, n_neurons: int, max_iter: int = 2000,
                        target: float = 0.8, attempts: int = 5, dt: str = "dt", plan: Training = TRAIN_PLAN,
                        activation: str = "relu") -> dict[str, Trained]:
-    """One model per block of months; new seeds until the target R2, at most ``attempts`` times."""
-    marked = df.withColumn("training_block", training_block(F.col(dt)))
-    out: dict[str, Trained] = {}
-    for block in TRAINING_BLOCKS:
-        rows = marked.where(F.col("training_block") == block)
-        if drop_incomplete(rows, [*x, y]).isEmpty():
-            continue
-        for attempt in range(attempts):
-            tried = mlp_train(rows, x, y, n_layers, n_neurons, max_iter, replace(plan, seed=plan.seed + attempt),
-                              activation)
-            if block not in out or tried.r2 > out[block].r2:
-                out[block] = tried
-            if out[block].r2 >= target:
-                break
+    """One model per block of months; new seeds until the target R2, at most ``attempts`` times.
+
+    All blocks are trained in the same loop, each on its own rows with its own scaler, attempt and stop;
+    one grouped aggregate gives all scalers. The best attempt of a block is kept, the earlier one on a tie.
+    """
+    names = list(TRAINING_BLOCKS)
+    key = F.coalesce(*[F.when(F.col("block") == name, F.lit(i)) for i, name in enumerate(names)])
+    rows = drop_incomplete(df.select(*dict.fromkeys([*x, y, dt])), [*x, y]).withColumn("block", training_block(F.col(dt)))
+    rows = rows.where(F.col("block").isNotNull()).withColumn("key", key)
+    found = scalers_by(rows, "key", x)
+
+    def scaled(c: str):
+        value = F.col(c).cast("double")
+        return F.coalesce(*[F.when(F.col("key") == k, (value - F.lit(s.mean(c))) / F.lit(s.scale(c))) for k, s in found.items()])
+
+    if not found:
+        return {}
+    ready = rows.select("key", F.array(*[scaled(c) for c in x]).alias("x"), F.col(y).cast("double").alias("y"))
+    keys, tries = sorted(found), dict.fromkeys(found, 1)
+    plan = replace(plan, max_iter=max_iter)
+
+    def start(seed: int) -> tuple[Network, Training]:
+        return Network.create(len(x), [n_neurons] * n_layers, activation, seed), replace(plan, seed=seed)
+
+    def retry(job: int, fit: Fit) -> tuple[Network, Training] | None:
+        k = keys[job]
+        if fit.r2 >= target or tries[k] >= attempts:
+            return None
+        tries[k] += 1
+        return start(plan.seed + tries[k] - 1)
+
+    made = train_keyed(ready, len(x), [(k, *start(plan.seed)) for k in keys], retry=retry)
+    out = {}
+    for k, fits in zip(keys, made):
+        best = max(fits, key=lambda f: f.r2)
+        out[names[k]] = Trained(best.network, found[k], best.r2, best.losses)
     return out
 
 

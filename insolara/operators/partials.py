@@ -52,13 +52,15 @@ def _added(group: pa.Table) -> pa.Table:
     return group.slice(0, 1).set_column(2, "part", pa.array([total], pa.list_(pa.float64())))
 
 
-def summed(df: DataFrame, task: Task) -> dict[int, np.ndarray]:
+def summed(df: DataFrame, task: Task, few: bool = False) -> dict[int, np.ndarray]:
     """Run ``task`` on every partition and add up the arrays per key.
 
     One row per task and key is shuffled, whatever the length of the arrays. FAN of them are added in
-    one task, and the driver adds what is left: one array per key and FAN partitions.
+    one task, and the driver adds what is left: one array per key and FAN partitions. With ``few`` arrays
+    per key (the caller knows a bound) the driver adds all of them.
     """
-    rows = partial_rows(df, task).groupBy("key", "slot").applyInArrow(_added, _SCHEMA).collect()
+    parts = partial_rows(df, task)
+    rows = (parts if few else parts.groupBy("key", "slot").applyInArrow(_added, _SCHEMA)).collect()
     out: dict[int, np.ndarray] = {}
     for row in sorted(rows, key=lambda r: (r["key"], r["slot"])):
         part = np.array(row["part"])

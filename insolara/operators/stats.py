@@ -47,6 +47,21 @@ class Scaler:
         return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s)
                                for c, m, s in zip(self.columns, self.means, self.scales)})
 
+    def mean(self, column: str) -> float:
+        return self.means[self.columns.index(column)]
+
+    def scale(self, column: str) -> float:
+        return self.scales[self.columns.index(column)]
+
+
+def scalers_by(df: DataFrame, key: str, columns: Sequence[str]) -> dict[int, Scaler]:
+    """One scaler per value of a key with few values, from one aggregate."""
+    made = df.groupBy(key).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
+                               *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).collect()
+    k = len(columns)
+    return {r[0]: Scaler(list(columns), [float(r[1 + i]) for i in range(k)], [float(r[1 + k + i]) or 1.0 for i in range(k)])
+            for r in made}
+
 
 def scaler_fit(df: DataFrame, columns: Sequence[str]) -> Scaler:
     row = df.agg(*[F.avg(c) for c in columns], *[F.stddev_pop(c) for c in columns]).first()

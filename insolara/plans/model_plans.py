@@ -376,9 +376,9 @@ def smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("mlp_train")
 def mlp_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train, save model and scaler, load both and score the predictions."""
+    """Train on all rows (200 epochs), save model and scaler, load both and score the predictions."""
     rows = smooth(spark, sf_dir)
-    made = N.mlp_train(rows, FEATURES, "y", 2, 10, max_iter=8, plan=N.Training(learning_rate=0.01))
+    made = N.mlp_train(rows, FEATURES, "y", 2, 10)
     folder = scratch_path(spark, "model")
     path = save_model(spark, made.network, folder, "smooth", made.r2)
     save_scaler(spark, made.scaler, f"{folder}/scaler")
@@ -386,37 +386,99 @@ def mlp_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.r2_score(predicted, "y", "prediction")
 
 
+def _unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training days with inputs and target between 0 and 1."""
+    return L.minmax_scale(V.training_day(spark, sf_dir), [*FEATURES, "y"])
+
+
 @plan("mlp_train_seasonal")
 def mlp_train_seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = N.mlp_train_seasonal(smooth(spark, sf_dir), FEATURES, "y", 2, 10, max_iter=8, attempts=2,
-                                plan=N.Training(learning_rate=0.02, batch_size=50))
+    """All blocks in one loop, at most 2000 epochs an attempt, until each has R2 of 0.8 (five attempts at most)."""
+    made = N.mlp_train_seasonal(V.training_day(spark, sf_dir), FEATURES, "y", 2, 10)
     rows = [(block, float(t.r2), len(t.losses)) for block, t in made.items()]
     return spark.createDataFrame(rows, "training_block string, r2 double, epochs int")
 
 
 @plan("mlp_sweep_activation")
 def mlp_sweep_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.mlp_sweep_activation(smooth(spark, sf_dir), FEATURES, "y", max_iter=4)
+    """Loss per epoch of four activations, 100 epochs."""
+    return N.mlp_sweep_activation(V.training_day(spark, sf_dir), FEATURES, "y")
 
 
 @plan("mlp_sweep_layers")
 def mlp_sweep_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.mlp_sweep_layers(smooth(spark, sf_dir), FEATURES, "y", max_iter=4)
+    """Loss per epoch of one to three layers, 100 epochs."""
+    return N.mlp_sweep_layers(V.training_day(spark, sf_dir), FEATURES, "y")
 
 
 @plan("mlp_sweep_solver")
 def mlp_sweep_solver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.mlp_sweep_solver(smooth(spark, sf_dir), FEATURES, "y", max_iter=4, scale=True)
+    """Loss per epoch of five solvers, at most 5000 epochs, patience 1000."""
+    return N.mlp_sweep_solver(V.training_day(spark, sf_dir), FEATURES, "y", scale=True)
 
 
 @plan("mlp_bic_grid")
 def mlp_bic_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = L.minmax_scale(smooth(spark, sf_dir), [*FEATURES, "y"])
-    return N.mlp_bic_grid(rows, FEATURES, "y", neurons=(2, 3, 4), max_iter=3)
+    """All 324 pairs of layer widths, at most 1000 epochs, patience 100."""
+    return N.mlp_bic_grid(_unit(spark, sf_dir), FEATURES, "y")
 
 
 @plan("mlp_best_of")
 def mlp_best_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = L.minmax_scale(smooth(spark, sf_dir), [*FEATURES, "y"])
+    """Ten starts, at most 5000 epochs, patience 500, judged on the later days."""
+    rows = _unit(spark, sf_dir)
     late = F.col("dt") >= F.lit("1998-01-01").cast("timestamp_ntz")
-    return N.mlp_best_of(rows.where(~late), rows.where(late), FEATURES, "y", n=3, max_iter=3)[1]
+    return N.mlp_best_of(rows.where(~late), rows.where(late), FEATURES, "y", n=10)[1]
+
+
+def full_batch_sql(net: N.Network, how: N.Training, rounds: int, source: str, inputs: list[str], y: str) -> str:
+    """Full-batch Adam for one hidden layer of tanh units: losses per epoch and the last weights, in the order of ``flat``."""
+    width, hidden = net.sizes[0], net.sizes[1]
+    names = [f"w{p}_{j}" for p in range(width) for j in range(hidden)] + [f"b_{j}" for j in range(hidden)]
+    names += [f"v_{j}" for j in range(hidden)] + ["c"]
+    decayed = {n for n in names if n[0] in "wv"}
+    start = ", ".join(f"{v!r}::DOUBLE AS {n}, 0::DOUBLE AS m_{n}, 0::DOUBLE AS s_{n}" for n, v in zip(names, net.flat().tolist()))
+    steps = [f"p0 AS MATERIALIZED (SELECT {start})"]
+    for e in range(1, rounds + 1):
+        units = ", ".join(f"tanh({' + '.join([f't.{x} * w{p}_{j}' for p, x in enumerate(inputs)])} + b_{j}) AS h_{j}"
+                          for j in range(hidden))
+        out = " + ".join([f"h_{j} * v_{j}" for j in range(hidden)] + ["c"])
+        slopes = {j: f"d * v_{j} * (1 - h_{j} * h_{j})" for j in range(hidden)}
+        sums = {f"w{p}_{j}": f"{slopes[j]} * {x}" for p, x in enumerate(inputs) for j in range(hidden)}
+        sums |= {f"b_{j}": slopes[j] for j in range(hidden)} | {f"v_{j}": f"d * h_{j}" for j in range(hidden)} | {"c": "d"}
+        grads = ", ".join(f"sum({s}) AS g_{n}" for n, s in sums.items())
+        steps.append(f"g{e} AS MATERIALIZED (SELECT sum(d * d) AS sse, count(*)::DOUBLE AS n, {grads} FROM (SELECT *, {out} - {y} AS d "
+                     f"FROM (SELECT t.*, p.*, {units} FROM {source} t, p{e - 1} p)))")
+        decay = " + ".join(f"{n} * {n}" for n in sorted(decayed))
+        slope = {n: f"(g_{n}{f' + {how.alpha!r}::DOUBLE * {n}' if n in decayed else ''}) / n" for n in names}
+        first = {n: f"({N.ADAM_FIRST!r}::DOUBLE * m_{n} + {1 - N.ADAM_FIRST!r}::DOUBLE * {slope[n]})" for n in names}
+        second = {n: f"({N.ADAM_SECOND!r}::DOUBLE * s_{n} + {1 - N.ADAM_SECOND!r}::DOUBLE * ({slope[n]}) * ({slope[n]}))" for n in names}
+        rate = how.learning_rate * math.sqrt(1 - N.ADAM_SECOND ** e) / (1 - N.ADAM_FIRST ** e)
+        moved = ", ".join(f"{n} - {rate!r}::DOUBLE * {first[n]} / (sqrt({second[n]}) + {N.ADAM_GUARD!r}::DOUBLE) AS {n}, "
+                          f"{first[n]} AS m_{n}, {second[n]} AS s_{n}" for n in names)
+        steps.append(f"p{e} AS MATERIALIZED (SELECT {moved}, 0.5 * (sse + {how.alpha!r}::DOUBLE * ({decay})) / n AS loss "
+                     f"FROM p{e - 1}, g{e})")
+    rows = [f"SELECT 'loss' AS kind, {e} AS number, {r('loss')} AS value FROM p{e}" for e in range(1, rounds + 1)]
+    rows += [f"SELECT 'weight', {i}, {r(n)} FROM p{rounds}" for i, n in enumerate(names)]
+    return f"{', '.join(steps)} {' UNION ALL '.join(rows)}"
+
+
+FULL_BATCH = N.Training(learning_rate=0.05, batch_size=None, max_iter=6)
+SCALED_SQL = "rows AS (SELECT x1 / 50 AS a, x2 * 10 AS b, x3 * 10 AS c0, y / 100000 AS t0 FROM training)"
+
+
+def _small_network() -> N.Network:
+    """Three hidden units with given weights, from a rule."""
+    return N.Network.from_flat([3, 3, 1], "tanh", [math.sin(1.1 * i + 0.3) / 2 for i in range((3 + 1) * 3 + 3 + 1)])
+
+
+@plan("mlp_full_batch", with_views(f"""
+    WITH {SCALED_SQL}, {full_batch_sql(_small_network(), FULL_BATCH, 6, 'rows', ['a', 'b', 'c0'], 't0')}""", "training"))
+def mlp_full_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six full-batch steps from given weights: losses and weights, which plain SQL can follow."""
+    rows = V.training(spark, sf_dir).select((F.col("x1") / 50).alias("a"), (F.col("x2") * 10).alias("b"),
+                                            (F.col("x3") * 10).alias("c0"), (F.col("y") / 100000).alias("t0"))
+    fit = N.train_networks(rows, ["a", "b", "c0"], "t0", [_small_network()], [FULL_BATCH])[0]
+    made = [("loss", e, float(v)) for e, v in enumerate(fit.losses, 1)]
+    made += [("weight", i, float(v)) for i, v in enumerate(fit.network.flat())]
+    return tidy(spark.createDataFrame(made, "kind string, number int, value double"))

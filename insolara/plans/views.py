@@ -96,6 +96,12 @@ def training(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").alias("y"))
 
 
+def training_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily means of the whole training table, with a target that the inputs explain; scaled to about one."""
+    days = training(spark, sf_dir).groupBy("dt").agg(*[F.avg(c).alias(c) for c in ("x1", "x2", "x3")])
+    return days.withColumn("y", F.sin(F.col("x1") / 10) + 4 * F.col("x2") + 10 * F.col("x3") * F.col("x2"))
+
+
 def regime_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clear and cloudy rows in one table."""
     rule = F.when(F.col("event_type").isin("click", "view"), "clear").otherwise("cloudy")

@@ -1,5 +1,7 @@
 """Mixtures and networks: agreement with numpy, recovery, determinism, targets."""
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from insolara.operators import mixture as M
 from insolara.operators import network as N
 from insolara.operators.partials import summed
+from insolara.operators.stacks import Stack
 from tests.conftest import rows
 
 
@@ -166,6 +169,72 @@ def test_training_reaches_the_target(smooth):
     assert [r["prediction"] for r in predicted] == pytest.approx(made.network.predict(plain).tolist())
 
 
+def test_stacked_networks_equal_single_ones(smooth):
+    """Unlike widths, depths, activations, solvers and seeds in one loop, against one by one."""
+    plan = N.Training(learning_rate=0.02, batch_size=64, max_iter=6, tol=1e-3, patience=2)
+    plans = [plan, replace(plan, seed=3), replace(plan, solver="sgd", schedule="invscaling"), replace(plan, solver="sgd", momentum=0.0),
+             replace(plan, learning_rate=0.2, max_iter=40), replace(plan, alpha=0.1), replace(plan, batch_size=50)]
+    shapes = [((2, 5), "tanh"), ((6, 3), "tanh"), ((4,), "logistic"), ((7,), "logistic"), ((3, 3), "tanh"), ((9, 2), "tanh"), ((2, 2), "relu")]
+    nets = [N.Network.create(3, hidden, act, i) for i, (hidden, act) in enumerate(shapes)]
+    together = N.train_networks(smooth, X, "y", nets, plans)
+    for net, how, fit in zip(nets, plans, together):
+        alone = N.train_networks(smooth, X, "y", [net], [how])[0]
+        assert fit.network.flat() == pytest.approx(alone.network.flat(), rel=1e-9)
+        assert fit.losses == pytest.approx(alone.losses, rel=1e-9) and fit.score == pytest.approx(alone.score, rel=1e-9)
+    assert 6 < together[4].epochs <= 40
+
+
+def test_steps_of_a_stack_equal_a_plain_loop():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(30, 3)), rng.normal(size=30)
+    nets = [N.Network.create(3, h, "logistic", i) for i, h in enumerate([(4, 2), (2, 5)])]
+    how = N.Training(learning_rate=0.1)
+    zeros = [np.zeros_like(n.flat()) for n in nets]
+    stack = Stack([n.sizes for n in nets], "logistic", "adam", [n.flat() for n in nets], zeros, zeros)
+    states = [N._State.fresh(n.flat()) for n in nets]
+    for step in range(1, 5):
+        sse, grads = stack.gradient(x, y)
+        stack.step(grads, 30, np.full((2, 1, 1), 0.1), np.full((2, 1, 1), how.alpha), np.zeros((2, 1, 1)), np.full((2, 1, 1), float(step)))
+        for i, (net, state) in enumerate(zip(nets, states)):
+            now = N.Network.from_flat(net.sizes, "logistic", state.w)
+            miss, grad = now.gradient(x, y)
+            assert sse[i] == pytest.approx(miss)
+            state.step((grad + how.alpha * now.mask() * state.w) / 30, how)
+            assert stack.flats(stack.values)[i] == pytest.approx(state.w)
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_rounds_and_shards(spark, smooth, shards):
+    """The length of a round does not matter for one shard; several shards give one result for any partitions."""
+    plan = N.Training(learning_rate=0.02, batch_size=50, max_iter=7, tol=0.5, patience=3)
+    rows = N.training_rows(smooth, X, "y").select(F.lit(0).alias("key"), "x", "y")
+    start = N.Network.create(3, (4,), "tanh", 1)
+    fits = [N.train_keyed(rows.repartition(parts), 3, [(0, start, plan)] * 2, shards=shards, sync=sync)[0][-1]
+            for parts, sync in ((2, 1), (7, 1), (3, 4), (3, None))]
+    assert fits[0].network.flat() == pytest.approx(fits[1].network.flat(), rel=1e-9)
+    if shards == 1:
+        for fit in fits[2:]:
+            assert fit.network.flat() == pytest.approx(fits[0].network.flat(), rel=1e-9) and fit.losses == pytest.approx(fits[0].losses)
+    assert all(f.losses[-1] < f.losses[0] for f in fits)
+
+
+def test_seasonal_models_equal_separate_runs(smooth):
+    """One loop for all blocks, with retries, against each block alone; a block that no start can bring to the target ends."""
+    plan = N.Training(learning_rate=0.02, batch_size=25)
+    made = N.mlp_train_seasonal(smooth, X, "y", 2, 6, max_iter=4, target=0.97, attempts=3, plan=plan)
+    for block, months in N.TRAINING_BLOCKS.items():
+        rows_ = smooth.where(F.month("dt").isin(*months))
+        best = None
+        for attempt in range(3):
+            tried = N.mlp_train(rows_, X, "y", 2, 6, 4, replace(plan, seed=attempt))
+            best = tried if best is None or tried.r2 > best.r2 else best
+            if tried.r2 >= 0.97:
+                break
+        assert made[block].network.flat() == pytest.approx(best.network.flat(), rel=1e-7)
+        assert made[block].r2 == pytest.approx(best.r2) and made[block].scaler.means == pytest.approx(best.scaler.means)
+    assert N.mlp_train_seasonal(smooth.limit(0), X, "y", 1, 2) == {}
+
+
 def test_seasonal_models_reach_the_target(smooth):
     made = N.mlp_train_seasonal(smooth, X, "y", 2, 10, max_iter=40, attempts=3, plan=N.Training(learning_rate=0.05, batch_size=25))
     assert sorted(made) == ["020304", "050607", "080910", "111201"]
