@@ -37,7 +37,7 @@ from insolara.llm.common import prepare, stored, text_of
 
 Batches = Iterator[pa.RecordBatch]
 
-TOKENS = 5 << 19  # tokens (of both kinds) of a batch; one text may have more
+TOKENS = 5 << 18  # tokens (of both kinds) of a batch; one text may have more
 LANE = 256  # tokens of the first kind after which a lane ends at the next common end
 
 _DOCS = [("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
@@ -77,6 +77,7 @@ class ByteLevelCoder:
 
             ranks = {self.tokens[i]: i for i in spec["model"]["vocab"].values() if self.tokens[i] not in _added(spec)}
             self.ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            self.library = None
 
     @staticmethod
     def _is_ranked(spec: dict) -> bool:
@@ -295,7 +296,7 @@ class _Chunk:
                                           names=["chunk", "docs", "pairs", "counts", "links"])
 
 
-_made: dict[int, tuple[BothCoders, Aligner]] = {}
+_made: dict[str, tuple[BothCoders, Aligner]] = {}  # one pair of vocabularies per worker process
 
 
 def aligned_chunks(docs: DataFrame, definition: str, pattern: str, model: str, keep_groups: bool = False) -> DataFrame:
@@ -311,13 +312,14 @@ def aligned_chunks(docs: DataFrame, definition: str, pattern: str, model: str, k
     prepare(spark)
     with open(definition, encoding="utf-8") as a, open(model, "rb") as b:
         shared = spark.sparkContext.broadcast((a.read(), pattern, b.read()))  # vocabularies, whatever the data
-    number = shared._jbroadcast.id()
+    name = hashlib.sha256(repr(shared.value).encode()).hexdigest()
 
     def run(batches: Batches) -> Batches:
-        if number not in _made:
+        if name not in _made:
+            _made.clear()
             coders = BothCoders(*shared.value)
-            _made[number] = coders, Aligner(coders.a.tokens, coders.b.tokens)
-        coders, aligner = _made[number]
+            _made[name] = coders, Aligner(coders.a.tokens, coders.b.tokens)
+        coders, aligner = _made[name]
         chunk = _Chunk(aligner, keep_groups)
         for batch in batches:
             for names, texts in lots(batch):
