@@ -14,8 +14,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -183,23 +181,108 @@ def start_bands(rows: DataFrame, width: int, k: int, kind: str, shift: np.ndarra
     return _from_start(kind, stats, shift)
 
 
-def start_kmeans(rows: DataFrame, width: int, k: int, kind: str, shift: np.ndarray, seed: int,
-                 max_iter: int = 100) -> Mixture:
-    """Start from the clusters of Spark's k-means, which ends when its centres rest or after ``max_iter`` rounds."""
-    points = rows.select("x", array_to_vector("x").alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(points)
-    centers = np.array(model.clusterCenters())
+# Rounds in which candidate centres are drawn, candidates of a round per wanted cluster, and the move that counts as rest.
+SEED_ROUNDS, OVERSAMPLING, REST = 5, 2, 1e-4
 
-    def task(batches: Batches) -> Iterator[tuple[int, np.ndarray]]:
-        acc = np.zeros((k, _stat_size(kind, width)))
+
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest centre and squared distance to it."""
+    gaps = (x ** 2).sum(axis=1)[:, None] - 2 * x @ centers.T + (centers ** 2).sum(axis=1)
+    near = gaps.argmin(axis=1)
+    return near, np.maximum(gaps[np.arange(len(x)), near], 0.0)
+
+
+def candidate_centers(rows: DataFrame, width: int, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates for centres and how many rows are nearest to each (k-means||); one pass per round, whatever ``most``.
+
+    A round draws OVERSAMPLING * ``most`` rows, each with a chance in proportion to its squared distance from
+    the candidates so far: the rows with the least -ln(u) / distance, where u is a hash of the row's values.
+    """
+    marked = rows.select("x", F.xxhash64("x", F.lit(seed)).alias("mark"))
+    first = marked.orderBy("mark", "x").limit(1).collect()
+    if not first:
+        raise ValueError("no complete vectors")
+    centers, size = np.array([first[0]["x"]]), OVERSAMPLING * most
+    for number in range(SEED_ROUNDS):
+        so_far = centers
+
+        def draw(batches: Batches) -> Batches:
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            for batch in batches:
+                x, mark = matrix(batch, "x", width), batch.column("mark").to_numpy()
+                gap = _nearest(x, so_far)[1]
+                chance = np.array([np.random.default_rng([int(m) & (1 << 64) - 1, number]).random() for m in mark[gap > 0]])
+                held.append((-np.log1p(-chance) / gap[gap > 0], x[gap > 0]))
+                keys, kept = (np.concatenate(part) for part in zip(*held))
+                best = np.argsort(keys, kind="stable")[:size]
+                held = [(keys[best], kept[best])]
+            if held and len(held[0][0]):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(held[0][0]), pa.array(list(held[0][1]), pa.list_(pa.float64()))], names=["chance", "x"])
+
+        drawn = marked.mapInArrow(draw, "chance double, x array<double>").orderBy("chance", "x").limit(size).collect()
+        if not drawn:
+            break
+        centers = np.unique(np.concatenate([centers, np.array([r["x"] for r in drawn])]), axis=0)
+
+    def weigh(batches: Batches) -> Iterator[tuple[int, np.ndarray]]:
+        acc = np.zeros(len(centers))
         for batch in batches:
-            x = matrix(batch, "x", width)
-            gaps = (x ** 2).sum(axis=1)[:, None] - 2 * x @ centers.T + (centers ** 2).sum(axis=1)
-            acc += _pack(kind, np.eye(k)[gaps.argmin(axis=1)], x - shift)
-        yield 0, acc.ravel()
+            acc += np.bincount(_nearest(matrix(batch, "x", width), centers)[0], minlength=len(centers))
+        yield 0, acc
 
-    stats = summed(rows.select("x"), task)[0].reshape(k, -1)
-    return _from_start(kind, stats, shift)
+    return centers, summed(rows.select("x"), weigh)[0]
+
+
+def _spread_centers(points: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ and a few rounds of k-means on weighted candidates, of which there are few."""
+    rng = np.random.default_rng([seed, k])
+    centers = points[[rng.choice(len(points), p=weights / weights.sum())]]
+    while len(centers) < k:
+        pull = weights * _nearest(points, centers)[1]
+        share = pull / pull.sum() if pull.sum() > 0 else weights / weights.sum()
+        centers = np.concatenate([centers, points[[rng.choice(len(points), p=share)]]])
+    for _ in range(30):
+        near = _nearest(points, centers)[0]
+        mass = np.bincount(near, weights, k)
+        sums = np.stack([np.bincount(near, weights * c, k) for c in points.T], axis=1)
+        centers = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1e-300)[:, None], centers)
+    return centers
+
+
+def start_kmeans(rows: DataFrame, width: int, counts: Sequence[int], kind: str, shift: np.ndarray, seed: int,
+                 max_iter: int = 100) -> list[Mixture]:
+    """Starts from k-means for several cluster counts: candidates, and every round of k-means, are one pass for all counts.
+
+    A set of centres ends when it rests or after ``max_iter`` rounds.
+    """
+    points, weights = candidate_centers(rows, width, max(counts), seed)
+    sets = [_spread_centers(points - shift, weights, k, seed) for k in counts]
+    moving, stats = list(range(len(sets))), [np.empty(0)] * len(sets)
+    for number in range(max_iter + 1):
+        now = [(i, sets[i]) for i in moving]
+
+        def task(batches: Batches) -> Iterator[tuple[int, np.ndarray]]:
+            acc = [np.zeros((len(c), _stat_size(kind, width))) for _, c in now]
+            for batch in batches:
+                x = matrix(batch, "x", width) - shift
+                for part, (_, centers) in zip(acc, now):
+                    part += _pack(kind, np.eye(len(centers))[_nearest(x, centers)[0]], x)
+            for part, (i, _) in zip(acc, now):
+                yield i, part.ravel()
+
+        made, going = summed(rows.select("x"), task), []
+        for i in moving:
+            stats[i] = made[i].reshape(len(sets[i]), -1)
+            mass = stats[i][:, :1]
+            moved = np.where(mass > 0, stats[i][:, 1:1 + width] / np.maximum(mass, 1e-300), sets[i])
+            if number < max_iter and ((moved - sets[i]) ** 2).sum() > REST ** 2 * max(1.0, (moved ** 2).sum()):
+                going.append(i)
+                sets[i] = moved
+        moving = going
+        if not moving:
+            break
+    return [_from_start(kind, s, shift) for s in stats]
 
 
 def _from_start(kind: str, stats: np.ndarray, shift: np.ndarray) -> Mixture:
@@ -224,14 +307,12 @@ def gmm_fit_many(df: DataFrame, column: str, width: int, counts: Sequence[int],
     rows = vectors(df, column, width).select("x").persist()
     try:
         shift = center(rows, width)
-        models = []
-        for k in counts:
-            if isinstance(start, Mixture):
-                models.append(start)
-            elif start == "bands" or k == 1:
-                models.append(start_bands(rows, width, k, kind, shift))
-            else:
-                models.append(start_kmeans(rows, width, k, kind, shift, seed, max(1, max_iter)))
+        if isinstance(start, Mixture):
+            models = [start for _ in counts]
+        elif start == "bands":
+            models = [start_bands(rows, width, k, kind, shift) for k in counts]
+        else:
+            models = start_kmeans(rows, width, counts, kind, shift, seed, max(1, max_iter))
         histories: list[list[float]] = [[] for _ in models]
         active = list(range(len(models)))
         for _ in range(max_iter):

@@ -185,6 +185,85 @@ PARAMETERS = f"k.cluster, {r('m.weight')} AS weight, CAST(p.d AS INTEGER) AS dim
              f"{r('p.var')} AS variance"
 
 
+LISTS_SQL = "lists AS MATERIALIZED (SELECT id, list(v ORDER BY d) AS x FROM prof GROUP BY id)"
+
+
+def converged_sql(width: int, k: int, kind: str = "diag", rounds: int = 100, gain: float = M.GAIN_LIMIT, name: str = "em",
+                  source: str = "lists") -> str:
+    """EM until its gain falls below ``gain``, as a recursive table ``name`` (it, w, m, v, ll, settled) over (id, x) lists.
+
+    The start is that of :func:`em_sql`; the last row holds the result. ``full`` is written out for three dimensions.
+    """
+    dims = range(1, width + 1)
+    pairs = [(i, j) for i in dims for j in dims] if kind == "full" else [(i, i) for i in dims]
+    sums, squares = (f"[{', '.join(f'sum(r * {t})' for t in terms)}]"
+                     for terms in ([f"x[{i}]" for i in dims], [f"x[{i}] * x[{j}]" for i, j in pairs]))
+    floor = f"{M.VARIANCE_FLOOR!r}::DOUBLE"
+    if kind == "full":
+        var = ", ".join(f"sxx[{n}] / nk - sx[{i}] * sx[{j}] / nk / nk{f' + {floor}' if i == j else ''}"
+                        for n, (i, j) in enumerate(pairs, 1))
+        var = f"[{var}]"
+    else:
+        var = f"list_transform(range(1, {width + 1}), lambda i: greatest(sxx[i] / nk - (sx[i] / nk) ** 2, 0) + {floor})"
+        if kind == "spherical":
+            var = f"list_transform(range(1, {width + 1}), lambda i: list_avg({var}))"
+
+    def maximised(rows: str) -> str:
+        return f"""(
+            SELECT it, list(nk / total ORDER BY c) AS w, list(mean ORDER BY c) AS m, list(var ORDER BY c) AS v,
+                   any_value(ll) AS ll, any_value(prev) AS prev
+            FROM (SELECT *, list_transform(sx, lambda s: s / nk) AS mean, {var} AS var, sum(nk) OVER (PARTITION BY it) AS total
+                  FROM (SELECT it, c, sum(r) AS nk, {sums} AS sx, {squares} AS sxx, avg(z) AS ll, any_value(prev) AS prev
+                        FROM {rows} GROUP BY it, c)) GROUP BY it)"""
+
+    return f"""
+        {name}_levels AS (SELECT id, x, list_sum(x) / {width} AS level FROM {source}),
+        {name}_edges AS (SELECT min(level) AS lo, (max(level) - min(level)) / {k} AS step FROM {name}_levels),
+        {name}_bands AS (SELECT 0 AS it, CAST(least(greatest(floor((level - lo) / step), 0), {k - 1}) AS INTEGER) + 1 AS c,
+                                1::DOUBLE AS r, x, NULL::DOUBLE AS z, NULL::DOUBLE AS prev FROM {name}_levels, {name}_edges),
+        {name} AS (
+            SELECT it, w, m, v, ll, false AS settled FROM {maximised(f'{name}_bands')}
+            UNION ALL
+            SELECT it + 1, w, m, v, ll, coalesce(ll - prev < {gain!r}::DOUBLE, false) FROM {maximised(f"""(
+                SELECT it, c, exp(lp[c] - z) AS r, x, z, prev FROM (
+                    SELECT *, unnest(range(1, {k + 1})) AS c FROM (
+                        SELECT *, {_log_sum_sql('lp')} AS z FROM (
+                            SELECT e.it, e.ll AS prev, p.x, {_densities_sql(width, k, kind)} AS lp
+                            FROM {name} e, {source} p WHERE NOT e.settled AND e.it < {rounds}))))""")}),
+        {name}_last AS (SELECT * FROM {name} ORDER BY it DESC LIMIT 1)"""
+
+
+def _log_sum_sql(values: str) -> str:
+    return f"list_max({values}) + ln(list_sum(list_transform({values}, lambda l: exp(l - list_max({values})))))"
+
+
+def _densities_sql(width: int, k: int, kind: str) -> str:
+    """log(weight * density) of the row ``p`` under each component of the model ``e``."""
+    if kind != "full":
+        terms = f"list_transform(range(1, {width + 1}), lambda i: ln(2 * pi() * e.v[j][i]) + (p.x[i] - e.m[j][i]) ** 2 / e.v[j][i])"
+        return f"list_transform(range(1, {k + 1}), lambda j: ln(e.w[j]) - 0.5 * list_sum({terms}))"
+    a, b, c, d, f, g = (f"e.v[j][{n}]" for n in (1, 2, 3, 5, 6, 9))
+    x, y, z = (f"(p.x[{n}] - e.m[j][{n}])" for n in (1, 2, 3))
+    det = f"({a} * ({d} * {g} - {f} ** 2) - {b} * ({b} * {g} - {c} * {f}) + {c} * ({b} * {f} - {c} * {d}))"
+    quad = (f"({x} ** 2 * ({d} * {g} - {f} ** 2) + {y} ** 2 * ({a} * {g} - {c} ** 2) + {z} ** 2 * ({a} * {d} - {b} ** 2)"
+            f" + 2 * {x} * {y} * ({c} * {f} - {b} * {g}) + 2 * {x} * {z} * ({b} * {f} - {c} * {d})"
+            f" + 2 * {y} * {z} * ({b} * {c} - {a} * {f})) / {det}")
+    return f"list_transform(range(1, {k + 1}), lambda j: ln(e.w[j]) - 0.5 * (3 * ln(2 * pi()) + ln({det}) + {quad}))"
+
+
+def _ranked(values: str) -> str:
+    """A column of the last model's components, numbered from 0 by their first mean, with their number in the lists."""
+    return f"(SELECT CAST(row_number() OVER (ORDER BY m[j][1]) - 1 AS INTEGER) AS cluster, j, w, m, v FROM (" \
+           f"SELECT *, unnest(range(1, len(w) + 1)) AS j FROM {values}))"
+
+
+def _converged_rows(width: int, kind: str) -> str:
+    spread = f"v[j][(d - 1) * {width} + d]" if kind == "full" else "v[j][d]"
+    return f"""
+        SELECT cluster, {r('w[j]')} AS weight, CAST(d - 1 AS INTEGER) AS dim, {r('m[j][d]')} AS mean, {r(spread)} AS variance
+        FROM (SELECT *, unnest(range(1, {width + 1})) AS d FROM {_ranked('em_last')})"""
+
+
 def _fit_sql(source: str, width: int, k: int, rounds: int, kind: str) -> str:
     return f"""
         WITH {source}, {em_sql('prof', width, k, rounds, kind)}, {ranked_sql(rounds)}
@@ -207,17 +286,29 @@ def gmm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(M.mixture_rows(spark, model))
 
 
-@plan("gmm_fit_spherical", with_views(_fit_sql(VECTOR_SQL, 64, 2, 3, "spherical")))
+EMBEDDED_SQL = "lists AS MATERIALIZED (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
+
+
+@plan("gmm_fit_converged", f"WITH RECURSIVE {EMBEDDED_SQL}, {converged_sql(64, 3)} {_converged_rows(64, 'diag')}")
+def gmm_fit_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three diagonal clusters until the gain is below its limit, 100 rounds at most."""
+    return tidy(M.mixture_rows(spark, M.gmm_fit(V.table(spark, sf_dir, "embeddings"), "embedding", 64, 3, start="bands")))
+
+
+@plan("gmm_fit_spherical", f"WITH RECURSIVE {EMBEDDED_SQL}, {converged_sql(64, 2, 'spherical')} {_converged_rows(64, 'spherical')}")
 def gmm_fit_spherical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = M.gmm_fit(V.table(spark, sf_dir, "embeddings"), "embedding", 64, 2, 3, "spherical", "bands", gain=-INF)
+    """Two spherical clusters until the gain is below its limit."""
+    model = M.gmm_fit(V.table(spark, sf_dir, "embeddings"), "embedding", 64, 2, kind="spherical", start="bands")
     return tidy(M.mixture_rows(spark, model))
 
 
-@plan("gmm_fit_full")
+@plan("gmm_fit_full", with_views(f"""
+    WITH RECURSIVE lists AS MATERIALIZED (SELECT 0 AS id, [x1, x2 * 100, x3 * 100] AS x FROM training),
+    {converged_sql(3, 2, 'full')} {_converged_rows(3, 'full')}""", "training"))
 def gmm_fit_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full covariances over three training columns."""
+    """Two clusters with full covariances over three training columns, until the gain is below its limit."""
     rows = V.training(spark, sf_dir).select(F.array("x1", F.col("x2") * 100, F.col("x3") * 100).alias("v"))
-    return M.mixture_rows(spark, M.gmm_fit(rows, "v", 3, 2, 5, "full", "bands"))
+    return tidy(M.mixture_rows(spark, M.gmm_fit(rows, "v", 3, 2, kind="full", start="bands")))
 
 
 def _fixed_mixture(width: int, k: int) -> M.Mixture:
@@ -260,37 +351,53 @@ def gmm_bic_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(made, 3)
 
 
-@plan("gmm_bic_range")
+def _bic_sql(counts: range, width: int) -> str:
+    parts = [f"WITH RECURSIVE {EMBEDDED_SQL}", *(converged_sql(width, k, "spherical", name=f"em{k}") for k in counts)]
+    rows = [f"""
+        SELECT {k} AS k, {k + k * width + k - 1} AS params, sum(z) AS l, count(*) AS n
+        FROM (SELECT {_log_sum_sql('lp')} AS z FROM (SELECT {_densities_sql(width, k, 'spherical')} AS lp FROM em{k}_last e, lists p))"""
+            for k in counts]
+    return f"""{', '.join(parts)}
+        SELECT k, params, {r('l', 3)} AS loglik, {r('-2 * l + params * ln(n)', 3)} AS bic FROM ({' UNION ALL '.join(rows)})"""
+
+
+@plan("gmm_bic_range", _bic_sql(range(1, 13), 64))
 def gmm_bic_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One to twelve spherical clusters, all fitted in the same passes."""
-    return M.gmm_bic(V.table(spark, sf_dir, "embeddings"), "embedding", 64, range(1, 13), "spherical", 10, "bands")
+    """One to twelve spherical clusters from equal bands, each until its gain is below the limit, in the same passes."""
+    return tidy(M.gmm_bic(V.table(spark, sf_dir, "embeddings"), "embedding", 64, start="bands"), 3)
+
+
+@plan("gmm_bic_kmeans")
+def gmm_bic_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from k-means, whose seeds and rounds all cluster counts share (seeded draws are beyond SQL)."""
+    return M.gmm_bic(V.table(spark, sf_dir, "embeddings"), "embedding", 64)
 
 
 LABELS_SQL = f"""
-    {PROFILE_SQL}, {em_sql('prof', 10, 2, 3)}, {ranked_sql(2)},
-    labels AS (SELECT w.id AS station_id, arg_max(k.cluster, w.w) AS cluster
-               FROM resp3 w JOIN ranks k ON w.c = k.c GROUP BY 1)"""
+    {PROFILE_SQL}, {LISTS_SQL}, {converged_sql(10, 2)},
+    labels AS (SELECT id AS station_id, arg_max(cluster, lp[j]) AS cluster
+               FROM (SELECT p.id, {_densities_sql(10, 2, 'diag')} AS lp FROM em_last e, lists p), {_ranked('em_last')} GROUP BY 1)"""
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete profiles with the label of a converged mixture."""
     rows = _profiles(spark, sf_dir)
-    model = M.gmm_fit(rows, "profile", 10, 2, 2, "diag", "bands", gain=-INF)
-    return M.gmm_predict(rows, "profile", model)
+    return M.gmm_predict(rows, "profile", M.gmm_fit(rows, "profile", 10, 2, start="bands"))
 
 
-@plan("cluster_profiles_fit", with_views(f"WITH {LABELS_SQL} SELECT station_id, cluster FROM labels", "station_hour"))
+@plan("cluster_profiles_fit", with_views(f"WITH RECURSIVE {LABELS_SQL} SELECT station_id, cluster FROM labels", "station_hour"))
 def cluster_profiles_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir).select("station_id", "cluster")
 
 
 @plan("cluster_counts", with_views(f"""
-    WITH {LABELS_SQL} SELECT cluster, count(*) AS n FROM labels GROUP BY 1""", "station_hour"))
+    WITH RECURSIVE {LABELS_SQL} SELECT cluster, count(*) AS n FROM labels GROUP BY 1""", "station_hour"))
 def cluster_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cluster_counts(_labelled(spark, sf_dir))
 
 
 @plan("cluster_profiles", with_views(f"""
-    WITH {LABELS_SQL}
+    WITH RECURSIVE {LABELS_SQL}
     SELECT l.cluster, CAST(p.d + 8 AS INTEGER) AS hour, {r('avg(p.v)')} AS mean, count(*) AS members
     FROM prof p JOIN labels l ON p.id = l.station_id GROUP BY 1, 2""", "station_hour"))
 def cluster_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,7 +405,7 @@ def cluster_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan("cluster_plane", with_views(f"""
-    WITH {LABELS_SQL}
+    WITH RECURSIVE {LABELS_SQL}
     SELECT l.station_id, {r('a.v')} AS x, {r('b.v')} AS y, l.cluster
     FROM labels l JOIN prof a ON a.id = l.station_id AND a.d = 6 JOIN prof b ON b.id = l.station_id AND b.d = 2
     """, "station_hour"))
@@ -307,7 +414,7 @@ def cluster_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan("cluster_map", with_views(f"""
-    WITH {LABELS_SQL}
+    WITH RECURSIVE {LABELS_SQL}
     SELECT l.station_id, l.cluster, {r('lon')} AS lon, {r('lat')} AS lat
     FROM labels l JOIN station s ON l.station_id = s.station_id""", "station_hour", "station"))
 def cluster_map(spark: SparkSession, sf_dir: str) -> DataFrame:

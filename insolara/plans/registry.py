@@ -70,8 +70,9 @@ def with_views(body: str, *views: str) -> str:
         return body
     ctes = ", ".join(f"{v} AS ({VIEW_SQL[v][1]})" for v in needed)
     stripped = body.strip()
-    if stripped.upper().startswith("WITH "):
-        return f"WITH {ctes}, {stripped[5:]}"
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if stripped.upper().startswith(opening):
+            return f"{opening}{ctes}, {stripped[len(opening):]}"
     return f"WITH {ctes} {stripped}"
 
 

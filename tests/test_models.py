@@ -280,3 +280,29 @@ def test_best_of_takes_the_least_error(smooth):
     table = report.orderBy("nmae").collect()
     assert table[0]["best"] and sum(r["best"] for r in table) == 1
     assert net.sizes == [3, 6, 4, 1]
+
+
+def test_candidates_are_drawn_by_distance(spark, two_clusters):
+    """Far rows become candidates, partitions do not matter, and every row is counted at its nearest candidate."""
+    x = np.concatenate([two_clusters, np.full((3, 10), 50.0)])
+    df = vectors(spark, x).select(F.col("v").alias("x"))
+    points, weights = M.candidate_centers(df.repartition(3), 10, 4, 7)
+    again, same = M.candidate_centers(df.repartition(7), 10, 4, 7)
+    assert np.array_equal(points, again) and np.array_equal(weights, same)
+    assert weights.sum() == len(x) and (np.abs(points - 50).max(axis=1) == 0).sum() == 1
+    assert weights[np.abs(points - 50).max(axis=1) == 0] == 3
+    assert all((np.abs(x - p).max(axis=1) == 0).any() for p in points)
+
+
+def test_starts_of_all_counts_equal_single_starts(spark, two_clusters):
+    rows_ = M.vectors(vectors(spark, two_clusters), "v", 10).select("x")
+    shift = M.center(rows_, 10)
+    together = M.start_kmeans(rows_, 10, [1, 2, 5], "diag", shift, 3)
+    near = {0: two_clusters[:120], 1: two_clusters[120:]}
+    order = np.argsort(together[1].means[:, 0])
+    for cluster, j in enumerate(order):
+        assert together[1].means[j] == pytest.approx(near[cluster].mean(0)) and together[1].weights[j] == pytest.approx(len(near[cluster]) / 200)
+    assert together[0].means[0] == pytest.approx(two_clusters.mean(0))
+    assert together[2].weights.sum() == pytest.approx(1.0) and together[2].k == 5
+    few = M.start_kmeans(M.vectors(vectors(spark, two_clusters[:3]), "v", 10).select("x"), 10, [5], "diag", shift, 3)
+    assert few[0].k == 5  # fewer rows than clusters: the others borrow the overall spread
