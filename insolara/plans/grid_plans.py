@@ -10,6 +10,8 @@ from insolara.operators import grid as R
 from insolara.operators.reshape import with_position
 from insolara.plans import views as V
 from insolara.plans.registry import plan, r, tidy, with_views
+from insolara.session import scratch_path
+from insolara.sinks.grids import write_cells
 from insolara.sources import grids as S
 
 COARSE_LON = R.Axis(55.0, 0.1, 10)
@@ -78,11 +80,11 @@ def grid_times_from_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(dated.select("time", "iy", "ix", "u"))
 
 
-def _first_sql(loc: str, axis: R.SpanAxis) -> str:
+def _first_sql(loc: str, axis: R.SpanAxis, half: float = 0.025) -> str:
     """The search as a list scan over the axis."""
     at = f"({axis.start}::DOUBLE + (j + 1) * ({axis.end}::DOUBLE - {axis.start}::DOUBLE) / {axis.n})"
     return (f"(SELECT CAST(min(j) AS INTEGER) FROM range(1, {axis.n}) AS t(j) "
-            f"WHERE {at} BETWEEN {loc} - 0.025::DOUBLE AND {loc} + 0.025::DOUBLE)")
+            f"WHERE {at} BETWEEN {loc} - {half}::DOUBLE AND {loc} + {half}::DOUBLE)")
 
 
 @plan("station_cell_first", with_views(f"""
@@ -106,32 +108,50 @@ def station_cell_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("station_id", "iy", "ix")
 
 
+WHOLE_STEP = "1995-06-01"
+
+
 @plan("nearest_on_axis", with_views(f"""
-    WITH axis AS (SELECT DISTINCT ix AS i, lon AS c FROM grid),
+    WITH axis AS (SELECT DISTINCT ix AS i, lon AS c FROM grid WHERE time = TIMESTAMP '{WHOLE_STEP}'),
          pairs AS (SELECT s.station_id, a.i, row_number() OVER (
                        PARTITION BY s.station_id ORDER BY abs(a.c - s.lon), a.i) AS rn
                    FROM station s JOIN axis a ON abs(a.c - s.lon) <= 0.08::DOUBLE)
     SELECT s.station_id, p.i AS index FROM station s LEFT JOIN pairs p ON s.station_id = p.station_id AND p.rn = 1
     """, "station", "grid"))
 def nearest_on_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axis = R.axis_vector(V.grid(spark, sf_dir), "ix", "lon")
+    """The axis comes from one time step."""
+    axis = R.axis_vector(V.grid(spark, sf_dir), "ix", "lon", WHOLE_STEP)
     held = V.station(spark, sf_dir).withColumn("axis", axis)
     return held.select("station_id", R.nearest_on_axis(F.col("lon"), F.col("axis"), 0.08).alias("index"))
 
 
-@plan("station_cell_box", with_views("""
-    WITH cells AS (SELECT DISTINCT iy, ix, lat, lon FROM grid),
-         found AS (SELECT s.station_id, c.iy, c.ix, row_number() OVER (
-                       PARTITION BY s.station_id ORDER BY c.iy, c.ix) AS rn
-                   FROM station s JOIN cells c ON c.lat BETWEEN s.lat - 0.08::DOUBLE AND s.lat + 0.08::DOUBLE
-                        AND c.lon BETWEEN s.lon - 0.08::DOUBLE AND s.lon + 0.08::DOUBLE)
-    SELECT station_id, iy, ix FROM found WHERE rn = 1
-    """, "station", "grid"))
+def _box_sql(lat: str, lon: str, cells: str) -> str:
+    return f"""
+        cells AS ({cells}),
+        found AS (SELECT s.station_id, c.iy, c.ix, row_number() OVER (PARTITION BY s.station_id ORDER BY c.iy, c.ix) AS rn
+                  FROM station s JOIN cells c ON {lat} BETWEEN s.lat - 0.08::DOUBLE AND s.lat + 0.08::DOUBLE
+                       AND {lon} BETWEEN s.lon - 0.08::DOUBLE AND s.lon + 0.08::DOUBLE),
+        boxed AS (SELECT station_id, iy, ix FROM found WHERE rn = 1)"""
+
+
+ALL_CELLS = "SELECT DISTINCT iy, ix, lat, lon FROM grid"
+
+
+@plan("station_cell_box", with_views(f"""
+    WITH {_box_sql('c.lat', 'c.lon', ALL_CELLS)} SELECT * FROM boxed""", "station", "grid"))
 def station_cell_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = V.grid(spark, sf_dir)
-    lon_axis, lat_axis = R.axis_vector(grid, "ix", "lon"), R.axis_vector(grid, "iy", "lat")
-    cells = R.station_cell_box(V.station(spark, sf_dir), lon_axis, lat_axis, 0.16)
-    return cells.where(F.col("iy").isNotNull() & F.col("ix").isNotNull()).select("station_id", "iy", "ix")
+    return R.cell_in_box(V.station(spark, sf_dir), R.grid_cells(V.grid(spark, sf_dir)), 0.16)
+
+
+@plan("station_cell_curvilinear", with_views(f"""
+    WITH {_box_sql('c.lat', 'c.lon', f"""
+        SELECT DISTINCT iy, ix, lat + 0.011::DOUBLE * ix - 0.03::DOUBLE AS lat, lon + 0.007::DOUBLE * iy - 0.02::DOUBLE AS lon
+        FROM grid WHERE time = TIMESTAMP '{WHOLE_STEP}'""")} SELECT * FROM boxed""", "station", "grid"))
+def station_cell_curvilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheared grid, whose coordinates depend on both indices, from one time step."""
+    cells = R.grid_cells(V.grid(spark, sf_dir), WHOLE_STEP)
+    sheared = cells.withColumns({"lat": F.col("lat") + 0.011 * F.col("ix") - 0.03, "lon": F.col("lon") + 0.007 * F.col("iy") - 0.02})
+    return R.cell_in_box(V.station(spark, sf_dir), sheared, 0.16)
 
 
 NEAREST_CELLS = f"""
@@ -161,6 +181,45 @@ def extract_at_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(R.extract_at_stations(V.grid(spark, sf_dir), cells, ["p"]), 3)
 
 
+@plan("extract_in_box", with_views(f"""
+    WITH {_box_sql('c.lat', 'c.lon', ALL_CELLS)}
+    SELECT c.station_id, g.time + INTERVAL 4 HOUR AS dt, {r('g.p', 3)} AS p
+    FROM grid g JOIN boxed c ON g.iy = c.iy AND g.ix = c.ix""", "station", "grid"))
+def extract_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of the first cell of each station's box."""
+    cells = R.cell_in_box(V.station(spark, sf_dir), R.grid_cells(V.grid(spark, sf_dir)), 0.16)
+    return tidy(R.extract_at_stations(V.grid(spark, sf_dir), cells, ["p"]), 3)
+
+
+SPAN_LON, SPAN_LAT = R.SpanAxis(54.9, 55.9, 10), R.SpanAxis(-21.7, -20.7, 10)
+FIRST_CELLS = f"""
+    cells AS (SELECT station_id, {_first_sql('lat', SPAN_LAT, 0.08)} AS iy, {_first_sql('lon', SPAN_LON, 0.08)} AS ix FROM station)"""
+
+
+def _first_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.station_cell_first(V.station(spark, sf_dir), SPAN_LON, SPAN_LAT, 0.16)
+
+
+@plan("extract_first_match", with_views(f"""
+    WITH {FIRST_CELLS}
+    SELECT c.station_id, g.time + INTERVAL 4 HOUR AS dt, {r('g.p', 3)} AS p
+    FROM grid g JOIN cells c ON g.iy = c.iy AND g.ix = c.ix""", "station", "grid"))
+def extract_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of the cell at which a search along each axis stops."""
+    return tidy(R.extract_at_stations(V.grid(spark, sf_dir), _first_cells(spark, sf_dir), ["p"]), 3)
+
+
+@plan("extract_stored", with_views(f"""
+    WITH {FIRST_CELLS}
+    SELECT c.station_id, g.time + INTERVAL 4 HOUR AS dt, {r('g.p', 3)} AS p
+    FROM grid g JOIN cells c ON g.iy = c.iy AND g.ix = c.ix""", "station", "grid"))
+def extract_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a grid stored by tiles, of which only the stations' tiles are read."""
+    path = scratch_path(spark, "cells")
+    write_cells(V.grid(spark, sf_dir), path)
+    return tidy(R.extract_stored(spark.read.parquet(path), _first_cells(spark, sf_dir), ["p"]), 3)
+
+
 @plan("cell_hour_mean", with_views(f"""
     SELECT iy, ix, CAST(hour(time) AS INTEGER) AS hour, {r('avg(value)')} AS value FROM hourly_grid
     WHERE hour(time) BETWEEN 8 AND 17 GROUP BY 1, 2, 3""", "hourly_grid"))
