@@ -202,6 +202,45 @@ def _search_cells(keep: int, dtype: str):
     return run
 
 
+def _merged(keep: int):
+    """Rows sorted by query: its lists of several cells in one, without repeats, the best ``keep``."""
+
+    def best(rows: pa.Table) -> pa.RecordBatch:
+        lists = rows.column("found").combine_chunks()
+        found = lists.flatten()
+        less, first, entry = (found.field(n).to_numpy() for n in ("less", "first", "entry"))
+        asked = np.repeat(rows.column("asked").to_numpy(), pc.list_value_length(lists).to_numpy())
+        order = np.lexsort((entry, first, less, asked))
+        columns = [x[order] for x in (asked, less, first, entry)]
+        new = np.ones(len(order), bool)  # an entry has one score, so that repeats are neighbours
+        new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[3][1:] != columns[3][:-1])
+        asked, less, first, entry = (x[new] for x in columns)
+        top = np.arange(len(asked)) - np.searchsorted(asked, asked) < keep
+        asked, less, first, entry = (x[top] for x in (asked, less, first, entry))
+        names, starts = np.unique(asked, return_index=True)
+        ends = np.append(starts, len(asked)).astype(np.int32)
+        struct = pa.StructArray.from_arrays([pa.array(x) for x in (less, first, entry)], names=["less", "first", "entry"])
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.ListArray.from_arrays(pa.array(ends), struct)],
+                                          names=["asked", "found"])
+
+    def run(batches: Batches) -> Batches:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= BLOCK:
+                rows = pa.Table.from_batches(held)
+                whole = pc.index(rows.column("asked"), rows.column("asked")[-1]).as_py()
+                if whole:
+                    yield best(rows.slice(0, whole))
+                held, n = rows.slice(whole).to_batches(), rows.num_rows - whole
+        if held:
+            yield best(pa.Table.from_batches(held))
+
+    return run
+
+
 def _few(df: DataFrame) -> DataFrame:
     """A stored table, to be broadcast only if it has few rows."""
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
@@ -248,8 +287,7 @@ def _looked_into(entries: DataFrame, how: Polytope, probes: int, bands: list[int
     both = dealt(0, "cells", "blocks", "shares").select(columns).unionByName(
         dealt(1, "looks", "shares", "blocks").select(columns))
     found = both.repartition(*columns[:3]).sortWithinPartitions(*columns[:4]).mapInArrow(_search_cells(keep, dtype), _FOUND)
-    best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, keep)
-    return stored(found.groupBy("asked").agg(best.alias("found")), "found")
+    return stored(found.repartition("asked").sortWithinPartitions("asked").mapInArrow(_merged(keep), _FOUND), "found")
 
 
 def true_neighbours(entries: DataFrame, queries: np.ndarray, own: np.ndarray, keep: int, dtype: str) -> DataFrame:
