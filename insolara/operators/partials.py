@@ -46,23 +46,31 @@ def partial_rows(df: DataFrame, task: Task) -> DataFrame:
     return df.mapInArrow(run, _SCHEMA)
 
 
-def _added(group: pa.Table) -> pa.Table:
-    parts = group.column("part").combine_chunks()
-    total = parts.flatten().to_numpy(zero_copy_only=False).reshape(len(parts), -1).sum(axis=0)
-    return group.slice(0, 1).set_column(2, "part", pa.array([total], pa.list_(pa.float64())))
+def _total(parts: np.ndarray) -> np.ndarray:
+    return parts.sum(axis=0)
 
 
-def summed(df: DataFrame, task: Task, few: bool = False) -> dict[int, np.ndarray]:
-    """Run ``task`` on every partition and add up the arrays per key.
+def combined(df: DataFrame, task: Task, merge: Callable[[np.ndarray], np.ndarray], few: bool = False
+             ) -> dict[int, np.ndarray]:
+    """Run ``task`` on every partition and merge the arrays per key; ``merge`` takes them stacked, in any grouping.
 
-    One row per task and key is shuffled, whatever the length of the arrays. FAN of them are added in
-    one task, and the driver adds what is left: one array per key and FAN partitions. With ``few`` arrays
-    per key (the caller knows a bound) the driver adds all of them.
+    One row per task and key is shuffled, whatever the length of the arrays. FAN of them are merged in
+    one task, and the driver merges what is left: one array per key and FAN partitions. With ``few`` arrays
+    per key (the caller knows a bound) the driver merges all of them.
     """
+    def grouped(group: pa.Table) -> pa.Table:
+        parts = group.column("part").combine_chunks()
+        whole = merge(parts.flatten().to_numpy(zero_copy_only=False).reshape(len(parts), -1))
+        return group.slice(0, 1).set_column(2, "part", pa.array([whole], pa.list_(pa.float64())))
+
     parts = partial_rows(df, task)
-    rows = (parts if few else parts.groupBy("key", "slot").applyInArrow(_added, _SCHEMA)).collect()
-    out: dict[int, np.ndarray] = {}
+    rows = (parts if few else parts.groupBy("key", "slot").applyInArrow(grouped, _SCHEMA)).collect()
+    out: dict[int, list[np.ndarray]] = {}
     for row in sorted(rows, key=lambda r: (r["key"], r["slot"])):
-        part = np.array(row["part"])
-        out[row["key"]] = out[row["key"]] + part if row["key"] in out else part
-    return out
+        out.setdefault(row["key"], []).append(np.array(row["part"]))
+    return {key: merge(np.stack(found)) if len(found) > 1 else found[0] for key, found in out.items()}
+
+
+def summed(df: DataFrame, task: Task, few: bool = False) -> dict[int, np.ndarray]:
+    """:func:`combined` by adding up."""
+    return combined(df, task, _total, few)

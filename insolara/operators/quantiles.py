@@ -18,6 +18,7 @@ from insolara.operators.reshape import join_groups
 
 QUARTILES = (0.25, 0.5, 0.75)
 ACCURACY = 10_000
+STRIPS = 256  # parts of a bracket that are ranked side by side where there are no keys
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float] = QUARTILES,
@@ -53,8 +54,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     gap = F.when(~within, F.aggregate("_b", F.lit(0), lambda a, b: a + F.when(F.col("_v") > b["hi"], 1).otherwise(0)))
     counts = near.groupBy(*keys, "n", "_b", place.alias("_v"), gap.alias("_gap")).agg(
         F.count("*").alias("_c"), F.min("_v").alias("_least"))
-    order = Window.partitionBy(*keys).orderBy("_least")
-    running = counts.withColumn("_upto", F.sum("_c").over(order)).where(F.col("_v").isNotNull())
+    running = _running(counts, keys).where(F.col("_v").isNotNull())
     spots = F.transform("_b", lambda b: b["spot"])
     picked = running.groupBy(*keys, "n", spots.alias("_spots")).agg(*[
         _at_rank(i, side).alias(f"_q{i}{side}") for i in range(len(probs)) for side in ("floor", "ceil")])
@@ -65,6 +65,28 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     return picked.select(*keys, "n", F.array(*values).alias("quantiles"))
 
 
+def _running(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows up to and with each value, as ``_upto``.
+
+    With keys each group is ordered by itself. Without, all values would be one task's: they are put into
+    strips of their bracket, whose numbers rise with the value. The strips' sums, at most STRIPS + 2 per
+    wanted rank, give what lies below each strip, and only a strip is ordered in one task.
+    """
+    if keys:
+        return counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_least")))
+    ends = F.array_sort(F.transform("_b", lambda b: F.struct(b["hi"].alias("hi"), b["lo"].alias("lo"))))
+    passed = F.size(F.filter("_ends", lambda b: b["hi"] < F.col("_least")))
+    low, high = F.get("_ends", F.col("_passed"))["lo"], F.get("_ends", F.col("_passed"))["hi"]
+    share = F.when(high > low, (F.col("_least") / 2 - low / 2) / (high / 2 - low / 2)).otherwise(0.0)
+    within = F.when(low <= F.col("_least"), F.floor(share * STRIPS).cast("int") + 1)
+    placed = (counts.withColumn("_ends", ends).withColumn("_passed", passed)
+              .withColumn("_strip", F.col("_passed") * (STRIPS + 2) + F.coalesce(within, F.lit(0))).drop("_ends", "_passed"))
+    sums = placed.groupBy("_strip").agg(F.sum("_c").alias("_sum"))
+    below = sums.select("_strip", (F.sum("_sum").over(Window.orderBy("_strip")) - F.col("_sum")).alias("_below"))
+    inside = F.sum("_c").over(Window.partitionBy("_strip").orderBy("_least"))
+    return placed.join(F.broadcast(below), "_strip").withColumn("_upto", F.col("_below") + inside)
+
+
 def _at_rank(i: int, side: str) -> Column:
     """The least value up to which more rows lie than the rank (from 0) below or above the i-th spot."""
     rank = getattr(F, side)(F.col("_b")[i]["spot"])

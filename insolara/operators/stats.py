@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from insolara.functions import scores
-from insolara.functions.nulls import drop_incomplete
+from insolara.functions.nulls import drop_incomplete, finite
 from insolara.operators.partials import Batches, matrix, summed
 
 
@@ -126,7 +126,9 @@ def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
 
 def vector_moments(df: DataFrame, column: str, width: int) -> Moments:
     """The same for one array column: means first, then the centred product sums per partition."""
-    rows = df.select(F.col(column).cast("array<double>").alias("x")).where(F.size("x") == width)
+    x = F.col(column).cast("array<double>")
+    whole = (F.size(x) == width) & F.forall(x, lambda v: F.coalesce(finite(v), F.lit(False)))
+    rows = df.select(F.when(whole, x).alias("x")).where(F.col("x").isNotNull())
 
     def totals(batches: Batches) -> Iterator[tuple[int, np.ndarray]]:
         acc = np.zeros(width + 1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from insolara.functions import solar
 from insolara.operators import diurnal as G
 from insolara.operators.quantiles import box_stats
+from insolara.operators.verify import error_columns
 from insolara.plans import views as V
 from insolara.plans.column_plans import SEASON_SQL
 from insolara.plans.registry import corr_sql, plan, r, tidy, with_views
@@ -140,6 +141,36 @@ def box_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(G.box_stats_by(rows, ["model_b"], normalise="global_max", axis="month"))
 
 
+@plan("box_stats_by_month_hour", with_views(f"""
+    WITH rows_ AS ({_long('station_season', f'{MONTH_SQL} AS month, CAST(hour(dt) AS INTEGER) AS hour', 'obs', 'model_b')}),
+    {box_sql('rows_', 'month, hour, var')}""", "station_season"))
+def box_by_month_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of every hour within each month."""
+    return tidy(G.box_stats_by(V.station_season(spark, sf_dir), ["obs", "model_b"], "month"))
+
+
+@plan("box_stats_relative_error", with_views(f"""
+    WITH means AS (SELECT hour(dt) AS h, avg(obs) AS m FROM station_hour GROUP BY 1),
+    rows_ AS (SELECT CAST(hour(s.dt) AS INTEGER) AS hour, 'rel_error' AS var, (s.model_b - s.obs) / nullif(m, 0) AS v
+              FROM station_hour s JOIN means ON hour(s.dt) = h WHERE m <> 0 AND s.model_b IS NOT NULL AND s.obs IS NOT NULL),
+    {box_sql('rows_', 'hour, var')}""", "station_hour"))
+def box_of_relative_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes per hour of the error over that hour's mean observation."""
+    return tidy(G.box_stats_by(error_columns(V.station_hour(spark, sf_dir), "model_b", "obs"), ["rel_error"]))
+
+
+@plan("box_stats_whole", f"""
+    WITH rows_ AS (SELECT l_extendedprice AS v FROM lineitem),
+    q AS (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS q2, quantile_cont(v, 0.75) AS q3 FROM rows_)
+    SELECT count(*) AS n, {r('avg(v)', 3)} AS mean, {r('max(q1)', 3)} AS q1, {r('max(q2)', 3)} AS median, {r('max(q3)', 3)} AS q3,
+           {r('min(CASE WHEN v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN v END)', 3)} AS whisker_low,
+           {r('max(CASE WHEN v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN v END)', 3)} AS whisker_high,
+           count(*) FILTER (NOT v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outliers FROM rows_, q""")
+def box_of_the_whole_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One box over all rows, ranked in strips side by side."""
+    return tidy(box_stats(V.table(spark, sf_dir, "lineitem").select("l_extendedprice"), [], "l_extendedprice"), 3)
+
+
 @plan("box_stats_narrowed", f"""
     WITH rows_ AS (SELECT l_returnflag AS flag, l_extendedprice AS v FROM lineitem),
     {box_sql('rows_', 'flag', 3)}""")

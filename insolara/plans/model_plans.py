@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from insolara.operators import mixture as M
 from insolara.operators import network as N
 from insolara.operators import stats as L
+from insolara.operators import tsqr as Q
 from insolara.operators.reshape import above_best, profile_vector
 from insolara.plans import views as V
 from insolara.plans.registry import corr_sql, plan, r, tidy, with_views
@@ -106,6 +107,28 @@ def linear_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(L.linear_regression(V.training(spark, sf_dir), FEATURES, "y"), 3)
 
 
+@plan("linear_regression_qr", with_views(f"""
+    WITH s AS (SELECT regr_slope(y, x1) AS w, regr_intercept(y, x1) AS c FROM training)
+    SELECT 'intercept' AS term, {r('c', 3)} AS coefficient FROM s UNION ALL SELECT 'x1', {r('w', 3)} FROM s""", "training"))
+def linear_regression_qr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One predictor by QR factors merged in a tree."""
+    return tidy(Q.least_squares(V.training(spark, sf_dir), ["x1"], "y"), 3)
+
+
+@plan("pca_reconstruction", """
+    WITH v AS (SELECT vec_id AS id, unnest(range(0, 64)) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings),
+         n AS (SELECT count(*)::DOUBLE AS n FROM embeddings)
+    SELECT CAST(a.d AS INTEGER) AS i, CAST(b.d AS INTEGER) AS j, """ + r("corr(a.x, b.x) * max(n.n) / (max(n.n) - 1)") + """ AS value
+    FROM v a JOIN v b ON a.id = b.id AND a.d <= b.d, n GROUP BY 1, 2""")
+def pca_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variances and loadings of all components put together again, which gives the correlations."""
+    made = Q.vector_components(V.table(spark, sf_dir, "embeddings"), "embedding", 64)
+    left = made.select("component", "variance", F.posexplode("loadings").alias("i", "a"))
+    right = made.select("component", F.posexplode("loadings").alias("j", "b"))
+    pairs = left.join(right, "component").where("i <= j")
+    return tidy(pairs.groupBy("i", "j").agg(F.sum(F.col("variance") * F.col("a") * F.col("b")).alias("value")))
+
+
 @plan("regression_bic", with_views(f"""
     SELECT station_id, {r('count(*) * ln(sum((obs - model_b) ** 2) / count(*)) + 3 * ln(count(*))')} AS bic
     FROM station_hour GROUP BY 1""", "station_hour"))

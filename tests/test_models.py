@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from insolara.operators import mixture as M
 from insolara.operators import network as N
+from insolara.operators import stats as L
+from insolara.operators import tsqr as Q
 from insolara.operators.partials import summed
 from insolara.operators.stacks import Stack
 from tests.conftest import rows
@@ -306,3 +308,39 @@ def test_starts_of_all_counts_equal_single_starts(spark, two_clusters):
     assert together[2].weights.sum() == pytest.approx(1.0) and together[2].k == 5
     few = M.start_kmeans(M.vectors(vectors(spark, two_clusters[:3]), "v", 10).select("x"), 10, [5], "diag", shift, 3)
     assert few[0].k == 5  # fewer rows than clusters: the others borrow the overall spread
+
+
+def test_regression_on_nearly_dependent_columns(spark):
+    """Columns that differ in the ninth digit: sums of squares lose them, QR factors do not."""
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=3000) + 100
+    b = a + 1e-7 * rng.normal(size=3000)
+    c = rng.normal(size=3000)
+    y = 3 + 2 * a - 5 * b + 0.5 * c
+    df = spark.createDataFrame([tuple(map(float, r)) for r in np.stack([a, b, c, y], axis=1)] + [(1.0, None, 2.0, 3.0), (float("nan"), 1.0, 1.0, 1.0)],
+                               "a double, b double, c double, y double").repartition(6)
+    got = dict(rows(Q.least_squares(df, ["a", "b", "c"], "y")))
+    assert [got[t] for t in ("intercept", "a", "b", "c")] == pytest.approx([3, 2, -5, 0.5], rel=1e-4)
+    both = dict(rows(Q.least_squares(df.withColumn("d", F.col("c") * 2), ["c", "d"], "c")))  # dependent: the shortest solution
+    assert both["c"] + 2 * both["d"] == pytest.approx(1.0)
+    with pytest.raises(ValueError):
+        Q.least_squares(df.limit(0), ["a"], "y")
+
+
+@pytest.mark.parametrize("fan", [512, 2])
+def test_components_by_qr(spark, monkeypatch, fan):
+    monkeypatch.setattr("insolara.operators.partials.FAN", fan)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 4)) @ rng.normal(size=(4, 4)) + 50
+    std = (x - x.mean(0)) / x.std(0)
+    values, axes = np.linalg.eigh(np.cov(std.T))
+    data = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    bad = [(900, [1.0, 2.0, None, 3.0]), (901, [float("nan"), 1.0, 1.0, 1.0]), (902, None), (903, [1.0])]
+    df = spark.createDataFrame(data + bad, "i int, v array<double>").repartition(7)
+    got = Q.vector_components(df, "v", 4).orderBy("component").collect()
+    assert [r["variance"] for r in got] == pytest.approx(values[::-1].tolist())
+    for r, axis in zip(got, axes.T[::-1]):
+        assert abs(np.dot(r["loadings"], axis)) == pytest.approx(1.0)
+    columns = df.where(F.size("v") == 4).select(*[F.col("v")[k].alias(f"c{k}") for k in range(4)])
+    assert [r["variance"] for r in Q.components(columns, ["c0", "c1", "c2", "c3"]).orderBy("component").collect()] == pytest.approx(values[::-1].tolist())
+    assert [r["variance"] for r in L.pca_variance_vector(df, "v", 4).orderBy("component").collect()] == pytest.approx(values[::-1].tolist())

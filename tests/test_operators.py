@@ -329,6 +329,27 @@ def test_box_of_known_values(spark):
     assert (two["whisker_low"], two["whisker_high"], two["outliers"]) == (1.0, 4.0, 1)
 
 
+@pytest.mark.parametrize("accuracy, strips", [(10_000, 256), (50, 256), (50, 3)])
+def test_quantiles_without_keys_by_strips(spark, monkeypatch, accuracy, strips):
+    monkeypatch.setattr(Q, "STRIPS", strips)
+    rng = np.random.default_rng(6)
+    probs = [0.77, 0.0, 0.5, 0.25, 0.1, 1.0, 0.5]
+    for values in (np.concatenate([np.zeros(3000), rng.exponential(1e3, 4000), rng.normal(0, 1e-6, 500), [1e308, -1e308]]),
+                   rng.integers(0, 5, 4000).astype(float), np.full(300, -2.5), np.array([4.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double").repartition(5)
+        got = Q.exact_quantiles(df, [], "v", probs, accuracy).first()
+        assert got["n"] == len(values) and got["quantiles"] == pytest.approx(np.quantile(values, probs), rel=1e-12, abs=1e-15)
+    assert Q.exact_quantiles(df.limit(0), [], "v").count() == 0
+
+
+def test_keyless_values_are_not_ordered_in_one_task(spark):
+    df = spark.range(1000).select(F.rand(3).alias("v"))
+    plan = Q.box_stats(df, [], "v")._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        if "Window " in line and "_least" in line:
+            assert "_strip" in line.split("windowspecdefinition(")[1].split("_least")[0]
+
+
 def test_variances(spark):
     df = spark.createDataFrame([(1, v) for v in (1.0, 2.0, 4.0, 8.0)], "station_id int, v double")
     assert S.station_variance(df, ["v"], None).first()["v"] == pytest.approx(np.var([1, 2, 4, 8]))
