@@ -108,7 +108,8 @@ class PieceCoder:
         self.tokens = [bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace("▁", " ").encode()
                        for i, p in enumerate(pieces)]
         probe = "a  bﬁ\tc "
-        self.cuts_at_blanks = not any(re.search("[^▁]▁", p) for p in pieces) \
+        self.blank = [self.library.piece_to_id("▁")]  # the library gives nothing for an empty text
+        self.cuts_at_blanks = self.bytes_of(self.blank) == b" " and not any(re.search("[^▁]▁", p) for p in pieces) \
             and self.bytes_of(self.library.encode(probe)) == f" {probe}".encode()
 
     def bytes_of(self, ids: list[int]) -> bytes:
@@ -116,7 +117,8 @@ class PieceCoder:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Of texts that begin with the blank that the model adds."""
-        return self.library.encode([t[1:] for t in texts], num_threads=1)
+        found = self.library.encode([t[1:] for t in texts], num_threads=1)
+        return [self.blank if t == " " else ids for t, ids in zip(texts, found)]
 
 
 class BothCoders:
@@ -134,13 +136,15 @@ class BothCoders:
         words = re.compile(f"[{space}]*[^{space}]+(?:[{no_blank}][{space}]*[^{space}]*)*|[{space}]+")
         self.parts = words.findall if self.b.cuts_at_blanks else lambda text: [text]
         self.known = Memo(lambda part: self._learn([part])[0], lambda part: len(part) <= LONG_PIECE)
+        self.number = list(range(max(len(self.a.tokens), len(self.b.tokens)))).__getitem__  # remembered ids share their numbers
 
     def _learn(self, parts: list[str]) -> list[tuple[tuple[int, ...], tuple[int, ...], bool]]:
         """The ids of both kinds, and whether both make up the part's bytes."""
         out, token, piece = [], self.a.tokens.__getitem__, self.b.tokens.__getitem__
         for part, a, b in zip(parts, self.a.encode(parts), self.b.encode(parts)):
             data = part.encode()
-            out.append((tuple(a), tuple(b), b"".join(map(token, a)) == data and b"".join(map(piece, b)) == data))
+            same = b"".join(map(token, a)) == data and b"".join(map(piece, b)) == data
+            out.append((tuple(map(self.number, a)), tuple(map(self.number, b)), same))
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
