@@ -12,6 +12,7 @@ linear in the length of the piece.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 from itertools import chain, islice, pairwise
@@ -210,7 +211,7 @@ def lots(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
         yield names, texts
 
 
-_made: dict[int, ByteBPE] = {}
+_made: dict[str, ByteBPE] = {}  # one encoder per worker process
 
 
 def encode(docs: DataFrame, path: str, pattern: str, into: str = "ids") -> DataFrame:
@@ -221,12 +222,13 @@ def encode(docs: DataFrame, path: str, pattern: str, into: str = "ids") -> DataF
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast((read_ranks(path), pattern))  # a vocabulary, whatever the data
-    number = shared._jbroadcast.id()
+    name = hashlib.sha256(repr(shared.value).encode()).hexdigest()
 
     def run(batches: Batches) -> Batches:
-        if number not in _made:  # one encoder per worker process
-            _made[number] = ByteBPE(*shared.value)
-        coder = _made[number]
+        if name not in _made:
+            _made.clear()
+            _made[name] = ByteBPE(*shared.value)
+        coder = _made[name]
         for batch in batches:
             for names, texts in lots(batch):
                 # a lot of one long text is encoded in blocks of its words

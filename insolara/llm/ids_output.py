@@ -13,6 +13,7 @@ Only files named by those rows count, so a repeated or lost task leaves no trace
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -213,7 +214,7 @@ class LibraryCoder:
                 for i, parts in enumerate(cut)]
 
 
-_made: dict[int, LibraryCoder] = {}
+_made: dict[str, LibraryCoder] = {}  # one encoder per worker process
 
 
 def write_ids(docs: DataFrame, folder: str, definition: str, end_id: int = 2, bits: bool = False) -> DataFrame:
@@ -227,11 +228,13 @@ def write_ids(docs: DataFrame, folder: str, definition: str, end_id: int = 2, bi
     prepare(spark)
     with open(definition, encoding="utf-8") as text:
         shared = spark.sparkContext.broadcast(text.read())  # a vocabulary, whatever the data
-    number = shared._jbroadcast.id()
+    name = hashlib.sha256(shared.value.encode()).hexdigest()
 
     def run(batches: Batches) -> Batches:
-        coder = _made.setdefault(number, None) or LibraryCoder(shared.value)
-        _made[number] = coder
+        if name not in _made:
+            _made.clear()
+            _made[name] = LibraryCoder(shared.value)
+        coder = _made[name]
         task = TaskContext.get()
         store, at = fs.FileSystem.from_uri(folder)
         writer = path = stream = None
