@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from insolara.llm import bpe, exact_dedup, language_id, minhash_dedup, mixing
+from insolara.llm import bpe, exact_dedup, language_id, mixing, simhash_dedup
 from insolara.llm.common import stored, table
 
 
@@ -24,8 +24,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, Jaccard similarity 0.8 or more."""
-    return minhash_dedup.keep_one(docs)
+    """One document of each group of the SimHash operator: four-word shingles, four bits or fewer."""
+    return simhash_dedup.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +41,17 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("language id", languages), ("exact dedup", exact), ("near dedup", near), ("source mix", mix),
           ("byte bpe", encode)]
 
-#: Learned centroids, shingle sets, flows and token ids are beyond SQL; tests compare with brute force.
+#: Learned centroids, fingerprints, flows and token ids are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``.
+
+    NULL texts and texts without letters go with the language stage; equal texts keep their least doc_id, rows
+    without one stay; very long texts pass whole; other columns, also of clashing names, go along unread; an
+    empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
