@@ -9,10 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from insolara.llm import exact_dedup, lm_score, secret_scan
+from insolara.llm import exact_dedup, lm_score, secret_scan, simhash_dedup
 from insolara.llm.queries import QUERIES
 from tests.llm.conftest import frame
-from tests.llm.test_near_jaccard import brute
 
 
 def test_gradient_is_that_of_the_loss():
@@ -116,8 +115,19 @@ def test_pipeline_stages(spark, sf_dir, documents):
     assert known.count() == before.filter(F.col("text").rlike(r"\p{L}")).count()
     assert {r[0] for r in distinct.select("doc_id").collect()} == {
         r["doc_id"] for r in exact_dedup.exact_duplicates(known).filter("kept").collect()}
-    assert {r[0] for r in alone.select("doc_id").collect()} == set(
-        brute([(r["doc_id"], r["text"] or "") for r in distinct.select("doc_id", "text").collect()]).values())
+    assert {r[0] for r in alone.select("doc_id").collect()} == {
+        r["component_id"] for r in simhash_dedup.near_duplicates(distinct).collect()}
     got = corpus_pipeline.run(spark, sf_dir).select("doc_id", "n_tokens").collect()
     assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in mixed.select("doc_id").collect())
     assert all(r["n_tokens"] > 0 for r in got)
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, nothing, tmp_path):
+    """Rows without letters go, one of equal texts stays, whole long texts come through, clashing columns do no harm."""
+    for name, docs in (("odd", odd), ("none", nothing)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path / "odd")).select("doc_id", "n_tokens").collect()
+    kept = {r["doc_id"] for r in rows}
+    assert kept <= {-5, 1, 2, 6, 7, 8, 9, None} and not kept & {1, 2, 3, 4, 5}  # -5 holds the text of 1 and 2
+    assert all(r["n_tokens"] > 0 for r in rows)
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
