@@ -13,23 +13,55 @@ FILE_NAME = r"temp_pred\.(\d{10})\.release_(\d+)\.xml$"
 VALUE_LINE = 10
 
 
-def read_release_files(spark: SparkSession, glob: str) -> DataFrame:
-    """``path, modified, content`` of every file that matches ``glob``."""
+def list_release_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, modified`` of every release file of a folder; no file is opened."""
+    return (spark.read.format("binaryFile").option("pathGlobFilter", "temp_pred.*.xml").load(folder)
+            .select("path", F.col("modificationTime").alias("modified")))
+
+
+def read_release_files(spark: SparkSession, glob: str | list[str]) -> DataFrame:
+    """``path, modified, content`` of every file that matches ``glob`` (or of the paths of a list)."""
     return (spark.read.text(glob, wholetext=True)
             .select(F.col("_metadata.file_path").alias("path"),
                     F.col("_metadata.file_modification_time").alias("modified"),
                     F.col("value").alias("content")))
 
 
+def _named(df: DataFrame) -> DataFrame:
+    """Release files by their names, with release and valid hour."""
+    return df.where(F.regexp_like(F.col("path"), F.lit(FILE_NAME))).withColumns({
+        "release": F.regexp_extract("path", FILE_NAME, 2).cast("bigint"),
+        "dt": F.to_timestamp_ntz(F.regexp_extract("path", FILE_NAME, 1), F.lit("yyyyMMddHH"))})
+
+
+def newest_release_files(spark: SparkSession, folder: str, now: str, hours: int = 24) -> DataFrame | None:
+    """``path, modified, content`` of the newest release's files from the current hour on, ``hours`` of them at most.
+
+    Names and times of all files are listed, and only the files asked for are opened; their paths, one per
+    hour, pass the driver. Of several files of one hour the newest counts. None if there is no such file.
+    """
+    start = whole_hour(F.lit(now).cast("timestamp_ntz"))
+    named = _named(list_release_files(spark, folder))
+    wanted = (named.where((F.col("dt") >= start) & (F.col("dt") < start + F.make_dt_interval(hours=F.lit(hours))))
+              .join(latest_release(named), "release")
+              .groupBy("dt").agg(F.max(F.struct("modified", "path"))["path"].alias("path")))
+    paths = [r["path"] for r in wanted.orderBy("dt").collect()]
+    return read_release_files(spark, paths) if paths else None
+
+
+def forecast_from_folder(spark: SparkSession, folder: str, now: str, hours: int = 24,
+                         offset: float = PARITY_KELVIN_OFFSET, value_line: int = VALUE_LINE) -> DataFrame:
+    """:func:`forecast_release` over a folder of which at most ``hours`` files are read."""
+    files = newest_release_files(spark, folder, now, hours)
+    if files is None:
+        return spark.createDataFrame([], "release bigint, dt timestamp_ntz, temp double")
+    return forecast_release(files, now, hours, offset, value_line)
+
+
 def release_columns(df: DataFrame, value_line: int = VALUE_LINE) -> DataFrame:
     """Parse name and content: ``release, dt, kelvin, modified``; unreadable values are NULL."""
-    stamp = F.regexp_extract("path", FILE_NAME, 1)
     line = F.get(F.split("content", "\n"), F.lit(value_line))
-    return (df.where(F.regexp_like(F.col("path"), F.lit(FILE_NAME)))
-            .select(F.regexp_extract("path", FILE_NAME, 2).cast("bigint").alias("release"),
-                    F.to_timestamp_ntz(stamp, F.lit("yyyyMMddHH")).alias("dt"),
-                    F.trim(line).try_cast("double").alias("kelvin"),
-                    "modified"))
+    return _named(df).select("release", "dt", F.trim(line).try_cast("double").alias("kelvin"), "modified")
 
 
 def latest_release(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from insolara.sinks.models import model_name, save_model, save_scaler
 from insolara.sinks.text import line_protocol, series_lines, write_parquet
 from insolara.sources.grids import grid_long, grid_times_from_start, merge_time
 from insolara.sources.models import load_model, load_scaler
-from insolara.sources.releases import forecast_release, read_release_files
+from insolara.sources.releases import forecast_from_folder, forecast_release, newest_release_files, read_release_files
 from insolara.sources.stations import read_stations
 from insolara.sources.tables import GAPPY_STATIONS, station_query
 from insolara.sources.training import read_training, training_features
@@ -96,6 +96,23 @@ def test_forecast_release_stops_at_first_gap(spark, tmp_path):
     assert got[0][2] == 26.5
 
 
+def test_forecast_from_a_folder_opens_the_wanted_files_only(spark, tmp_path):
+    start = at("2020-01-01 00:00:00")
+    for release in (1, 2, 3):
+        for i in range(60):
+            if (release, i) != (3, 20):
+                stamp = (start + dt.timedelta(hours=i)).strftime("%Y%m%d%H")
+                _release_file(tmp_path, stamp, release, 280.0 + release + i / 10, 1_000_000 * release + i)
+    (tmp_path / "notes.txt").write_text("other")
+    for now, count in (("2020-01-01 05:30:00", 24), ("2020-01-02 20:00:00", 16), ("2020-01-01 20:10:00", 24)):
+        files = newest_release_files(spark, str(tmp_path), now)
+        assert len(files.inputFiles()) <= 24 and files.count() <= count
+        assert all("release_3" in f for f in files.inputFiles())
+        whole = forecast_release(read_release_files(spark, str(tmp_path / "temp_pred.*release*.xml")), now)
+        assert rows(forecast_from_folder(spark, str(tmp_path), now), "dt") == rows(whole, "dt")
+    assert forecast_from_folder(spark, str(tmp_path), "2021-01-01").count() == 0
+
+
 def test_forecast_release_without_current_hour_is_empty(spark, tmp_path):
     _release_file(tmp_path, "2020010108", 3, 290.0, 1_000_000)
     files = read_release_files(spark, str(tmp_path / "*.xml"))
