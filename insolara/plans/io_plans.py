@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from insolara.functions.timecol import whole_hour
 from insolara.operators.stats import Scaler, scaler_fit
 from insolara.plans import views as V
 from insolara.plans.registry import plan, r, tidy, with_views
@@ -17,6 +18,7 @@ from insolara.sources.releases import forecast_release
 from insolara.sources.stations import read_stations
 from insolara.sources.tables import station_query
 from insolara.sources.training import read_training
+from insolara.streaming.releases import first_run, stream_first_runs, told_hours
 
 
 @plan("station_query", """
@@ -91,6 +93,30 @@ def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("temp", F.col("temp") + 0.0)
 
 
+@plan("stream_first_runs", """
+    WITH files AS (SELECT ts AS modified, 1 + user_id % 3 AS release, date_trunc('hour', ts) AS dt, 280 + round(value, 2) AS kelvin
+                   FROM events),
+    hours AS (SELECT release, date_diff('hour', TIMESTAMP '2024-01-01', dt) AS step, dt,
+                     arg_max(kelvin, (modified, kelvin)) AS kelvin FROM files GROUP BY 1, 2, 3),
+    ahead AS (SELECT *, row_number() OVER (PARTITION BY release ORDER BY step) - 1 AS place FROM hours WHERE step BETWEEN 0 AND 239)
+    SELECT 'temp_forecast,release=' || release || ' date_concerned="' || strftime(dt, '%Y-%m-%d %H:%M:%S') || '",temp='
+           || printf('%.3f', round_even(kelvin - 273.5, 3)) || ' ' || CAST(CAST(epoch_us(dt) * 1000 AS BIGINT) AS VARCHAR) AS line
+    FROM ahead WHERE step = place""")
+def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a release file that a stream reads; what it has told of all releases, as line protocol."""
+    arrived = V.table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 3 + 1).alias("release"), whole_hour(F.col("ts")).alias("dt"),
+        (F.lit(280.0) + F.round("value", 2)).alias("kelvin"), F.col("ts").alias("modified"))
+    folder = scratch_path(spark, "release-rows")
+    arrived.repartition(6, "modified").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    query = stream_first_runs(first_run(stream, "2024-01-01", 240, late="60 days"), f"{folder}/out", f"{folder}/checkpoint")
+    query.awaitTermination()
+    told = told_hours(spark, f"{folder}/out", "2024-01-01")
+    lines = [line_protocol(told.where(F.col("release") == k), f"temp_forecast,release={k}", "temp", zone="UTC") for k in (1, 2, 3)]
+    return lines[0].union(lines[1]).union(lines[2])
+
+
 @plan("line_protocol", with_views("""
     SELECT 'pv_forecast,site=island date_concerned="' || strftime(dt, '%Y-%m-%d %H:%M:%S') || '",model_a='
            || printf('%.3f', model_a) || ' ' || CAST(CAST(epoch_us(dt - INTERVAL 4 HOUR) * 1000 AS BIGINT) AS VARCHAR)

@@ -18,7 +18,7 @@ from insolara.sources.releases import forecast_from_folder, forecast_release, ne
 from insolara.sources.stations import read_stations
 from insolara.sources.tables import GAPPY_STATIONS, station_query
 from insolara.sources.training import read_training, training_features
-from insolara.streaming.releases import release_stream, stream_forecast
+from insolara.streaming.releases import first_run, release_stream, stream_first_runs, stream_forecast, told_hours
 from tests.conftest import at, rows
 
 
@@ -185,3 +185,33 @@ def test_scratch_folder(spark):
     assert scratch_path(spark, "x").startswith(scratch_dir(spark))
     df = cut_lineage(spark.range(5))
     assert df.count() == 5 and "Scan ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_runs_go_on_after_a_restart(spark, tmp_path):
+    """Gaps that close late, replaced values, hours outside and missing values; two runs of one checkpoint."""
+    start = at("2020-01-01 00:00:00")
+    schema = "release bigint, dt timestamp_ntz, kelvin double, modified timestamp_ntz"
+
+    def file_rows(number, hours, release=1, kelvin=280.0):
+        spark.createDataFrame([(release, start + dt.timedelta(hours=h), kelvin + h if kelvin else None, start + dt.timedelta(minutes=number))
+                               for h in hours], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        stream_first_runs(first_run(stream, "2020-01-01", 6), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        return sorted(rows(told_hours(spark, str(tmp_path / "out"), "2020-01-01", 273.5)))
+
+    def wanted(release, values):
+        return [(release, start + dt.timedelta(hours=h), v) for h, v in enumerate(values)]
+
+    file_rows(1, [0, 1, 3, -2])
+    file_rows(2, [1, 2], release=2)
+    assert run() == wanted(1, [6.5, 7.5])
+    file_rows(3, [2, 9])
+    file_rows(4, [1], kelvin=290.0)
+    file_rows(5, [4], kelvin=None)
+    file_rows(0, [0], kelvin=250.0)  # older than what is known
+    assert run() == wanted(1, [6.5, 17.5, 8.5, 9.5])
+    file_rows(6, [0], release=2)
+    assert run() == wanted(1, [6.5, 17.5, 8.5, 9.5]) + wanted(2, [6.5, 7.5, 8.5])
+    assert run() == wanted(1, [6.5, 17.5, 8.5, 9.5]) + wanted(2, [6.5, 7.5, 8.5])  # nothing new
