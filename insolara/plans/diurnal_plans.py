@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from insolara.functions import solar
 from insolara.operators import diurnal as G
+from insolara.operators.filters import SEASON_MONTHS
 from insolara.operators.quantiles import box_stats
 from insolara.operators.verify import error_columns
 from insolara.plans import views as V
@@ -210,7 +211,8 @@ def scatter_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT strftime(dt, '%b') AS month, {r('model_b')} AS x, {r('obs')} AS y FROM station_season
     WHERE month(dt) IN (11, 12, 1, 2, 3, 4)""", "station_season"))
 def scatter_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    months = [2, 11, 12, 1, 3, 2, 4]
+    """The season's months; the one named twice counts once."""
+    months = [*SEASON_MONTHS, SEASON_MONTHS[0]]
     return tidy(G.scatter_month(V.station_season(spark, sf_dir), "model_b", "obs", months))
 
 

@@ -14,7 +14,7 @@ from insolara.session import scratch_path
 from insolara.sinks.models import save_scaler
 from insolara.sinks.text import line_protocol, series_lines, write_csv, write_parquet, write_series_csv
 from insolara.sources.models import load_scaler
-from insolara.sources.releases import forecast_release
+from insolara.sources.releases import FILE_FORMAT, forecast_release
 from insolara.sources.stations import read_stations
 from insolara.sources.tables import station_query
 from insolara.sources.training import read_training
@@ -86,7 +86,7 @@ def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = V.table(spark, sf_dir, "events")
     hour = F.date_format("ts", "yyyyMMddHH")
     body = F.concat(F.repeat(F.lit("x\n"), 10), (F.lit(280.0) + F.round("value", 2)).cast("string"), F.lit("\ny"))
-    name = F.format_string("/releases/temp_pred.%s.release_%d.xml", hour, F.col("user_id") % 3 + 1)
+    name = F.format_string("/releases/" + FILE_FORMAT.format(hour="%s", release="%d"), hour, F.col("user_id") % 3 + 1)
     files = events.select(name.alias("path"), F.col("ts").alias("modified"), body.alias("content"))
     start = events.agg(F.min("ts")).scalar()
     made = forecast_release(files, start)

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from insolara.functions.columns import PARITY_KELVIN_OFFSET, kelvin_to_celsius
 from insolara.functions.timecol import epoch_micros_utc, whole_hour
 
-# Name pattern of a release file and the line (from 0) that carries the value.
-FILE_NAME = r"temp_pred\.(\d{10})\.release_(\d+)\.xml$"
+# Name of a release file and the line (from 0) that carries the value.
+FILE_FORMAT = "temp_pred.{hour}.release_{release}.xml"
+FILE_NAME = FILE_FORMAT.replace(".", r"\.").format(hour=r"(\d{10})", release=r"(\d+)") + "$"
 VALUE_LINE = 10
 
 
 def list_release_files(spark: SparkSession, folder: str) -> DataFrame:
     """``path, modified`` of every release file of a folder; no file is opened."""
-    return (spark.read.format("binaryFile").option("pathGlobFilter", "temp_pred.*.xml").load(folder)
+    return (spark.read.format("binaryFile").option("pathGlobFilter", FILE_FORMAT.format(hour="*", release="*")).load(folder)
             .select("path", F.col("modificationTime").alias("modified")))
 
 

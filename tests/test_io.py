@@ -14,7 +14,7 @@ from insolara.sinks.models import model_name, save_model, save_scaler
 from insolara.sinks.text import line_protocol, series_lines, write_parquet
 from insolara.sources.grids import grid_long, grid_times_from_start, merge_time
 from insolara.sources.models import load_model, load_scaler
-from insolara.sources.releases import forecast_from_folder, forecast_release, newest_release_files, read_release_files
+from insolara.sources.releases import FILE_FORMAT, forecast_from_folder, forecast_release, newest_release_files, read_release_files
 from insolara.sources.stations import read_stations
 from insolara.sources.tables import GAPPY_STATIONS, station_query
 from insolara.sources.training import read_training, training_features
@@ -77,7 +77,7 @@ def test_station_query_passes_database_options():
 
 
 def _release_file(folder, stamp, release, kelvin, mtime):
-    path = folder / f"temp_pred.{stamp}.release_{release}.xml"
+    path = folder / FILE_FORMAT.format(hour=stamp, release=release)
     path.write_text("\n".join(["x"] * 10 + [str(kelvin), "end"]))
     os.utime(path, (mtime, mtime))
 
@@ -89,7 +89,7 @@ def test_forecast_release_stops_at_first_gap(spark, tmp_path):
     for i in range(10):
         if i != 7:
             _release_file(tmp_path, (start + dt.timedelta(hours=i)).strftime("%Y%m%d%H"), 2, 300.0 + i, 2_000_000 + i)
-    files = read_release_files(spark, str(tmp_path / "temp_pred.*release*.xml"))
+    files = read_release_files(spark, str(tmp_path / FILE_FORMAT.format(hour="*", release="*")))
     got = rows(forecast_release(files, "2020-01-01 06:40:00"), "dt")
     assert [r[1] for r in got] == [start + dt.timedelta(hours=i) for i in range(7)]
     assert {r[0] for r in got} == {2}
@@ -108,7 +108,7 @@ def test_forecast_from_a_folder_opens_the_wanted_files_only(spark, tmp_path):
         files = newest_release_files(spark, str(tmp_path), now)
         assert len(files.inputFiles()) <= 24 and files.count() <= count
         assert all("release_3" in f for f in files.inputFiles())
-        whole = forecast_release(read_release_files(spark, str(tmp_path / "temp_pred.*release*.xml")), now)
+        whole = forecast_release(read_release_files(spark, str(tmp_path / FILE_FORMAT.format(hour="*", release="*"))), now)
         assert rows(forecast_from_folder(spark, str(tmp_path), now), "dt") == rows(whole, "dt")
     assert forecast_from_folder(spark, str(tmp_path), "2021-01-01").count() == 0
 
