@@ -12,9 +12,11 @@ linear in the length of the piece.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain, islice, pairwise
 
 import ahocorasick
@@ -197,6 +199,18 @@ class ByteBPE:
         return [np.fromiter(chain.from_iterable(map(get, parts)), np.int32) for parts in cut]
 
 
+@contextmanager
+def paused_gc() -> Iterator[None]:
+    """No search for cycles meanwhile: encoders make none, and their memos are large to go through."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def lots(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
     """The (id, text) rows of a batch in lots of about LOT characters."""
     names, texts, size = [], [], 0
@@ -232,7 +246,8 @@ def encode(docs: DataFrame, path: str, pattern: str, into: str = "ids") -> DataF
         for batch in batches:
             for names, texts in lots(batch):
                 # a lot of one long text is encoded in blocks of its words
-                found = coder.encode_many(texts) if len(texts) > 1 else [coder.encode(texts[0])]
+                with paused_gc():
+                    found = coder.encode_many(texts) if len(texts) > 1 else [coder.encode(texts[0])]
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), ids], names=["doc_id", into])

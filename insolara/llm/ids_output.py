@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from insolara.llm.bpe import LONG_PIECE, Memo, lots, text_parts
+from insolara.llm.bpe import LONG_PIECE, Memo, lots, paused_gc, text_parts
 from insolara.llm.common import prepare, shuffle_parts, stored, text_of
 
 Batches = Iterator[pa.RecordBatch]
@@ -245,8 +245,10 @@ def write_ids(docs: DataFrame, folder: str, definition: str, end_id: int = 2, bi
                     path = f"{at}/ids-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
                     stream = store.open_output_stream(path)
                     writer = IdWriter(stream, bits)
-                for name, ids in zip(names, coder.encode(texts, end_id)):
-                    writer.add(name, ids)
+                with paused_gc():
+                    found = coder.encode(texts, end_id)
+                for doc_id, ids in zip(names, found):
+                    writer.add(doc_id, ids)
         if writer:
             writer.close()
             stream.close()

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from insolara.llm.bpe import LONG_PIECE, Memo, lots
+from insolara.llm.bpe import LONG_PIECE, Memo, lots, paused_gc
 from insolara.llm.common import prepare, stored, text_of
 
 Batches = Iterator[pa.RecordBatch]
@@ -327,7 +327,9 @@ def aligned_chunks(docs: DataFrame, definition: str, pattern: str, model: str, k
         chunk = _Chunk(aligner, keep_groups)
         for batch in batches:
             for names, texts in lots(batch):
-                yield from chunk.add(names, coders.encode(texts))
+                with paused_gc():
+                    found = coders.encode(texts)
+                yield from chunk.add(names, found)
         if chunk.names:
             yield chunk.row()
 
