@@ -498,17 +498,11 @@ def mlp_predict_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(made.select("l_orderkey", "l_linenumber", "prediction"))
 
 
-def smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The training table with a target that its inputs explain."""
-    target = 10 * F.sin(F.col("x1") / 10) + 40 * F.col("x2") + 100 * F.col("x3") * F.col("x2")
-    return V.training(spark, sf_dir).withColumn("y", target)
-
-
 @plan("mlp_train")
 def mlp_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train on all rows (200 epochs), save model and scaler, load both and score the predictions."""
-    rows = smooth(spark, sf_dir)
-    made = N.mlp_train(rows, FEATURES, "y", 2, 10)
+    """Train 200 epochs on the daily means, save model and scaler, load both and score the predictions."""
+    rows = V.training_day(spark, sf_dir)
+    made = N.mlp_train(rows, FEATURES, "y", 2, 10, plan=N.Training(learning_rate=0.01, tol=1e-5, patience=200))
     folder = scratch_path(spark, "model")
     path = save_model(spark, made.network, folder, "smooth", made.r2)
     save_scaler(spark, made.scaler, f"{folder}/scaler")
