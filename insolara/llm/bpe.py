@@ -228,9 +228,11 @@ def lots(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
 _made: dict[str, ByteBPE] = {}  # one encoder per worker process
 
 
-def encode(docs: DataFrame, path: str, pattern: str, into: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, into: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs(doc_id, text)`` -> (doc_id, ids array<int>), each piece that ``pattern`` matches on its own.
 
+    With ``decoded`` the ids are decoded again as they pass, into a binary column of that name, by the worker
+    that holds the vocabulary already.
     NULL text counts as empty and gives no ids; repeated rows stay, a NULL doc_id stays NULL.
     """
     spark = docs.sparkSession
@@ -249,11 +251,15 @@ def encode(docs: DataFrame, path: str, pattern: str, into: str = "ids") -> DataF
                 with paused_gc():
                     found = coder.encode_many(texts) if len(texts) > 1 else [coder.encode(texts[0])]
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), ids], names=["doc_id", into])
+                columns = {"doc_id": pa.array(names, pa.int64()),
+                           into: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))}
+                if decoded:
+                    token = coder.tokens.__getitem__
+                    columns[decoded] = pa.array([b"".join(map(token, x.tolist())) for x in found], pa.binary())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, {into} array<int>")
+    return rows.mapInArrow(run, f"doc_id long, {into} array<int>" + (f", {decoded} binary" if decoded else ""))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -273,7 +279,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded
 
 def digests(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes, decodes again and sums up both; ``ids`` too if asked."""
-    both = decode(encode(docs, path, pattern), path)
+    both = encode(docs, path, pattern, decoded="decoded")
     found = both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
