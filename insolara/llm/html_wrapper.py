@@ -37,6 +37,8 @@ ITEMS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td t
 LISTS = frozenset("ul ol menu dl table select".split())
 
 # Elements and names that never hold the article.
+WHOLE = frozenset("html body main article".split())
+DEEPEST = 150  # levels of nesting that are kept; deeper blocks are blocks of this level
 NEVER = frozenset("nav header footer aside form button select dialog menu head fieldset input".split())
 NEVER_NAMES = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs byline comment comments cookie cookies "
                         "consent disqus footer form header login masthead menu nav navbar navigation newsletter notice "
@@ -104,6 +106,7 @@ def parse(source: str) -> Node:
                 return
 
     at, size = 0, len(source)
+    beyond: list[str] = []  # open elements below the deepest level, whose blocks belong to that level
     while at < size:
         token = _TOKEN.match(source, at)
         at = token.end()
@@ -122,7 +125,7 @@ def parse(source: str) -> Node:
             parts.append(" ")
             continue
         if tag in RAW:
-            if not token.group(1):
+            if not token.group(1) and not (tag == "svg" and token.group(3).endswith("/")):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                 at = end.end() if end else size
             continue
@@ -130,7 +133,16 @@ def parse(source: str) -> Node:
             continue
         flush()
         if token.group(1):
+            in_link = 0
+            if tag in beyond:
+                while beyond.pop() != tag:
+                    pass
+                continue
+            beyond.clear()
             close_to((tag,))
+            continue
+        if len(stack) > DEEPEST:
+            beyond.append(tag)
             in_link = 0
             continue
         if tag in CLOSES_P:
@@ -236,7 +248,10 @@ def fold(items: list) -> list:
 
 
 def never_main(key: str) -> bool:
+    """Whether an element never holds the article: by its tag or a word of its names, which say nothing about a whole page or article."""
     tag, *names = key.split(".")
+    if tag in WHOLE:
+        return False
     words = {w for n in names for w in re.split(r"[^a-z]+", n)}
     return tag in NEVER or bool(words & NEVER_NAMES)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 import re
 
 import pytest
@@ -89,3 +90,34 @@ def test_odd_tables(spark):
     assert (texts[1], texts[2], texts[3], texts[None]) == ("", "", "Some text", "hi there")
     assert texts[4].count("long text") == 20_000
     assert hw.main_texts(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("names", ["single right-sidebar", "home header-fixed", "page no-comments", "login-ok", "post comments-open share-enabled"])
+def test_names_of_the_whole_page_or_article_say_nothing(names):
+    def make(n):
+        blocks = "".join(f"<p>Line {i} of {n} is here</p>" for i in range(3))
+        return (f"<html class='{names}'><body class='{names}'><nav><p>Menu {n}</p></nav><main class='{names}'><article class='{names}'>"
+                f"<h1>Head {n}</h1>{blocks}</article></main><div class='sidebar'><p>Side {n}</p></div></body></html>")
+
+    wrapper = hw.infer([make(n) for n in range(6)])
+    for n in (1, 20):
+        assert hw.main_text(make(n), wrapper) == "\n".join([f"Head {n}", *(f"Line {i} of {n} is here" for i in range(3))])
+
+
+def test_icons_that_close_themselves():
+    def make(n):
+        return f"<body><article><p>Before {n} <svg width='1'/> after</p><p>Then <svg><path d='M0'/></svg> {n}</p></article></body>"
+
+    assert hw.main_text(make(9), hw.infer([make(n) for n in range(5)])) == "Before 9 after\nThen 9"
+
+
+def test_very_deep_pages():
+    """No page ends the job; blocks at any depth come in their order."""
+    def make(n, depth):
+        return (f"<html><body><article><h1>Head {n}</h1>" + "<div>" * depth + f"<p>Deep {n}</p><p>Next {n}</p>" + "</div>" * depth
+                + f"<p>Last {n}</p></article><footer><p>End {n}</p></footer></body></html>")
+
+    for depth in (10, 500, 5000):
+        wrapper = hw.infer([make(n, depth) for n in range(3)])
+        assert hw.main_text(make(7, depth), wrapper) == "Head 7\nDeep 7\nNext 7\nLast 7"
+        assert hw.main_text(make(7, depth), hw.load(json.loads(json.dumps(hw.dump(wrapper))))) == "Head 7\nDeep 7\nNext 7\nLast 7"
