@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from insolara.llm.common import SPACE, WORD, prepare, text_of
+from insolara.llm.common import SPACE, prepare, text_of
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -56,9 +56,12 @@ def vocabulary(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     """The frequent words and the unigram log-probability of every token, counted over all texts."""
     lowered = F.lower(text_of())
     words = docs.select(F.explode_outer(F.split(F.trim(lowered, F.lit(" \t\n\x0b\x0c\r")), SPACE)).alias("w"))
-    top = words.filter("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(OWN)
-    found = [(r["w"].encode("utf-8"), r["n"]) for r in top.collect()]
-    total = docs.agg(F.sum(F.regexp_count(text_of(), F.lit(WORD)))).first()[0] or 0
+    each = words.filter("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    # one count of the words serves both: Spark reuses its shuffle for their sum
+    both = each.orderBy(F.desc("n"), "w").limit(OWN).union(each.select(F.lit(None).cast("string"), F.sum("n")))
+    rows = both.collect()
+    found = sorted(((r["w"].encode("utf-8"), r["n"]) for r in rows if r["w"] is not None), key=lambda x: (-x[1], x[0]))
+    total = next(r["n"] for r in rows if r["w"] is None) or 0
     counts = np.ones(PAD)
     counts[:len(found)] += [n for _, n in found]
     counts[OWN:] += (total - sum(n for _, n in found)) / (PAD - OWN)
@@ -112,7 +115,7 @@ class Windows:
 def _log_chances(z: np.ndarray, at: np.ndarray, slope: bool) -> tuple[np.ndarray, np.ndarray | None]:
     """Log-softmax of each row at its column ``at``; with ``slope``, the softmax less one at that column. Uses up ``z``."""
     rows = np.arange(len(z))
-    z -= z.max(axis=1, keepdims=True)
+    z -= z[rows, z.argmax(axis=1)][:, None]  # sooner than max() for short rows
     chosen = z[rows, at]
     np.exp(z, out=z)
     total = z.sum(axis=1)
@@ -133,32 +136,38 @@ def forward(w: dict[str, np.ndarray], near: np.ndarray, token: np.ndarray, grad:
             ) -> np.ndarray:
     """Log-probability of each ``token`` given its neighbours; with ``grad``, that of the mean loss too."""
     n, learns = len(token), grad is not None
-    x = w["embed"].take(near, axis=0).reshape(n, -1)
-    h = np.tanh(x @ w["mix"] + w["shift"])
     # rows by class, so that the places of a class are one slice
     order, first = _by_key(token // PLACES)
-    h, token = h[order], token[order]
+    near, token = near.take(order, axis=0), token[order]
     kind, place = token // PLACES, token % PLACES
+    x = w["embed"].take(near, axis=0).reshape(n, -1)
+    h = x @ w["mix"]
+    h += w["shift"]
+    np.tanh(h, out=h)
     logs, dz = _log_chances(h @ w["classes"] + w["class_bias"], kind, learns)
     if learns:
         dz /= n
         grad["classes"][:], grad["class_bias"][:] = h.T @ dz, dz.sum(axis=0)
         grad["places"][:], grad["place_bias"][:] = 0, 0
         back = dz @ w["classes"].T
-    for start, end in zip(first.tolist(), [*first[1:].tolist(), n]):
-        c, own = kind[start], h[start:end]
-        inner, dz = _log_chances(own @ w["places"][c].T + w["place_bias"][c], place[start:end], learns)
-        logs[start:end] += inner
-        if learns:
-            dz /= n
-            grad["places"][c], grad["place_bias"][c] = dz.T @ own, dz.sum(axis=0)
-            back[start:end] += dz @ w["places"][c]
+    slices = list(zip(kind[first].tolist(), first.tolist(), [*first[1:].tolist(), n]))
+    # only the products go class by class, what follows them is done for all rows at once
+    z = np.empty((n, PLACES), h.dtype)
+    for c, start, end in slices:
+        np.matmul(h[start:end], w["places"][c].T, out=z[start:end])
+        z[start:end] += w["place_bias"][c]
+    inner, dz = _log_chances(z, place, learns)
+    logs += inner
     if learns:
+        dz /= n
+        for c, start, end in slices:
+            own = dz[start:end]
+            grad["places"][c], grad["place_bias"][c] = own.T @ h[start:end], own.sum(axis=0)
+            back[start:end] += own @ w["places"][c]
         back *= 1 - h * h
-        x = x[order]
         grad["mix"][:], grad["shift"][:] = x.T @ back, back.sum(axis=0)
         dx = (back @ w["mix"].T).reshape(-1, WIDTH)
-        cells = near[order].reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+        cells = near.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
         grad["embed"][:] = np.bincount(cells.ravel(), dx.ravel(), minlength=(PAD + 1) * WIDTH).reshape(-1, WIDTH)
         grad["embed"][PAD] = 0
     out = np.empty_like(logs)
@@ -168,15 +177,15 @@ def forward(w: dict[str, np.ndarray], near: np.ndarray, token: np.ndarray, grad:
 
 def learn_windows(flat: np.ndarray, memory: np.ndarray, windows: Windows, rate: float, rng: np.random.Generator) -> None:
     """Adagrad steps over all windows in random order; changes ``flat`` and ``memory``."""
-    gradient = np.zeros(SIZE, np.float32)
+    gradient, step = np.zeros(SIZE, np.float32), np.empty(SIZE, np.float32)
     w, grad = views(flat), views(gradient)
     for at in np.array_split(rng.permutation(len(windows.places)), max(1, len(windows.places) // BATCH)):
         if len(at):
             places = windows.places[at]
             forward(w, windows.around(places), windows.stream[places], grad)
-            memory += gradient * gradient
+            memory += np.multiply(gradient, gradient, out=step)
             gradient *= rate
-            gradient /= np.sqrt(memory)
+            gradient /= np.sqrt(memory, out=step)
             flat -= gradient
 
 

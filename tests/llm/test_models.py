@@ -34,6 +34,30 @@ def test_probabilities_sum_to_one():
     assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_rows_of_all_classes_are_normalised_together(monkeypatch):
+    """Two calls for all rows, however many classes they have, and the chances of a plain computation."""
+    calls, plain = [], lm_score._log_chances
+    monkeypatch.setattr(lm_score, "_log_chances", lambda *a: calls.append(len(a[0])) or plain(*a))
+    rng = np.random.default_rng(6)
+    w = lm_score.views(rng.normal(0, 0.3, lm_score.SIZE))
+    near, token = rng.integers(0, lm_score.PAD, (500, 4)), rng.integers(0, lm_score.PAD, 500)
+    logs = lm_score.forward(w, near, token)
+    assert calls == [500, 500]
+    for i in range(0, 500, 25):
+        h, (c, place) = np.tanh(w["embed"][near[i]].ravel() @ w["mix"] + w["shift"]), divmod(token[i], lm_score.PLACES)
+        a, b = h @ w["classes"] + w["class_bias"], w["places"][c] @ h + w["place_bias"][c]
+        assert logs[i] == pytest.approx(a[c] - np.log(np.exp(a).sum()) + b[place] - np.log(np.exp(b).sum()))
+
+
+def test_words_are_counted_once_for_ranks_and_total(spark):
+    df = frame(spark, [(1, " a b\tA\n"), (2, None), (3, "b c a"), (4, "")])
+    words, unigrams = lm_score.vocabulary(df)
+    assert dict(words) == {b"a": 0, b"b": 1, b"c": 2}
+    counts = np.ones(lm_score.PAD)
+    counts[:3] += [3, 2, 1]
+    assert unigrams == pytest.approx(np.log(counts / counts.sum()))
+
+
 def test_windows_see_both_sides_of_their_own_document():
     found = lm_score.Windows.of([np.array([1, 2, 3]), np.array([], np.int64), np.array([4])])
     pad = lm_score.PAD
