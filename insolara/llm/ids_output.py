@@ -20,7 +20,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ BLOCK = 1 << 16
 LEVEL = 3
 
 LINES = 4096
-KNOWN = 3 << 17
+KNOWN = 1 << 19
 # what may stand as a line of its own: no white space but one blank in front
 LINE = re.compile(r" ?\S+").fullmatch
 
@@ -225,30 +225,29 @@ class LibraryCoder:
         ends, packed = 4 * np.flatnonzero(ids == self.line[0]), ids.tobytes()
         return [packed[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(packed)])]
 
-    def _learn(self, parts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    def _learn(self, parts: list[bytes]) -> list[bytes]:
         """The ids of parts: as lines, where a part can be one."""
         texts = [p.decode("utf-8") for p in parts]
-        fits = [len(self.line) == 1 and LINE(t) is not None for t in texts]
-        yield from ((p, self._whole(t).tobytes()) for p, t, fit in zip(parts, texts, fits) if not fit)
-        parts, texts = list(compress(parts, fits)), list(compress(texts, fits))
-        for at in range(0, len(parts), LINES):
-            yield from zip(parts[at:at + LINES], self._lines(texts[at:at + LINES]))
+        fits = [LINE(t) is not None for t in texts] if len(self.line) == 1 else [False] * len(texts)
+        plain = list(compress(texts, fits))
+        lines = chain.from_iterable(self._lines(plain[at:at + LINES]) for at in range(0, len(plain), LINES))
+        return [next(lines) if fit else self._whole(t).tobytes() for t, fit in zip(texts, fits)]
 
     def _ids(self, parts: list[bytes]) -> list[bytes]:
         """The ids of distinct parts, those met lately from memory: the KNOWN latest and the generation before that is in use."""
         if len(self.known) >= KNOWN:
             self.known, self.old = {}, self.known
         found = list(map(self.known.get, parts))
-        lacking = [i for i, x in enumerate(found) if x is None]
-        held = [self.old.get(parts[i]) for i in lacking]
-        new = [parts[i] for i, x in zip(lacking, held) if x is None]
-        learnt = dict(self._learn(new))
-        for i, x in zip(lacking, held):
-            part = parts[i]
-            found[i] = x = learnt[part] if x is None else x
-            if len(part) <= LONG_PIECE:
-                self.known[part] = x
-        return found
+        lacking = [p for p, x in zip(parts, found) if x is None]
+        held = list(map(self.old.get, lacking))
+        learnt = iter(self._learn([p for p, x in zip(lacking, held) if x is None]))
+        held = [next(learnt) if x is None else x for x in held]
+        self.known.update(zip(lacking, held))
+        for part in lacking:
+            if len(part) > LONG_PIECE:
+                del self.known[part]
+        rest = iter(held)
+        return [next(rest) if x is None else x for x in found]
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         whole = {i for i, t in enumerate(texts) if self.added(t)}
@@ -257,7 +256,7 @@ class LibraryCoder:
         starts = part_starts(np.frombuffer(data, np.uint8), at) if data else np.empty(0, np.int64)
         places = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
         parts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, places, pa.py_buffer(data)]).dictionary_encode()
-        ids = self._ids(parts.dictionary.to_pylist())
+        ids = self._ids(parts.dictionary.to_numpy(zero_copy_only=False).tolist())  # sooner than to_pylist()
         pool, which = np.frombuffer(b"".join(ids), np.uint32), parts.indices.to_numpy()
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         first = (np.cumsum(sizes) - sizes)[which]
