@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from insolara.llm.common import SPACE, prepare, text_of
+from insolara.llm.common import SPACE, prepare, stored, text_of
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -56,12 +57,13 @@ def vocabulary(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     """The frequent words and the unigram log-probability of every token, counted over all texts."""
     lowered = F.lower(text_of())
     words = docs.select(F.explode_outer(F.split(F.trim(lowered, F.lit(" \t\n\x0b\x0c\r")), SPACE)).alias("w"))
-    each = words.filter("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    # one count of the words serves both: Spark reuses its shuffle for their sum
-    both = each.orderBy(F.desc("n"), "w").limit(OWN).union(each.select(F.lit(None).cast("string"), F.sum("n")))
-    rows = both.collect()
-    found = sorted(((r["w"].encode("utf-8"), r["n"]) for r in rows if r["w"] is not None), key=lambda x: (-x[1], x[0]))
-    total = next(r["n"] for r in rows if r["w"] is None) or 0
+    each = stored(words.filter("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    # how many words occur how often: gives the total, and the least count of a frequent word before any word is sorted
+    spread = sorted(map(tuple, each.groupBy("n").agg(F.count(F.lit(1))).collect()), reverse=True)
+    total, reached = sum(n * k for n, k in spread), accumulate(k for _, k in spread)
+    least = next((n for (n, _), k in zip(spread, reached) if k >= OWN), 0)
+    top = each.filter(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(OWN)
+    found = [(r["w"].encode("utf-8"), r["n"]) for r in top.collect()]
     counts = np.ones(PAD)
     counts[:len(found)] += [n for _, n in found]
     counts[OWN:] += (total - sum(n for _, n in found)) / (PAD - OWN)

@@ -58,6 +58,16 @@ def test_words_are_counted_once_for_ranks_and_total(spark):
     assert unigrams == pytest.approx(np.log(counts / counts.sum()))
 
 
+def test_frequent_words_of_equal_counts_go_by_name(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "OWN", 2)
+    words, unigrams = lm_score.vocabulary(frame(spark, [(1, "c b d a a"), (2, "a b c")]))
+    assert dict(words) == {b"a": 0, b"b": 1}
+    counts = np.ones(lm_score.PAD)
+    counts[:2] += [3, 2]
+    counts[2:] += 3 / (lm_score.PAD - 2)
+    assert unigrams == pytest.approx(np.log(counts / counts.sum()))
+
+
 def test_windows_see_both_sides_of_their_own_document():
     found = lm_score.Windows.of([np.array([1, 2, 3]), np.array([], np.int64), np.array([4])])
     pad = lm_score.PAD
